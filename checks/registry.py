@@ -45,6 +45,7 @@ RECENT = (
     "spend_limit",
     "spend_limit_request",
 )
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}
 JANUARY = (datetime(2023, 12, 31), AS_OF)
 ORDER_YEARS = (datetime(1994, 12, 31), datetime(2001, 12, 31))
 
@@ -284,7 +285,7 @@ for _kind in NORMALIZED:
 def _activity_json(spark, d):
     """The same feed as JSON text with unknown keys: the VARIANT path."""
     typed = bridge.feed(spark, d, "activity")
-    lines = typed.select(F.to_json(F.struct("*")).alias("value"))
+    lines = typed.select(F.to_json(F.struct("*"), MICROS).alias("value"))
     events = normalize(feeds.from_lines(lines), "activity", collected_at=bridge.COLLECTED_AT)
     return _flat(events, "activity")
 
@@ -379,7 +380,7 @@ def _rule_problems(spark, d):
 def _golden_diff(spark, d):
     """Typed path against JSON path over the whole feed: no event may differ."""
     typed = bridge.feed(spark, d, "activity")
-    lines = typed.select(F.to_json(F.struct("*")).alias("value"))
+    lines = typed.select(F.to_json(F.struct("*"), MICROS).alias("value"))
     a = bridge.events(spark, d, "activity")
     b = normalize(feeds.from_lines(lines), "activity", collected_at=bridge.COLLECTED_AT)
     return quality.golden_diff(a, b).groupBy("side").agg(F.count("*").alias("count"))

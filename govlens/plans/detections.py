@@ -17,13 +17,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from govlens.operators.filters import base, like, moment
+from govlens.operators.filters import base, moment
 from govlens.operators.stats import baseline_spike, latest, stats, with_values
 from govlens.operators.tables import ctime, top
-from govlens.plans.reports.security import EXPORT, IDENTITY, SIGN_IN
+from govlens.plans.reports.security import AUDIT_READ, EXPORT, IDENTITY, SIGN_IN
 
 EPOCH = datetime(1970, 1, 1)
 
+# What an event detection looks for, the same in batch and on a stream.
+MATCH = {
+    "d_multi_ip": SIGN_IN,
+    "d_sso": IDENTITY,
+    "d_export": EXPORT,
+    "d_apikey": "ai.event_category = 'admin_change' AND ai.resource.type = 'api_key'"
+    " AND ai.action = 'create'",
+    "d_role": "ai.event_category = 'admin_change' AND ai.resource.type = 'user'"
+    " AND contains(lower(ai.event_type), 'role')",
+    "d_chat": "ai.event_category = 'content_access' AND ai.resource.type = 'chat'"
+    " AND ai.outcome = 'failure'",
+    "d_newapi": AUDIT_READ,
+}
+
 
 @dataclass(frozen=True)
 class Detection:
@@ -84,7 +98,7 @@ def _rows(rows: DataFrame, run, **more) -> DataFrame:
 
 @detection("d_multi_ip", "Several sign-in IPs for one user", "activity", "-24h", "6h", "12h", 4)
 def multi_ip(rows, run, now):
-    signed_in = rows.where(SIGN_IN).select(
+    signed_in = rows.where(MATCH["d_multi_ip"]).select(
         *run, F.col("ai.actor.email").alias("user"), F.col("ai.actor.ip").alias("src_ip"), "_time"
     )
     return with_values(
@@ -99,12 +113,12 @@ def multi_ip(rows, run, now):
 
 @detection("d_sso", "SSO configuration change", "activity", "-1h", "1h", "30m", 5)
 def sso(rows, run, now):
-    return _rows(rows.where(IDENTITY), run, organization_id="ai.org.id")
+    return _rows(rows.where(MATCH["d_sso"]), run, organization_id="ai.org.id")
 
 
 @detection("d_export", "Data export started", "activity", "-1h", "1h", "30m", 5, offset="5m")
 def export(rows, run, now):
-    return _rows(rows.where(EXPORT), run, organization_id="ai.org.id")
+    return _rows(rows.where(MATCH["d_export"]), run, organization_id="ai.org.id")
 
 
 @detection("d_topcost", "Top cost users", "user_cost", "-7d", "1d", "0m", 0, offset="480m")
@@ -125,27 +139,17 @@ def top_cost(rows, run, now):
 
 @detection("d_apikey", "API key created", "activity", "-1h", "1h", "30m", 4, offset="10m")
 def api_key(rows, run, now):
-    created = rows.where(
-        "ai.event_category = 'admin_change' AND ai.resource.type = 'api_key'"
-        " AND ai.action = 'create'"
-    )
-    return _rows(created, run, organization_id="ai.org.id")
+    return _rows(rows.where(MATCH["d_apikey"]), run, organization_id="ai.org.id")
 
 
 @detection("d_role", "Role or permission escalation", "activity", "-1h", "1h", "30m", 5, offset="15m")
 def role(rows, run, now):
-    changed = rows.where(
-        "ai.event_category = 'admin_change' AND ai.resource.type = 'user'"
-    ).where(like("ai.event_type", "*role*"))
-    return _rows(changed, run, organization_id="ai.org.id")
+    return _rows(rows.where(MATCH["d_role"]), run, organization_id="ai.org.id")
 
 
 @detection("d_chat", "Chat access failure spike", "activity", "-1h", "1h", "2h", 4, offset="20m")
 def chat_failures(rows, run, now):
-    failed = rows.where(
-        "ai.event_category = 'content_access' AND ai.resource.type = 'chat'"
-        " AND ai.outcome = 'failure'"
-    ).select(
+    failed = rows.where(MATCH["d_chat"]).select(
         *run, F.col("ai.actor.email").alias("user"), F.col("ai.resource.id").alias("chat_id"), "_time"
     )
     return with_values(
@@ -156,7 +160,7 @@ def chat_failures(rows, run, now):
 def _consumer_reads(rows: DataFrame) -> DataFrame:
     """Audit reads per consumer and half hour; runs start and end on half hours."""
     return (
-        rows.where("ai.event_category = 'data_export' AND ai.action = 'read'")
+        rows.where(MATCH["d_newapi"])
         .groupBy(
             F.col("ai.actor.user_agent").alias("user_agent"),
             F.col("ai.actor.ip").alias("src_ip"),

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from govlens.operators.filters import base
-from govlens.plans.detections import DETECTIONS, _delta
-from govlens.plans.reports.security import SIGN_IN
+from govlens.plans.detections import DETECTIONS, MATCH, _delta
 from govlens.streaming.ingest import ACTIVITY_DELAY
 
 # Detections whose look-back is a plain sliding window.
@@ -22,6 +21,17 @@ def _seconds(delta) -> str:
     return f"{int(delta.total_seconds())} seconds"
 
 
+def _matching(events: DataFrame, key: str, delay: str) -> DataFrame:
+    """Rows a detection looks for, with a watermark that all events move.
+
+    The comparison with the time keeps the condition above the watermark. Below it,
+    where Spark would push it, time would stand still between two rare matches and
+    the window of the last one would not close.
+    """
+    rows = base(events, DETECTIONS[key].record).withWatermark("_time", delay)
+    return rows.where(f"({MATCH[key]}) = (_time >= TIMESTAMP '0001-01-01 00:00:00')")
+
+
 def windowed(key: str, events: DataFrame, delay: str = ACTIVITY_DELAY) -> DataFrame:
     """Hits per window, given out when the watermark passes its end.
 
@@ -29,7 +39,7 @@ def windowed(key: str, events: DataFrame, delay: str = ACTIVITY_DELAY) -> DataFr
     (run_time, keys…, measure).
     """
     d = DETECTIONS[key]
-    rows = base(events, d.record).withWatermark("_time", delay)
+    rows = _matching(events, key, delay)
     look_back = _seconds(_delta(d.earliest.removeprefix("-")))
     window = F.window(
         "_time", look_back, _seconds(d.period), _seconds(d.offset % d.period)
@@ -37,30 +47,26 @@ def windowed(key: str, events: DataFrame, delay: str = ACTIVITY_DELAY) -> DataFr
     if key == "d_multi_ip":
         # Distinct addresses first, so that a busy user's state is spread by address.
         pairs = (
-            rows.where(SIGN_IN)
-            .where("ai.actor.email IS NOT NULL AND ai.actor.ip IS NOT NULL")
-            .groupBy(window, F.col("ai.actor.email").alias("user"), F.col("ai.actor.ip").alias("ip"))
+            rows.groupBy(
+                window, F.col("ai.actor.email").alias("user"), F.col("ai.actor.ip").alias("ip")
+            )
             .agg(F.count("*").alias("n"))
         )
-        hits = pairs.groupBy("window", "user").agg(F.count("*").alias("ip_count")).where(
-            "ip_count >= 3"
+        # Null users and addresses go last, for the same reason.
+        hits = pairs.groupBy("window", "user").agg(F.count("ip").alias("ip_count"))
+        return hits.where("CASE WHEN ip_count >= 3 THEN user END IS NOT NULL").select(
+            F.col("window.end").alias("run_time"), "user", "ip_count"
         )
-        return hits.select(F.col("window.end").alias("run_time"), "user", "ip_count")
     if key == "d_chat":
-        failed = rows.where(
-            "ai.event_category = 'content_access' AND ai.resource.type = 'chat'"
-            " AND ai.outcome = 'failure' AND ai.actor.email IS NOT NULL"
-        )
-        hits = failed.groupBy(window, F.col("ai.actor.email").alias("user")).agg(
+        hits = rows.groupBy(window, F.col("ai.actor.email").alias("user")).agg(
             F.count("*").alias("count")
         )
-        return hits.where("count >= 5").select(
+        return hits.where("CASE WHEN count >= 5 THEN user END IS NOT NULL").select(
             F.col("window.end").alias("run_time"), "user", "count"
         )
     # The others report matching rows; what alerts is their number per window.
-    matching = d.logic(rows, [], "NULL")
     return (
-        matching.groupBy(window)
+        rows.groupBy(window)
         .agg(F.count("*").alias("hits"))
         .select(F.col("window.end").alias("run_time"), "hits")
     )
@@ -68,18 +74,13 @@ def windowed(key: str, events: DataFrame, delay: str = ACTIVITY_DELAY) -> DataFr
 
 def first_seen_consumers(events: DataFrame, baseline: str = "30 days") -> DataFrame:
     """First audit read of a (user agent, address) pair within the baseline."""
-    reads = base(events, "activity").where(
-        "ai.event_category = 'data_export' AND ai.action = 'read'"
-        " AND ai.actor.user_agent IS NOT NULL AND ai.actor.ip IS NOT NULL"
+    reads = _matching(events, "d_newapi", baseline).select(
+        F.col("ai.actor.user_agent").alias("user_agent"),
+        F.col("ai.actor.ip").alias("src_ip"),
+        F.col("_time").alias("first_seen"),
     )
-    return (
-        reads.select(
-            F.col("ai.actor.user_agent").alias("user_agent"),
-            F.col("ai.actor.ip").alias("src_ip"),
-            F.col("_time").alias("first_seen"),
-        )
-        .withWatermark("first_seen", baseline)
-        .dropDuplicatesWithinWatermark(["user_agent", "src_ip"])
+    return reads.dropDuplicatesWithinWatermark(["user_agent", "src_ip"]).where(
+        "user_agent IS NOT NULL AND src_ip IS NOT NULL"
     )
 
 
