@@ -16,7 +16,7 @@ from govlens import providers
 from govlens.functions import sql as sql_functions
 from govlens.functions.rules import RuleBook, matched_rule_sql, rule_hits
 from govlens.operators import joins
-from govlens.operators.filters import base, time_range
+from govlens.operators.filters import base, raw, time_range
 from govlens.operators.stats import first_seen, stats, timechart, trailing_baseline
 from govlens.operators.tables import dedup_latest
 from govlens.plans import detections as D
@@ -138,13 +138,11 @@ _ACTOR = {"email": "ai.actor.email", "actor_id": "ai.actor.id"}
 _HEAD = {"_time": "_time", "category": "ai.event_category"}
 
 
-def _raw(*paths: str, dtype: str = "string") -> dict[str, str]:
-    return {
-        f"raw_{p.replace('.', '_')}": f"try_variant_get(raw, '$.{p}', '{dtype}')" for p in paths
-    }
+def _raw(*paths: str, dtype: str = "string") -> dict[str, tuple[str, str]]:
+    return {f"raw_{p.replace('.', '_')}": (p, dtype) for p in paths}
 
 
-NORMALIZED: dict[str, dict[str, str]] = {
+NORMALIZED: dict[str, dict[str, str | tuple[str, str]]] = {
     "activity": {
         **_HEAD,
         **_ACTOR,
@@ -160,7 +158,7 @@ NORMALIZED: dict[str, dict[str, str]] = {
         "resource_type": "ai.resource.type",
         "resource_id": "ai.resource.id",
         **_raw("visibility", "group_id", "claude_chat_id", "actor.api_key_id", "actor.directory_id"),
-        "raw_type": "try_variant_get(raw, '$.type', 'string')",
+        **_raw("type"),
     },
     "user": {
         **_HEAD,
@@ -272,7 +270,13 @@ NORMALIZED: dict[str, dict[str, str]] = {
 
 
 def _flat(events: DataFrame, kind: str) -> DataFrame:
-    return events.selectExpr(*[f"{sql} AS {name}" for name, sql in NORMALIZED[kind].items()])
+    """Contract columns by path, and members of ``raw`` by path and type."""
+    return events.select(
+        *[
+            (F.col(path) if isinstance(path, str) else raw(events, *path)).alias(name)
+            for name, path in NORMALIZED[kind].items()
+        ]
+    )
 
 
 for _kind in NORMALIZED:
@@ -617,9 +621,10 @@ def _dedup_latest(spark, d):
 
 @query("trailing_baseline")
 def _trailing(spark, d):
-    rows = bridge.events(spark, d, "cost").select(
+    events = bridge.events(spark, d, "cost")
+    rows = events.select(
         "_time",
-        F.expr("try_variant_get(raw, '$.product', 'string')").alias("product"),
+        raw(events, "product").alias("product"),
         F.col("ai.cost.amount_usd").alias("usd"),
     )
     return trailing_baseline(rows, "usd", ["product"])

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govlens.functions import rules
 
@@ -94,6 +95,13 @@ def like(column: str, *patterns: str) -> Column:
     return F.expr(" OR ".join(tests))
 
 
-def raw(path: str, dtype: str = "string") -> Column:
-    """A provider field the contract does not model."""
-    return F.try_variant_get(F.col("raw"), f"$.{path}", dtype)
+def raw(events: DataFrame, path: str, dtype: str = "string") -> Column:
+    """A provider field the contract does not model; null where there is none."""
+    found: T.DataType = events.schema["raw"].dataType
+    if isinstance(found, T.VariantType):
+        return F.try_variant_get(F.col("raw"), f"$.{path}", dtype)
+    for part in path.split("."):
+        if not isinstance(found, T.StructType) or part not in found.fieldNames():
+            return F.lit(None).cast(dtype)
+        found = found[part].dataType
+    return F.col(f"raw.{path}").cast(dtype)

@@ -10,6 +10,7 @@ from govlens import contract
 from govlens.functions import values as V
 from govlens.functions.rules import VOCABULARY, RuleBook
 from govlens.functions.values import quote
+from govlens.plans.normalize import as_stored
 
 
 def _in(column: str, allowed) -> str:
@@ -74,7 +75,7 @@ def violations(events: DataFrame) -> DataFrame:
         f"CASE WHEN {test} THEN named_struct('rule', {quote(rule)}, 'path', {quote(path)}) END"
         for rule, path, test in _checks()
     )
-    return events.select(
+    return as_stored(events).select(
         "ai.record",
         "ai.event_id",
         F.col("ai.actor.id").alias("actor_id"),
@@ -136,7 +137,7 @@ def category_map_gaps(spark: SparkSession) -> DataFrame:
 def canonical(events: DataFrame) -> DataFrame:
     """Events as JSON text, members in contract order, absent members left out."""
     ai = f"to_json({V.clean('ai', contract.AI_TYPE)}, {_TIME})"
-    return events.selectExpr(f"{ai} AS ai", "to_json(raw) AS raw")
+    return as_stored(events).selectExpr(f"{ai} AS ai", "to_json(raw) AS raw")
 
 
 _TIME = "map('timestampFormat', \"yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'\")"

@@ -31,13 +31,13 @@ def integration_events(ev, as_of):
 
 @report("cc_02", "Active users", "user_activity")
 def active_users(ev, as_of):
-    rows = ev.where(raw(f"{TOOL}_metrics.sessions", "bigint") > 0)
+    rows = ev.where(raw(ev, f"{TOOL}_metrics.sessions", "bigint") > 0)
     return rows.agg(F.count_distinct(USER).alias("cc_users"))
 
 
 @report("cc_03", "Spend", "cost")
 def spend(ev, as_of):
-    rows = ev.where(raw("product") == TOOL)
+    rows = ev.where(raw(ev, "product") == TOOL)
     return stats(rows, {"spend_usd": F.round(F.sum("ai.cost.amount_usd"), 2)})
 
 
@@ -45,8 +45,8 @@ def spend(ev, as_of):
 def accept_reject(ev, as_of):
     rows = ev.select(
         F.col(USER).alias("email"),
-        raw(f"{TOOL}_metrics.tool_accepted_count", "bigint").alias("a"),
-        raw(f"{TOOL}_metrics.tool_rejected_count", "bigint").alias("r"),
+        raw(ev, f"{TOOL}_metrics.tool_accepted_count", "bigint").alias("a"),
+        raw(ev, f"{TOOL}_metrics.tool_rejected_count", "bigint").alias("r"),
     )
     users = stats(rows, {"accepted": F.sum("a"), "rejected": F.sum("r")}, ["email"])
     both = F.col("accepted") + F.col("rejected")
@@ -58,8 +58,8 @@ def accept_reject(ev, as_of):
 def connectors(ev, as_of):
     rows = ev.select(
         F.col(USER).alias("email"),
-        raw("chat_metrics.connectors_used_count", "bigint").alias("chat"),
-        raw("cowork_metrics.connectors_used_count", "bigint").alias("cowork"),
+        raw(ev, "chat_metrics.connectors_used_count", "bigint").alias("chat"),
+        raw(ev, "cowork_metrics.connectors_used_count", "bigint").alias("cowork"),
     )
     users = stats(
         rows, {"chat_connectors": F.sum("chat"), "cowork_connectors": F.sum("cowork")}, ["email"]

@@ -73,7 +73,7 @@ def project_visibility(ev, as_of):
             "_time": "_time",
             "actor": USER,
             "project_id": "ai.resource.id",
-            "visibility": raw("visibility"),
+            "visibility": raw(ev, "visibility"),
         },
         [F.desc("_time"), F.col("ai.event_id")],
     )
@@ -120,7 +120,7 @@ def file_uploads(ev, as_of):
 def user_snapshot(ev, as_of):
     rows = ev.select(
         F.col(USER).alias("email"),
-        raw("full_name").alias("full_name"),
+        raw(ev, "full_name").alias("full_name"),
         F.col("ai.actor.role").alias("role"),
         F.col("ai.actor.id").alias("user_id"),
         "_time",
@@ -131,10 +131,10 @@ def user_snapshot(ev, as_of):
 @report("ov_12", "Directory snapshot (groups)", "group")
 def group_snapshot(ev, as_of):
     rows = ev.select(
-        raw("name").alias("name"),
-        raw("description").alias("description"),
-        raw("source_type").alias("source_type"),
-        raw("roles", "array<string>").alias("roles"),
+        raw(ev, "name").alias("name"),
+        raw(ev, "description").alias("description"),
+        raw(ev, "source_type").alias("source_type"),
+        raw(ev, "roles", "array<string>").alias("roles"),
         F.col("ai.resource.id").alias("group_id"),
         "_time",
     )

@@ -78,13 +78,13 @@ def adoption_trend(ev, as_of):
 
 @report("tk_07", "Token usage by product", "usage")
 def tokens_by_product(ev, as_of):
-    rows = ev.select(raw("product").alias("product"), "ai.usage.total_tokens")
+    rows = ev.select(raw(ev, "product").alias("product"), "ai.usage.total_tokens")
     return stats(rows, {"total_tokens": F.sum("total_tokens")}, ["product"])
 
 
 @report("tk_08", "Spend by product", "cost")
 def spend_by_product(ev, as_of):
-    rows = ev.select(raw("product").alias("product"), F.col(USD).alias("usd"))
+    rows = ev.select(raw(ev, "product").alias("product"), F.col(USD).alias("usd"))
     return stats(rows, {"spend_usd": F.sum("usd")}, ["product"]).orderBy(
         F.desc("spend_usd"), "product"
     )
@@ -133,8 +133,8 @@ def _limits(rows, order, limit=None):
             "limit_usd": "ai.cost.limit_usd",
             "spend_usd": "ai.cost.spend_usd",
             "utilization_pct": "ai.cost.utilization_pct",
-            "limit_source": raw("source.type"),
-            "period": raw("period"),
+            "limit_source": raw(rows, "source.type"),
+            "period": raw(rows, "period"),
         },
         [F.desc_nulls_last(order), F.col(USER)],
         limit,
@@ -155,14 +155,14 @@ def effective_limits(ev, as_of):
 @report("tk_15", "Pending spend limit requests", "spend_limit_request")
 def pending_requests(ev, as_of):
     return table(
-        ev.where(raw("status") == "pending"),
+        ev.where(raw(ev, "status") == "pending"),
         {
             "_time": "_time",
             "email": USER,
-            "status": raw("status"),
+            "status": raw(ev, "status"),
             "requested_limit_usd": "ai.cost.requested_limit_usd",
             "period_spend_usd": "ai.cost.spend_usd",
-            "request_id": raw("id"),
+            "request_id": raw(ev, "id"),
         },
         [F.desc("_time"), F.col(USER)],
     )

@@ -7,13 +7,12 @@ needs. Both engines must be able to state the mapping, hence its plain SQL.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlens import providers
 from govlens.plans.normalize import normalize, redact_chats
+from govlens.sources.collect import union
 from govlens.sources.feeds import FEEDS
 
 AS_OF = "2024-01-31 00:00:00"
@@ -369,5 +368,4 @@ def events_of(spark: SparkSession, sf_dir: str, kind: str, account: str = "main"
 
 def events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """The normalized events of the named kinds, by default of all 14."""
-    parts = [events_of(spark, sf_dir, kind) for kind in kinds or FEEDS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return union([events_of(spark, sf_dir, kind) for kind in kinds or FEEDS])

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens import providers
-from govlens.plans.normalize import normalize, redact_chats
+from govlens.operators.filters import raw
+from govlens.plans.normalize import as_stored, normalize, redact_chats
 from govlens.providers import Provider
 from govlens.sources.feeds import FEEDS
 
@@ -119,7 +120,7 @@ def bucketed(events: DataFrame, width: str = "1d") -> DataFrame:
         events.groupBy(
             F.window("_time", BUCKETS[width])["start"].alias("bucket"),
             "ai.record",
-            F.expr("try_variant_get(raw, '$.product', 'string')").alias("product"),
+            raw(events, "product").alias("product"),
             F.col("ai.model").alias("model"),
         )
         .agg(
@@ -165,7 +166,10 @@ def collect(
 
 def union(parts: list[DataFrame]) -> DataFrame:
     """Feeds or vendors below one another; the event row is the same for all."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if len(parts) == 1:
+        return parts[0]
+    stored = [as_stored(part) for part in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stored)
 
 
 def ingest_counts(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from govlens import contract
 from govlens.functions import values as V
+from govlens.plans.normalize import as_stored
 
 PARTITIONS = ("event_date", "record")
 
@@ -14,7 +15,7 @@ PARTITIONS = ("event_date", "record")
 def _partitioned(events: DataFrame) -> DataFrame:
     """Rows of a partition meet in as few files as their size allows: rebalancing
     joins small pieces and splits a day or kind that holds much of the data."""
-    rows = events.withColumn("record", F.col("ai.record"))
+    rows = as_stored(events).withColumn("record", F.col("ai.record"))
     return rows.hint("rebalance", *[F.col(p) for p in PARTITIONS])
 
 
@@ -30,13 +31,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def export_json(events: DataFrame, path: str) -> None:
     """One JSON document per line, absent members left out, ``ai.time`` first."""
     ai = V.clean("ai", contract.AI_TYPE)
-    events.selectExpr(f"{ai} AS ai", "raw").write.mode("append").option(
+    as_stored(events).selectExpr(f"{ai} AS ai", "raw").write.mode("append").option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'"
     ).json(path)
 
 
 def event_key() -> Column:
-    """What makes two deliveries the same event: the provider's id, else the kind,
+    """For stored events. What makes two deliveries the same event: the provider's id, else the kind,
     the time and every dimension a report row can have."""
     dims = ", ".join(
         f"coalesce(CAST({d} AS STRING), '')"
@@ -66,6 +67,7 @@ def newest_deliveries(events: DataFrame) -> DataFrame:
     An aggregate that combines copies where they are read, so an event that was
     delivered very often does not gather in one task.
     """
+    events = as_stored(events)
     columns = events.columns
     order = F.struct("collected_at", F.expr("to_json(ai)"))
     return (
@@ -83,7 +85,7 @@ def upsert_events(batch: DataFrame, path: str) -> None:
     store as it was. An event keeps its time, hence its partition.
     """
     spark = batch.sparkSession
-    batch = batch.withColumn("record", F.col("ai.record"))
+    batch = as_stored(batch).withColumn("record", F.col("ai.record"))
     touched = batch.select(*PARTITIONS).distinct()
     try:
         old = read_store(spark, path)

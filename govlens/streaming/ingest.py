@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from govlens.plans import rollup
+from govlens.plans.normalize import as_stored
 from govlens.sources import store
 
 # Fixed value: reports are final after three days; audit events come sooner.
@@ -17,7 +18,7 @@ REPORT_DELAY, ACTIVITY_DELAY = "3 days", "1 hour"
 
 def deduplicate(events: DataFrame, delay: str = ACTIVITY_DELAY) -> DataFrame:
     """Each event once; state for a key is dropped when the watermark has passed it."""
-    keyed = events.withColumn("_key", store.event_key()).withWatermark("_time", delay)
+    keyed = as_stored(events).withColumn("_key", store.event_key()).withWatermark("_time", delay)
     return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
