@@ -37,6 +37,16 @@ def moment(modifier: str | datetime | None, as_of: datetime) -> datetime | None:
     return at
 
 
+def at(when: datetime) -> Column:
+    """A moment in UTC as a literal, whatever the time zone of the driver's machine."""
+    return F.expr(f"TIMESTAMP '{when.isoformat(sep=' ')}'")
+
+
+def on(when: datetime) -> Column:
+    """Its day."""
+    return F.expr(f"DATE '{when.date().isoformat()}'")
+
+
 def time_range(
     df: DataFrame,
     as_of: datetime,
@@ -52,13 +62,13 @@ def time_range(
     start, end = moment(earliest, as_of), moment(latest, as_of)
     days = column == "_time" and "event_date" in df.columns
     if start is not None:
-        df = df.where(F.col(column) >= F.lit(start))
+        df = df.where(F.col(column) >= at(start))
         if days:
-            df = df.where(F.col("event_date") >= F.lit(start.date()))
+            df = df.where(F.col("event_date") >= on(start))
     if end is not None:
-        df = df.where(F.col(column) < F.lit(end))
+        df = df.where(F.col(column) < at(end))
         if days:
-            df = df.where(F.col("event_date") <= F.lit(end.date()))
+            df = df.where(F.col("event_date") <= on(end))
     return df
 
 

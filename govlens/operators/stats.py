@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from govlens.operators.filters import at
+
 Aggs = dict[str, Column | str]  # output name -> aggregate, as column or SQL
 LIST_SIZE = 1000  # values per list cell, on average at most
 
@@ -191,8 +193,8 @@ def _span_of(
     if series:
         ends.append(F.collect_set(series).alias("_series"))
     line = cells.agg(*ends)
-    first = F.col("_a") if start is None else F.lit(start)
-    last = F.col("_b") if end is None else F.lit(end)
+    first = F.col("_a") if start is None else at(start)
+    last = F.col("_b") if end is None else at(end)
     line = line.where(first.isNotNull() & last.isNotNull())
     columns = [_buckets(first, last, span).alias("bucket")] + (["_series"] if series else [])
     grid = line.select(*columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from govlens.operators.filters import base, moment
+from govlens.operators.filters import base, time_range
 from govlens.operators.stats import baseline_spike, latest, stats, with_values
 from govlens.operators.tables import ctime, top
 from govlens.plans.reports.security import AUDIT_READ, EXPORT, IDENTITY, SIGN_IN
@@ -295,23 +295,16 @@ def run(
 ) -> DataFrame:
     """One run at ``as_of``; ``None`` for a bound lifts it."""
     d = DETECTIONS[key]
-    start = moment(d.earliest if earliest == "default" else earliest, as_of)
-    end = moment(d.latest if latest == "default" else latest, as_of)
-    rows = _between(base(events, d.record, provider), d.time, start, end)
+    rows = time_range(
+        base(events, d.record, provider),
+        as_of,
+        d.earliest if earliest == "default" else earliest,
+        d.latest if latest == "default" else latest,
+        d.time,
+    )
     return d.logic(rows, [], f"TIMESTAMP '{as_of}'")
 
 
-def _between(rows: DataFrame, time: str, start: datetime | None, end: datetime | None):
-    days = time == "_time" and "event_date" in rows.columns
-    if start is not None:
-        rows = rows.where(F.col(time) >= F.lit(start))
-        rows = rows.where(F.col("event_date") >= F.lit(start.date())) if days else rows
-    if end is not None:
-        rows = rows.where(F.col(time) < F.lit(end))
-        rows = rows.where(F.col("event_date") <= F.lit(end.date())) if days else rows
-    return rows
-
-
 def _moment_sql(modifier: str, run_time: str) -> str:
     found = re.match(r"^(?:-(\d+)([hd]))?(@d)?$", "" if modifier == "now" else modifier)
     back, unit, snap = found.groups()

@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from govlens.operators.filters import at
 from govlens.operators.stats import stats, timechart
 from govlens.operators.tables import stamp, table, top
 from govlens.plans.reports.registry import report as _report
@@ -20,7 +21,7 @@ def lag(ev, as_of):
     """Two pruned columns per record; the rollup answers the same in fewer rows."""
     newest = stats(ev, {"_last": "max(_time)"}, ["sourcetype"])
     minutes = (
-        F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("_last")
+        F.unix_micros(at(as_of)) - F.unix_micros("_last")
     ) / 60_000_000
     return newest.select(
         "sourcetype", stamp("_last").alias("last"), F.round(minutes, 1).alias("lag_minutes")

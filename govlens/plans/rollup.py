@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlens.operators.stats import bucket
+from govlens.sources.store import of_days
 
 KEYS = (
     "hour",
@@ -53,12 +54,12 @@ def update(events: DataFrame, path: str, days: DataFrame | None = None) -> None:
     a day again gives the same day, so a repeated batch does no harm.
     """
     if days is not None:
-        events = events.join(days, "event_date", "left_semi")
+        events = of_days(events, days)
     rows = hourly(events).withColumn("event_date", F.to_date("hour"))
-    events.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (
         rows.hint("rebalance", F.col("event_date"))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
         .parquet(path)
     )

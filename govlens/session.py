@@ -8,15 +8,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# UTC everywhere; AQE splits skewed join partitions and coalesces small ones;
-# partition overwrite stays dynamic so that a reload touches only its own days.
+# UTC everywhere; AQE splits skewed join partitions and coalesces small ones.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Keyed state of any size stays on local disk with its changes in the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -35,7 +36,6 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens import providers
-from govlens.operators.filters import raw
+from govlens.operators.filters import at, raw
 from govlens.plans.normalize import as_stored, normalize, redact_chats
 from govlens.providers import Provider
 from govlens.sources.feeds import FEEDS
@@ -58,12 +58,12 @@ def incremental(
     """
     if state.last_id is None:
         since = as_of - timedelta(days=min(backfill_days, MAX_BACKFILL_DAYS))
-        rows = feed.where(F.col("created_at") >= F.lit(since))
+        rows = feed.where(F.col("created_at") >= at(since))
     else:
-        at = F.lit(state.last_created_at)
+        last = at(state.last_created_at)
         rows = feed.where(
-            (F.col("created_at") > at)
-            | ((F.col("created_at") == at) & (F.col("id") > F.lit(state.last_id)))
+            (F.col("created_at") > last)
+            | ((F.col("created_at") == last) & (F.col("id") > F.lit(state.last_id)))
         )
     if max_rows is not None:
         rows = rows.orderBy("created_at", "id").limit(max_rows)
@@ -80,10 +80,10 @@ def watermark(rows: DataFrame) -> DataFrame:
 
 
 def advance(state: State, rows: DataFrame) -> State:
-    last = watermark(rows).first()
+    last = watermark(rows).selectExpr("last_id", "CAST(last_created_at AS STRING) AS at", "count").first()
     if last["count"] == 0:
         return state
-    return replace(state, last_id=last["last_id"], last_created_at=last["last_created_at"])
+    return replace(state, last_id=last["last_id"], last_created_at=datetime.fromisoformat(last["at"]))
 
 
 def report_window(
@@ -103,8 +103,8 @@ def report_window(
 
 def in_window(events: DataFrame, start: date, end: date) -> DataFrame:
     return events.where(
-        (F.col("_time") >= F.lit(start).cast("timestamp"))
-        & (F.col("_time") < F.lit(end).cast("timestamp"))
+        (F.col("_time") >= F.expr(f"TIMESTAMP '{start} 00:00:00'"))
+        & (F.col("_time") < F.expr(f"TIMESTAMP '{end} 00:00:00'"))
     )
 
 

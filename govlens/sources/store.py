@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govlens import contract
 from govlens.functions import values as V
@@ -19,13 +20,33 @@ def _partitioned(events: DataFrame) -> DataFrame:
     return rows.hint("rebalance", *[F.col(p) for p in PARTITIONS])
 
 
+SCHEMA = T.StructType([*contract.EVENT_TYPE.fields, T.StructField("record", T.StringType())])
+MAX_LISTED_DAYS = 1000
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    _partitioned(events).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    """Append, or with ``overwrite`` replace the partitions that have rows here."""
+    writer = _partitioned(events).write.mode(mode).partitionBy(*PARTITIONS)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Events of the store. Predicates on day and record skip whole folders."""
-    return spark.read.parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def of_days(events: DataFrame, days: DataFrame) -> DataFrame:
+    """Events of the days in ``days(event_date)``.
+
+    A batch touches few days. So that the scan skips all other folders they become
+    literals; if there are more than a fixed number, a join finds them instead.
+    """
+    days = days.select("event_date").distinct()
+    listed = [r[0] for r in days.selectExpr("CAST(event_date AS STRING)").take(MAX_LISTED_DAYS + 1)]
+    if len(listed) > MAX_LISTED_DAYS:
+        return events.join(days, "event_date", "left_semi")
+    literals = ", ".join(f"DATE '{day}'" for day in listed)
+    return events.where(f"event_date IN ({literals})" if listed else "false")
 
 
 def export_json(events: DataFrame, path: str) -> None:
@@ -94,10 +115,9 @@ def upsert_events(batch: DataFrame, path: str) -> None:
             raise
         merged = newest_deliveries(batch)
     else:
-        # Days times kinds: few rows, joined as partition keys, which prunes the scan.
-        old = old.join(touched, list(PARTITIONS), "left_semi").select(*batch.columns)
-        merged = newest_deliveries(old.unionByName(batch))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Days first, which prunes the scan, then the kinds: a few hundred rows at most.
+        old = of_days(old, batch).join(touched, list(PARTITIONS), "left_semi")
+        merged = newest_deliveries(old.select(*batch.columns).unionByName(batch))
     write_events(merged.drop("record"), path, "overwrite")
 
 

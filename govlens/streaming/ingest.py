@@ -57,8 +57,7 @@ def load_rollup(events: DataFrame, store_path: str, path: str, checkpoint: str)
 
     def update(batch: DataFrame) -> None:
         store.upsert_events(batch, store_path)
-        days = batch.select("event_date").distinct()
-        rollup.update(store.read_store(batch.sparkSession, store_path), path, days)
+        rollup.update(store.read_store(batch.sparkSession, store_path), path, batch)
 
     return _each_batch(events, checkpoint, update)
 
