@@ -18,12 +18,12 @@ def _in(column: str, allowed) -> str:
 
 
 # A null or the text "null" as a value at any depth of raw. Other strings are
-# blanked first, so that their content cannot look like structure.
-_OTHER_TEXT = quote(r'"(?!null")(?:[^"\\]++|\\.)*+"')
+# taken out first, so that their content cannot look like structure.
+_TEXT = quote(r'("null")|"(?:[^"\\]++|\\.)*+"')
 _NULL_VALUE = quote(r'[:,\[](null|"null")[,}\]]')
 _NULL_IN_RAW = (
     "contains(to_json(raw), 'null')"
-    f" AND rlike(regexp_replace(to_json(raw), {_OTHER_TEXT}, 's'), {_NULL_VALUE})"
+    f" AND rlike(regexp_replace(to_json(raw), {_TEXT}, '$1'), {_NULL_VALUE})"
 )
 
 

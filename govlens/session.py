@@ -49,7 +49,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
     Only a local session may fall back to a folder of this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
