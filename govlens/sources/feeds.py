@@ -174,9 +174,14 @@ def stream_feed(
 
 
 def from_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """A feed frame from a column of JSON text; unreadable lines are left out."""
-    parsed = lines.withColumn(RECORD, F.try_parse_json(F.col(column)))
-    return parsed.where(F.col(RECORD).isNotNull()).drop(column)
+    """A feed frame from a column of JSON text; unreadable lines are left out.
+
+    They drop out of the explode, so that each line is parsed once: a filter on the
+    record would be moved down and parse it a second time.
+    """
+    rest = [c for c in lines.columns if c != column]
+    parsed = f"explode(array_compact(array(try_parse_json({name(column)}))))"
+    return lines.select(*rest, F.expr(parsed).alias(RECORD))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +190,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
     lines = spark.read.text(path).where(F.trim("value") != "")
     parsed = lines.select(
-        F.from_json("value", T.StructType([T.StructField("ai", contract.AI_TYPE)]))["ai"].alias("ai"),
+        F.from_json("value", T.StructType([T.StructField("ai", contract.AI_TYPE)]))["ai"].alias(
+            "ai"
+        ),
         F.try_variant_get(F.try_parse_json("value"), "$.raw", "variant").alias("raw"),
     )
     return parsed.withColumn("_time", F.col("ai.time")).withColumn(

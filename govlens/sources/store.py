@@ -90,7 +90,7 @@ def newest_deliveries(events: DataFrame) -> DataFrame:
     """
     events = as_stored(events)
     columns = events.columns
-    order = F.struct("collected_at", F.expr("to_json(ai)"))
+    order = F.struct("collected_at", F.xxhash64("ai"))
     return (
         events.groupBy(event_key().alias("_key"))
         .agg(F.max_by(F.struct(*columns), order).alias("_row"))
