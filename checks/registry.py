@@ -285,12 +285,18 @@ for _kind in NORMALIZED:
     )
 
 
+def _landed(spark: SparkSession, d: str) -> DataFrame:
+    """The activity feed written as JSON lines and read again."""
+    path = shared_dir(spark, "landed")
+    rows = bridge.feed(spark, d, "activity").select(F.to_json(F.struct("*"), MICROS))
+    rows.write.text(path)
+    return feeds.read_feed(spark, path, "activity")
+
+
 @query("normalize_activity_json")
 def _activity_json(spark, d):
-    """The same feed as JSON text with unknown keys: the VARIANT path."""
-    typed = bridge.feed(spark, d, "activity")
-    lines = typed.select(F.to_json(F.struct("*"), MICROS).alias("value"))
-    events = normalize(feeds.from_lines(lines), "activity", collected_at=bridge.COLLECTED_AT)
+    """The same feed landed as JSON lines: the VARIANT path."""
+    events = normalize(_landed(spark, d), "activity", collected_at=bridge.COLLECTED_AT)
     return _flat(events, "activity")
 
 
@@ -383,11 +389,9 @@ def _rule_problems(spark, d):
 @query("golden_diff")
 def _golden_diff(spark, d):
     """Typed path against JSON path over the whole feed: no event may differ."""
-    typed = bridge.feed(spark, d, "activity")
-    lines = typed.select(F.to_json(F.struct("*"), MICROS).alias("value"))
     a = bridge.events(spark, d, "activity")
-    b = normalize(feeds.from_lines(lines), "activity", collected_at=bridge.COLLECTED_AT)
-    return quality.golden_diff(a, b).groupBy("side").agg(F.count("*").alias("count"))
+    b = normalize(_landed(spark, d), "activity", collected_at=bridge.COLLECTED_AT)
+    return quality.golden_diff(a, b).groupBy("side").agg(F.sum("copies").alias("count"))
 
 
 # --- sources, cycles, store -------------------------------------------------------

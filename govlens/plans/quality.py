@@ -144,10 +144,14 @@ _TIME = "map('timestampFormat', \"yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'\")"
 
 
 def golden_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Events on one side only, counted as often as they occur."""
-    a, b = canonical(actual), canonical(expected)
-    return (
-        a.exceptAll(b)
-        .withColumn("side", F.lit("actual"))
-        .unionByName(b.exceptAll(a).withColumn("side", F.lit("expected")))
+    """Events that one side has more often than the other: (ai, raw, side, copies).
+
+    Both differences in one pass and one shuffle.
+    """
+    both = canonical(actual).withColumn("n", F.lit(1)).unionByName(
+        canonical(expected).withColumn("n", F.lit(-1))
+    )
+    surplus = both.groupBy("ai", "raw").agg(F.sum("n").alias("n")).where("n <> 0")
+    return surplus.selectExpr(
+        "ai", "raw", "IF(n > 0, 'actual', 'expected') AS side", "abs(n) AS copies"
     )

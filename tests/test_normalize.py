@@ -400,3 +400,13 @@ def test_export_and_replay(spark, lines, tmp_path):
     again = feeds.read_events(spark, path)
     assert quality.golden_diff(events, again).count() == 0
     assert again.where("_time = ai.time").count() == len(records)
+
+
+def test_golden_diff_counts_copies(spark, lines):
+    def of(*ids):
+        records = [{"id": i, "created_at": "2026-02-03", "type": "x"} for i in ids]
+        feed = feeds.read_feed(spark, lines(records, "-".join(ids) + ".jsonl"), "activity")
+        return normalize(feed, "activity", collected_at=AT)
+
+    found = quality.golden_diff(of("a", "a", "a", "b"), of("a", "b", "c")).collect()
+    assert sorted((r.side, r.copies) for r in found) == [("actual", 2), ("expected", 1)]
