@@ -592,7 +592,8 @@ def _members_of(spark, d):
 
 @query("time_range")
 def _time_range(spark, d):
-    events = base(bridge.events(spark, d, "activity"), "activity", "anthropic", AS_OF, "-9d@d", "@d")
+    events = bridge.events(spark, d, "activity")
+    events = base(events, "activity", providers.VENDOR, AS_OF, "-9d@d", "@d")
     return stats(events.select("event_date"), {"count": "count(*)"}, ["event_date"])
 
 

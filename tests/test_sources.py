@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from govlens.plans.normalize import normalize
 from govlens.plans.reports import REPORTS
+from govlens.providers import VENDOR
 from govlens.sources import collect, feeds, store
 
 AS_OF = datetime(2026, 3, 10, 12)
@@ -151,9 +152,9 @@ def test_collect_without_full_access(spark, lines):
     landed = {"activity": feeds.read_feed(spark, lines([activity(1), activity(2)]), "activity")}
     got = collect.collect(landed.get, "acme", AS_OF, full_access=False)
     assert [r.asDict() for r in collect.ingest_counts(got).collect()] == [
-        {"sourcetype": "anthropic:compliance:activity", "count": 2}
+        {"sourcetype": f"{VENDOR}:compliance:activity", "count": 2}
     ]
-    assert got.first().source == "anthropic:compliance:activities:acme"
+    assert got.first().source == f"{VENDOR}:compliance:activities:acme"
 
 
 def test_bucket_widths(spark, lines):
