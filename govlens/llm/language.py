@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govlens.llm.common import fold, keep, text_runs
+from govlens.llm.samples import first_by_hash
 
 DOCS_PER_LANGUAGE = 300
 PASSAGE_CHARS = 400
@@ -196,18 +197,13 @@ def learn(
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
     length = F.char_length(text_col)
     start = F.pmod(order, F.greatest(F.lit(1), length - passage_chars + 1)) + 1
+    usable = labelled.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) > 0)).select(
+        F.col(lang_col).cast("string").alias("lang"),
+        order.alias("order"),
+        F.substring(F.col(text_col), start.cast("int"), F.lit(passage_chars)).alias("passage"),
+    )
     rows = (
-        labelled.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) > 0))
-        .select(
-            F.col(lang_col).cast("string").alias("lang"),
-            order.alias("order"),
-            F.substring(F.col(text_col), start.cast("int"), F.lit(passage_chars)).alias("passage"),
-        )
-        .withColumn(
-            "nth",
-            F.row_number().over(Window.partitionBy("lang").orderBy("order", "passage")),
-        )
-        .where(F.col("nth") <= docs_per_language)
+        first_by_hash(usable, "lang", "order", docs_per_language)
         .select("lang", "nth", "passage")
         .collect()
     )
