@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the workers, once per application.
+
+    A cluster job would name it in --py-files; queries that are called from any folder
+    cannot rely on that.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_govlens_code", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="govlens-"), "govlens_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._govlens_code = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,6 +11,7 @@ from govlens.llm import (
     decontaminate,
     extract,
     language,
+    ngram_join,
     packing,
     quality,
     secrets,
@@ -19,6 +20,10 @@ from govlens.llm import (
 from govlens.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
@@ -56,6 +61,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ngram_join,
         op2_chat,
         op4_toxicity,
         op5_quality,
