@@ -11,6 +11,7 @@ from govlens.llm import (
     decontaminate,
     extract,
     language,
+    neighbours,
     ngram_join,
     packing,
     quality,
@@ -28,6 +29,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_join,
         op2_chat,
+        op3_neighbours,
         op4_toxicity,
         op5_quality,
         op6_decontamination,
