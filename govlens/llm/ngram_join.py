@@ -566,6 +566,30 @@ def linked(
     return filled.unionByName(empty)
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, and every row without words.
+
+    The rows that stay are found again by id and by the hashes of their text. Rows that are
+    alike in all of these are copies, of which one stays, unless they have no words.
+    """
+    found = linked(docs, id_col, text_col)
+    names = docs.columns
+    # null ids and null texts are values like others here
+    key = [
+        F.col("id").isNull().alias("__no"),
+        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__id"),
+        F.col("k1").alias("__k1"),
+        F.col("k2").alias("__k2"),
+    ]
+    keys = ["__no", "__id", "__k1", "__k2"]
+    kept = found.where((F.col("row") == F.col("first")) & (F.col("n") > 0)).select(*key)
+    rows = docs.select("*", F.col(id_col).alias("id"), *_text_keys(text_col)).select(*names, *key)
+    blank = docs.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return (
+        rows.join(kept, keys).dropDuplicates(keys).select(names).unionByName(blank)
+    )
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Every document's set size and component."""
     return linked(docs.select("doc_id", "text")).select(

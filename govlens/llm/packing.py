@@ -16,7 +16,9 @@ each row's pieces get places of their own. An empty table gives no sequence.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +36,11 @@ END = 0
 PARTNERS = 32  # common lengths that three-piece patterns are made with
 FIT_ROUNDS = 60
 ROWS_PER_SALT = 250_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000  # per worker, about 200 bytes each
+
+# A run of ASCII punctuation that ends a word after a letter or digit is a token run of its own
+# (an apostrophe could begin a contraction, a bar could end a special token).
+_TAIL = re.compile(rb"(?<=[a-z0-9])[!\"#$%&()*+,./:;=?@-]+(?=[ \n\t\r\x0b\x0c]|\Z)")
 
 PIECE = T.StructType(
     [
@@ -57,7 +63,8 @@ class Tokeniser:
     """Token ids of texts, word by word through a cache.
 
     The vocabulary drops white space and never joins across it, so a text's ids are its
-    words' ids in order. Words that were not seen lately go to the library in one batch.
+    words' ids in order; so are those of a word and of the punctuation behind it. Words that
+    were not seen lately go to the library in one batch.
     """
 
     def __init__(self, source: str):
@@ -69,12 +76,13 @@ class Tokeniser:
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.start = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.filled = 0
 
     def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.place]
+        new = list(words - self.place.keys())
         if not new:
             return
         if len(self.place) + len(new) > CACHED_WORDS:
@@ -85,15 +93,25 @@ class Tokeniser:
         )
         ids = [e.ids for e in encoded]
         sizes = np.array([len(i) for i in ids], np.int64)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        flat = np.fromiter((k for i in ids for k in i), np.uint32, int(sizes.sum()))
-        self.flat = np.concatenate([self.flat, flat])
+        first, total = len(self.place), int(sizes.sum())
+        while len(self.start) < first + len(new):
+            self.start, self.size = (np.concatenate([x, x]) for x in (self.start, self.size))
+        while len(self.flat) < self.filled + total:
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.place.update(zip(new, range(first, first + len(new))))
+        self.start[first : first + len(new)] = self.filled + np.cumsum(sizes) - sizes
+        self.size[first : first + len(new)] = sizes
+        joined = itertools.chain.from_iterable(ids)
+        self.flat[self.filled : self.filled + total] = np.fromiter(joined, np.uint32, total)
+        self.filled += total
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        split = [t.split() for t in texts]
+        # the vocabulary is in lower case, so A-Z may be lowered before the cache
+        # (special tokens are known by their case, so a text that could hold one stays as it is)
+        split = [
+            t.split() if b"<|" in t else _TAIL.sub(rb" \g<0>", t.lower()).split() for t in texts
+        ]
         self._learn({w for words in split for w in words})
         at = self.place.__getitem__
         for words in split:
