@@ -574,20 +574,23 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = linked(docs, id_col, text_col)
     names = docs.columns
-    # null ids and null texts are values like others here
-    key = [
-        F.col("id").isNull().alias("__no"),
-        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__id"),
-        F.col("k1").alias("__k1"),
-        F.col("k2").alias("__k2"),
-    ]
     keys = ["__no", "__id", "__k1", "__k2"]
-    kept = found.where((F.col("row") == F.col("first")) & (F.col("n") > 0)).select(*key)
-    rows = docs.select("*", F.col(id_col).alias("id"), *_text_keys(text_col)).select(*names, *key)
-    blank = docs.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return (
-        rows.join(kept, keys).dropDuplicates(keys).select(names).unionByName(blank)
+
+    def key(doc_id: str, k1: Column, k2: Column) -> list[Column]:
+        # null ids and null texts are values like others here
+        return [
+            F.col(doc_id).isNull().alias("__no"),
+            F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("__id"),
+            k1.alias("__k1"),
+            k2.alias("__k2"),
+        ]
+
+    kept = found.where((F.col("row") == F.col("first")) & (F.col("n") > 0)).select(
+        *key("id", F.col("k1"), F.col("k2"))
     )
+    rows = docs.select("*", *key(id_col, *_text_keys(text_col)))
+    blank = docs.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return rows.join(kept, keys).dropDuplicates(keys).select(names).unionByName(blank)
 
 
 def report(docs: DataFrame) -> DataFrame:
