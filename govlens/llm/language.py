@@ -39,7 +39,7 @@ TOTAL_CHARS = 160_000
 PIECE = 256
 UNKNOWN = "und"
 
-_RESTART = np.int32(1 << 30)
+_COUNT = 29  # an entry's high bits: phrases that end or stand alone here
 
 
 def _letters() -> np.ndarray:
@@ -73,7 +73,9 @@ class Model:
     """Suffix automata of all languages in one table of next states.
 
     A state is the offset of its row. Where a phrase ends, the entry holds the state
-    that the next phrase reaches with this symbol, marked with a high bit.
+    that the next phrase reaches with this symbol, and one in its high bits. A symbol that
+    the language lacks is a phrase of its own: it leads back to the root and counts for
+    the phrase before it, if there is one, and for itself.
     """
 
     def __init__(self, passages: dict[str, list[str]], total_chars: int = TOTAL_CHARS):
@@ -99,7 +101,9 @@ class Model:
             missing = own < 0
             root = np.where(own[0] < 0, 0, own[0])
             full = np.where(missing, root[None, :], own) * self.width + base
-            rows.append(np.where(missing, full | _RESTART, full).astype(np.int32).ravel())
+            count = missing.astype(np.int32) + (missing & (own[0] < 0)[None, :])
+            count[0] -= missing[0]
+            rows.append((full | count << _COUNT).astype(np.int32).ravel())
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(text))))
             base += own.size
@@ -166,8 +170,9 @@ class Model:
             if not n:
                 break
             reached = self.table[state[:, :n] + grid[step, :n]]
-            ends[:, :n] += reached >> 30
-            state[:, :n] = reached & (_RESTART - 1)
+            ends[:, :n] += reached >> _COUNT
+            state[:, :n] = reached & ((1 << _COUNT) - 1)
+        ends -= state == np.array(self.roots, np.int32)[:, None]  # nothing behind the last phrase
         for k in range(len(self.languages)):
             counts[k] = np.bincount(owner, ends[k], len(texts)).astype(np.int64)
         return counts, lettered

@@ -72,7 +72,9 @@ def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
     if not found:  # all rows below the bound are copies that hashed above it
         found = rows.groupBy(order.alias("h")).agg(F.first("vec").alias("vec")).orderBy("h")
         found = found.limit(pivots).collect()
-    size = len(found[0]["vec"]) if found else 0
+    if not found:
+        return np.zeros((0, 0))
+    size = len(found[0]["vec"])
     return np.array([r["vec"] for r in found if len(r["vec"]) == size], np.float64).reshape(-1, size)
 
 
