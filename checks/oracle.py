@@ -545,7 +545,7 @@ q(
 trend(
     "th_05",
     "log",
-    "(SELECT ts AS _time FROM log WHERE regexp_matches(message, 'Rate limited|429|APIError'))",
+    "(SELECT ts AS _time FROM log WHERE regexp_matches(message, '(?i)(^|[^a-z0-9_])(rate limited|429|apierror)($|[^a-z0-9_])'))",
     {"count": "count(*)"},
     "hour",
 )
@@ -1011,7 +1011,7 @@ _LAST = (
 q(
     "incremental_first",
     "act",
-    _LAST.format("(SELECT * FROM act ORDER BY _time, event_id LIMIT 1000) c"),
+    _LAST.format("act"),
 )
 q(
     "incremental_next",

@@ -417,7 +417,7 @@ def _explode_pages(spark, d):
 
 @query("incremental_first")
 def _incremental_first(spark, d):
-    """State after a first cycle of 1000 events, 30 days back."""
+    """State after a first cycle, 31 days back."""
     feed = bridge.feed(spark, d, "activity").where("created_at IS NOT NULL")
     rows, _ = collect.incremental(feed, collect.State(), AS_OF, backfill_days=31)
     return collect.watermark(rows)
@@ -428,7 +428,7 @@ def _incremental_next(spark, d):
     """All events after a given last one, in one uncut cycle."""
     feed = bridge.feed(spark, d, "activity")
     state = collect.State("activity_5", datetime(2024, 1, 10))
-    rows, _ = collect.incremental(feed, state, AS_OF, max_rows=None)
+    rows, _ = collect.incremental(feed, state, AS_OF)
     return collect.watermark(rows)
 
 

@@ -36,7 +36,7 @@ def top(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 def dedup_latest(
     df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("_time",)
 ) -> DataFrame:
-    """The newest row of each key.
+    """The newest row of each key; rows with a null in the key do not take part.
 
     An aggregate, not a window: copies of one key are reduced where they are
     read, so a key with a third of all rows never has to be sorted in one task.
@@ -44,7 +44,7 @@ def dedup_latest(
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order))
     return (
-        df.where(F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull())
+        df.dropna(subset=list(keys))
         .groupBy(*keys)
         .agg(newest.alias("_row"))
         .select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])

@@ -12,8 +12,8 @@ from govlens.operators.tables import stamp, table, top
 from govlens.plans.reports.registry import report as _report
 
 report = partial(_report, earliest="-24h")
-# Texts that mark a throttled or failed request in the run log.
-RETRY = r"Rate limited|429|APIError"
+# Terms, as whole words, that mark a throttled or failed request in the run log.
+RETRY = r"(?i)\b(?:Rate limited|429|APIError)\b"
 
 
 @report("th_00", "Ingestion lag by sourcetype")

@@ -136,7 +136,7 @@ def _limits(rows, order, limit=None):
             "limit_source": raw(rows, "source.type"),
             "period": raw(rows, "period"),
         },
-        [F.desc_nulls_last(order), F.col(USER)],
+        [F.desc_nulls_last(order), F.col(USER), F.desc("_time"), F.col("ai.cost.limit_usd")],
         limit,
     )
 
@@ -164,5 +164,5 @@ def pending_requests(ev, as_of):
             "period_spend_usd": "ai.cost.spend_usd",
             "request_id": raw(ev, "id"),
         },
-        [F.desc("_time"), F.col(USER)],
+        [F.desc("_time"), F.col(USER), raw(ev, "id")],
     )

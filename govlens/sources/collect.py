@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
@@ -16,8 +17,8 @@ from govlens.plans.normalize import as_stored, normalize, redact_chats
 from govlens.providers import Provider
 from govlens.sources.feeds import FEEDS
 
-# Defaults and bounds of a collection cycle.
-BACKFILL_DAYS, MAX_BACKFILL_DAYS, MAX_EVENTS = 7, 180, 1000
+# Defaults of a collection cycle.
+BACKFILL_DAYS = 7
 FINAL_AFTER_DAYS, FIRST_WINDOW_DAYS = 3, 7
 # Switch name and the feeds it turns on.
 TOGGLES = {
@@ -29,6 +30,7 @@ TOGGLES = {
     "collect_user_activity": ("user_activity",),
     "collect_spend_limits": ("spend_limit", "spend_limit_request"),
 }
+_DAY = re.compile(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])")
 BUCKETS = {"1d": "1 day", "1h": "1 hour", "1m": "1 minute"}
 
 
@@ -47,17 +49,17 @@ def incremental(
     state: State,
     as_of: datetime,
     backfill_days: int = BACKFILL_DAYS,
-    max_rows: int | None = MAX_EVENTS,
+    max_rows: int | None = None,
 ) -> tuple[DataFrame, Callable[[], State]]:
     """The next cycle of the activity feed, oldest first, and its end state.
 
-    The first cycle goes back some days, later ones go on after the last event.
-    ``max_rows`` is the cycle's size, not a cut: the next cycle takes the rest;
-    None takes all. The state is computed when it is asked for, which is after
+    The first cycle goes back ``backfill_days``, later ones go on after the last event.
+    A cycle takes all there is; with ``max_rows`` it takes the oldest so many and the
+    next cycle goes on there. The state is computed when it is asked for, which is after
     the cycle was written, and an empty cycle leaves it alone.
     """
     if state.last_id is None:
-        since = as_of - timedelta(days=min(backfill_days, MAX_BACKFILL_DAYS))
+        since = as_of - timedelta(days=backfill_days)
         rows = feed.where(F.col("created_at") >= at(since))
     else:
         last = at(state.last_created_at)
@@ -87,18 +89,25 @@ def advance(state: State, rows: DataFrame) -> State:
 
 
 def report_window(
-    as_of: datetime, last_finalized: str | None = None, lag_days: int = FINAL_AFTER_DAYS
+    as_of: datetime, last_finalized: date | str | None = None, lag_days: int = FINAL_AFTER_DAYS
 ) -> tuple[date, date]:
     """Days ``[start, end)`` to read: reports are final some days after the fact.
 
-    The last window's final day is read again; without a readable state the first
-    window has its own length.
+    A window starts on the last one's final day, but holds a day at least; the first one
+    has its own length, and so has one after a state that names no day.
     """
     end = as_of.date() - timedelta(days=lag_days)
-    try:
-        return min(date.fromisoformat(str(last_finalized)), end - timedelta(days=1)), end
-    except ValueError:
+    known = finalized_day(last_finalized)
+    if known is None:
         return end - timedelta(days=FIRST_WINDOW_DAYS), end
+    return (known if known < end else end - timedelta(days=1)), end
+
+
+def finalized_day(value: date | str | None) -> date | None:
+    """The day that a state row names, if it names one."""
+    if value is None or isinstance(value, date):
+        return value
+    return date(*map(int, value.split("-"))) if _DAY.fullmatch(value) else None
 
 
 def in_window(events: DataFrame, start: date, end: date) -> DataFrame:

@@ -6,6 +6,7 @@ unknown keys included) or typed columns. ``Fields`` reads both alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,9 +106,10 @@ FEEDS = {
 class Fields:
     """Columns of one feed frame by dotted path, typed or out of the VARIANT."""
 
-    def __init__(self, df: DataFrame, kind: str):
+    def __init__(self, df: DataFrame, kind: str, own: Iterable[str] = ()):
+        """``own``: text columns that a provider names itself."""
         self.df = df
-        self.declared = FEEDS[kind].columns
+        self.declared = {**FEEDS[kind].columns, **dict.fromkeys(own, "string")}
         self.open = RECORD in df.columns and isinstance(df.schema[RECORD].dataType, T.VariantType)
 
     def dtype(self, path: str) -> T.DataType | None:

@@ -21,7 +21,17 @@ def _partitioned(events: DataFrame) -> DataFrame:
 
 
 SCHEMA = T.StructType([*contract.EVENT_TYPE.fields, T.StructField("record", T.StringType())])
-MAX_LISTED_DAYS = 1000
+
+# What a report row measures, as against what it is about: the contract's sub-structs, and
+# numbers in ``raw`` whose member has one of these names or endings (fixed wire names).
+MEASURES = ("usage", "cost", "adoption")
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_MEASURED = (
+    r'"[^"\\]*(?:count|counts|tokens|amount|usd|spend|rate|requests|total|minutes|seconds|score'
+    r'|added|removed|accepted|rejected)":-?[0-9.eE+-]+,?'
+)
+# Current state, read again and again: each day's snapshot is an event of its own.
+SNAPSHOTS = ("spend_limit", "spend_limit_request")
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
@@ -38,15 +48,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def of_days(events: DataFrame, days: DataFrame) -> DataFrame:
     """Events of the days in ``days(event_date)``.
 
-    A batch touches few days. So that the scan skips all other folders they become
-    literals; if there are more than a fixed number, a join finds them instead.
+    The first and last of them bound the scan by literals, the join prunes between them.
     """
     days = days.select("event_date").distinct()
-    listed = [r[0] for r in days.selectExpr("CAST(event_date AS STRING)").take(MAX_LISTED_DAYS + 1)]
-    if len(listed) > MAX_LISTED_DAYS:
-        return events.join(days, "event_date", "left_semi")
-    literals = ", ".join(f"DATE '{day}'" for day in listed)
-    return events.where(f"event_date IN ({literals})" if listed else "false")
+    first, last = days.selectExpr(
+        "CAST(min(event_date) AS STRING)", "CAST(max(event_date) AS STRING)"
+    ).first()
+    if first is None:
+        return events.where("false")
+    within = events.where(f"event_date BETWEEN DATE '{first}' AND DATE '{last}'")
+    return within.join(days, "event_date", "left_semi")
 
 
 def export_json(events: DataFrame, path: str) -> None:
@@ -58,27 +69,21 @@ def export_json(events: DataFrame, path: str) -> None:
 
 
 def event_key() -> Column:
-    """For stored events. What makes two deliveries the same event: the provider's id, else the kind,
-    the time and every dimension a report row can have."""
-    dims = ", ".join(
-        f"coalesce(CAST({d} AS STRING), '')"
-        for d in (
-            "ai.record",
-            "ai.time",
-            "ai.model",
-            "ai.actor.id",
-            "ai.actor.email",
-            "ai.org.uuid",
-            "ai.resource.type",
-            "ai.resource.id",
-            *(
-                f"try_variant_get(raw, '$.{p}', 'string')"
-                for p in ("id", "product", "model", "bucket_width", "period")
-            ),
-        )
+    """For stored events. What makes two deliveries the same event: the provider's id, else
+    everything that is not a measure.
+
+    That is every contract field outside MEASURES and every other member of ``raw``, known
+    to the contract or not; snapshots add the day on which they were collected.
+    """
+    about = ", ".join(
+        f"'{f.name}', ai.{f.name}" for f in contract.AI_TYPE.fields if f.name not in MEASURES
     )
+    rest = f"regexp_replace(to_json(raw), {V.quote(f'({_STRING}:{_STRING})|{_MEASURED}')}, '$1')"
+    kinds = ", ".join(V.quote(k) for k in SNAPSHOTS)
+    day = f"CASE WHEN ai.record IN ({kinds}) THEN CAST(CAST(collected_at AS DATE) AS STRING) END"
+    dims = f"to_json(named_struct({about})), coalesce({rest}, ''), coalesce({day}, '')"
     return F.expr(
-        f"coalesce(concat(ai.vendor, '/', ai.event_id), sha2(concat_ws('|', ai.vendor, {dims}), 256))"
+        f"coalesce(concat(ai.vendor, '/', ai.event_id), sha2(concat_ws('|', {dims}), 256))"
     )
 
 

@@ -204,3 +204,21 @@ def test_delta_of_schedule():
     assert _first_run(d, datetime(2026, 1, 1)) == datetime(2026, 1, 1, 6, 30)
     assert _first_run(d, datetime(2026, 1, 1, 6, 30)) == datetime(2026, 1, 2, 6, 30)
     assert d.suppress == timedelta(hours=12)
+
+
+def test_dedup_needs_the_whole_key(spark):
+    from govlens.operators.tables import dedup_latest
+
+    rows = spark.createDataFrame(
+        [("a", "x", 1), ("a", "x", 2), ("a", None, 3), (None, "x", 4), (None, None, 5)],
+        "k string, l string, _time long",
+    )
+    assert [tuple(r) for r in dedup_latest(rows, ["k", "l"]).collect()] == [("a", "x", 2)]
+
+
+def test_retries_are_whole_terms(spark):
+    from govlens.plans.reports.health import RETRY
+
+    lines = ["HTTP 429 from host", "cycle #14290", "rate LIMITED by host", "MyAPIErrors", "APIError: x"]
+    df = spark.createDataFrame([(t,) for t in lines], "m string")
+    assert [r[0] for r in df.select(F.col("m").rlike(RETRY)).collect()] == [True, False, True, False, True]

@@ -123,3 +123,40 @@ def test_no_nulls_for_missing_names(spark):
     row = df.select(classify("coalesce(name, '')", providers.DEFAULT_RULES, "action")).first()
     assert row[0] == "unknown"
     assert df.where(F.col("name").isNull()).count() == 1
+
+
+@pytest.mark.parametrize(
+    "value, pattern, matches",
+    [("xa", "[!x]a", False), ("ya", "[!x]a", True), ("xa", "[xy]a", True), ("za", "[x-y]a", False),
+     ("a?b", "a[?]b", True), ("axb", "a[?]b", False), ("a*b", "a[*]b", True), ("abc", "a*", True),
+     ("a\nb", "a?b", True), ("a.b", "a.b", True), ("axb", "a.b", False), ("[a", "[a", True),
+     ("^a", "[^]a", True), ("xa", "[^]a", False), ("]a", "[]]a", True), ("ba", "[!]]a", True),
+     ("a", "", False), ("", "", True), ("x{2}", "x{2}", True), ("é_1", "?_[0-9]", True),
+     ("x_a_y", "*_a_*", True)],
+)
+def test_sql_glob_is_the_rules_glob(spark, value, pattern, matches):
+    import fnmatch
+    import re
+
+    from govlens.functions import sql
+
+    assert bool(re.match(fnmatch.translate(pattern), value)) == matches
+    sql.register(spark)
+    df = spark.createDataFrame([(value, pattern)], "v string, p string")
+    assert df.selectExpr("glob_match(v, p)").first()[0] == matches
+
+
+def test_a_provider_may_name_its_own_fields(spark, tmp_path):
+    import dataclasses
+    import json
+
+    from govlens.plans.normalize import normalize
+    from govlens.sources import feeds
+
+    vendor = dataclasses.replace(providers.provider(providers.VENDOR), chat_field="thread", file_field="blob")
+    path = tmp_path / "own.jsonl"
+    path.write_text(json.dumps({"id": "1", "type": "claude_chat_created", "thread": "t7", "created_at": "2026-01-01"}))
+    for schema in (None, "id string, type string, thread string, created_at string"):
+        feed = feeds.read_feed(spark, str(path), "activity", schema)
+        row = normalize(feed, "activity", vendor, "2026-01-02").select("ai.resource.id").first()
+        assert row[0] == "t7"

@@ -56,6 +56,38 @@ def test_upsert_is_idempotent_and_keeps_the_last_delivery(spark, lines, tmp_path
     assert store.read_store(spark, path).where("collected_at > '2026-03-11'").count() == 7
 
 
+def _limit(amount, spent, **more):
+    return {"user_id": "u1", "amount": amount, "period_to_date_spend": spent,
+            "created_at": "2026-01-01T00:00:00Z", "currency": "USD", **more}
+
+
+def test_upsert_keeps_rows_that_differ_in_any_dimension(spark, lines, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [
+        {"starting_at": "2026-03-01T00:00:00Z", "model": "m", "output_tokens": 5, "region": region,
+         "context": {"window": window}, "tier": [tier]}
+        for region in ("eu", "us") for window in (1, 2) for tier in ("a", "b")
+    ]
+    feed = feeds.read_feed(spark, lines(rows, "a.jsonl"), "usage")
+    store.upsert_events(normalize(feed, "usage", collected_at="2026-03-02 00:00:00"), path)
+    # corrected measures are newer deliveries of the same rows
+    later = [{**r, "output_tokens": 9, "cache_read_input_tokens": 3} for r in rows]
+    feed = feeds.read_feed(spark, lines(later, "b.jsonl"), "usage")
+    store.upsert_events(normalize(feed, "usage", collected_at="2026-03-03 00:00:00"), path)
+    kept = store.read_store(spark, path).select("ai.usage.output_tokens").collect()
+    assert [r[0] for r in kept] == [9] * 8
+
+
+def test_upsert_keeps_every_days_snapshot(spark, lines, tmp_path):
+    path = str(tmp_path / "store")
+    for day, spent in ((2, "100"), (5, "10"), (5, "20")):
+        feed = feeds.read_feed(spark, lines([_limit("100", spent)], f"{day}{spent}.jsonl"), "spend_limit")
+        events = normalize(feed, "spend_limit", collected_at=f"2026-01-0{day} 12:0{spent[0]}:00")
+        store.upsert_events(events, path)
+    kept = store.read_store(spark, path).orderBy("collected_at").select("ai.cost.spend_usd").collect()
+    assert [r[0] for r in kept] == [1.0, 0.2]
+
+
 def test_upsert_survives_a_hot_event(spark, lines, tmp_path):
     many = events(spark, lines, [activity(1)] * 500 + [activity(2)])
     path = str(tmp_path / "store")
@@ -130,7 +162,7 @@ def test_cycles_cover_every_event_once(spark, lines):
     recent, _ = collect.incremental(feed, collect.State(), AS_OF, backfill_days=8, max_rows=None)
     assert recent.count() == 40  # only 3 March is within eight days
     far, _ = collect.incremental(feed, collect.State(), datetime(2026, 12, 1), backfill_days=999)
-    assert far.count() == 0  # never more than 180 days back
+    assert far.count() == 120  # as far back as was asked for
 
 
 @pytest.mark.parametrize(
