@@ -36,11 +36,13 @@ END = 0
 PARTNERS = 32  # common lengths that three-piece patterns are made with
 FIT_ROUNDS = 60
 ROWS_PER_SALT = 250_000
-CACHED_WORDS = 1_000_000  # per worker, about 200 bytes each
+CACHED_WORDS = 1_500_000  # per worker, about 200 bytes each
 
 # A run of ASCII punctuation that ends a word after a letter or digit is a token run of its own
 # (an apostrophe could begin a contraction, a bar could end a special token).
-_TAIL = re.compile(rb"(?<=[a-z0-9])[!\"#$%&()*+,./:;=?@-]+(?=[ \n\t\r\x0b\x0c]|\Z)")
+_TAIL = re.compile(rb"(?<=[a-z0-9])[!\"#$%&()*+,./:;=?@-]+\Z")
+_MARK = b"<|"  # special tokens hold it
+SEPARATOR = "<|startoftext|>"
 
 PIECE = T.StructType(
     [
@@ -59,12 +61,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Places(dict):
+    """Word -> number; a word that is looked up for the first time gets the next one."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Tokeniser:
     """Token ids of texts, word by word through a cache.
 
     The vocabulary drops white space and never joins across it, so a text's ids are its
     words' ids in order; so are those of a word and of the punctuation behind it. Words that
-    were not seen lately go to the library in one batch.
+    were not seen lately go to the library in few calls, held apart by a special token.
     """
 
     def __init__(self, source: str):
@@ -72,56 +86,98 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
+        self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = Places()
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.filled = 0
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = list(words - self.place.keys())
-        if not new:
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word, by the library."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        plain = [k for k, w in enumerate(words) if _MARK not in w]
+        groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        joined = [
+            f" {SEPARATOR} ".join(words[k].decode("utf-8", "replace") for k in group)
+            for group in groups
+        ]
+        for group, found in zip(
+            groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ):
+            ids = np.array(found.ids, np.uint32)
+            parts = np.split(ids, np.flatnonzero(ids == self.separator))
+            for k, part in zip(group, parts):
+                out[k] = part
+            for k in group[1:]:
+                out[k] = out[k][1:]  # its separator
+        marked = [k for k, w in enumerate(words) if _MARK in w]
+        texts = [words[k].decode("utf-8", "replace") for k in marked]
+        for k, found in zip(
+            marked, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ):
+            out[k] = np.array(found.ids, np.uint32)
+        return out
+
+    def _learn(self) -> None:
+        """Fill in the words that have got a number since the last call."""
+        if not self.place.new:
             return
-        if len(self.place) + len(new) > CACHED_WORDS:
-            self._clear()
-            new = list(words)
-        encoded = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
-        )
-        ids = [e.ids for e in encoded]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        first, total = len(self.place), int(sizes.sum())
-        while len(self.start) < first + len(new):
+        first = len(self.place) - len(self.place.new)
+        whole, tailed = [], []
+        for word in self.place.new:
+            tail = None if _MARK in word else _TAIL.search(word)
+            (tailed.append((word, tail.start())) if tail else whole.append(word))
+        # the parts of tailed words are words as well, and may be new ones
+        known = len(self.place)
+        pairs = [(self.place[w], self.place[w[:at]], self.place[w[at:]]) for w, at in tailed]
+        whole += self.place.new[known - first :]
+        self.place.new = []
+        encoded = self._encode(whole)
+        numbers = np.array([self.place[w] for w in whole], np.int64)
+        sizes = np.array([len(e) for e in encoded], np.int64)
+        self._store(numbers, sizes, np.concatenate([*encoded, np.zeros(0, np.uint32)]))
+        if pairs:
+            of, a, b = np.array(pairs, np.int64).T
+            two = np.stack([a, b], axis=1).ravel()
+            self._store(of, self.size[a] + self.size[b], self._gather(two))
+
+    def _store(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        while len(self.start) < len(self.place):
             self.start, self.size = (np.concatenate([x, x]) for x in (self.start, self.size))
-        while len(self.flat) < self.filled + total:
+        while len(self.flat) < self.filled + len(ids):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.place.update(zip(new, range(first, first + len(new))))
-        self.start[first : first + len(new)] = self.filled + np.cumsum(sizes) - sizes
-        self.size[first : first + len(new)] = sizes
-        joined = itertools.chain.from_iterable(ids)
-        self.flat[self.filled : self.filled + total] = np.fromiter(joined, np.uint32, total)
-        self.filled += total
+        self.start[numbers] = self.filled + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of words one after the other."""
+        size = self.size[numbers]
+        skip = np.repeat(self.start[numbers] - (np.cumsum(size) - size), size)
+        return self.flat[skip + np.arange(len(skip))]
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        # the vocabulary is in lower case, so A-Z may be lowered before the cache
-        # (special tokens are known by their case, so a text that could hold one stays as it is)
-        split = [
-            t.split() if b"<|" in t else _TAIL.sub(rb" \g<0>", t.lower()).split() for t in texts
-        ]
-        self._learn({w for words in split for w in words})
+        if len(self.place) > CACHED_WORDS:
+            self._clear()
         at = self.place.__getitem__
-        for words in split:
-            index = np.fromiter(map(at, words), np.int64, len(words))
-            size = self.size[index]
-            total = int(size.sum())
-            skip = np.repeat(self.start[index] - (np.cumsum(size) - size), size)
-            out = np.empty(total + 1, "<u4")
-            out[:total] = self.flat[skip + np.arange(total)]
-            out[total] = END
+        numbers = []
+        for text in texts:
+            # the vocabulary is in lower case, so A-Z may be lowered before the cache (special
+            # tokens are known by their case, so a text that could hold one stays as it is)
+            words = (text if _MARK in text else text.lower()).split()
+            numbers.append(np.fromiter(map(at, words), np.int64, len(words)))
+        self._learn()
+        for number in numbers:
+            ids = self._gather(number)
+            out = np.empty(len(ids) + 1, "<u4")
+            out[:-1] = ids
+            out[-1] = END
             yield out
 
 
