@@ -1,12 +1,15 @@
 """The same questions in the SQL of another engine, over the same tables.
 
 Each text repeats the mapping of a table to its feed, the rules as GLOB tests and
-then the report itself, written for that engine and not derived from ours.
+then the report itself, written for that engine. The lists of rules, vocabularies and
+categories are the library's own; all else is written a second time.
 """
 
 from __future__ import annotations
 
 from govlens import providers
+from govlens.contract import RECORD_CATEGORY
+from govlens.functions.rules import VOCABULARY
 from govlens.sources.bridge import EVENT_TYPES
 
 VENDOR, PRODUCT = providers.VENDOR, providers.PRODUCT
@@ -205,7 +208,26 @@ def q(name: str, ctes: str, body: str, *more: tuple[str, str]) -> None:
     ORACLE[name] = f"{head}\n{body}"
 
 
-def chart(name: str, ctes: str, rows: str, span: str = "day", limit: int = 10) -> None:
+Range = tuple[str, str] | None  # first moment, and the one after the last
+
+
+def _axis(cells: str, span: str, over: Range) -> str:
+    first, last = f"(SELECT min(bucket) FROM {cells})", f"(SELECT max(bucket) FROM {cells})"
+    if over:
+        first = f"date_trunc('{span}', TIMESTAMP '{over[0]}')"
+        last = f"date_trunc('{span}', TIMESTAMP '{over[1]}' - INTERVAL 1 MICROSECOND)"
+    return f"unnest(generate_series({first}, {last}, INTERVAL 1 {span.upper()}))"
+
+
+def _within(column: str, over: Range) -> str:
+    if not over:
+        return "true"
+    return f"{column} >= TIMESTAMP '{over[0]}' AND {column} < TIMESTAMP '{over[1]}'"
+
+
+def chart(
+    name: str, ctes: str, rows: str, span: str = "day", limit: int = 10, over: Range = None
+) -> None:
     """Counts per bucket and series; ``rows`` gives (t, series)."""
     q(
         name,
@@ -216,7 +238,8 @@ def chart(name: str, ctes: str, rows: str, span: str = "day", limit: int = 10) -
         (
             "cells",
             f"SELECT CAST(date_trunc('{span}', t) AS TIMESTAMP) AS bucket,"
-            " coalesce(series, 'NULL') AS series, count(*) AS n FROM rws GROUP BY 1, 2",
+            " coalesce(series, 'NULL') AS series, count(*) AS n FROM rws"
+            f" WHERE {_within('t', over)} GROUP BY 1, 2",
         ),
         (
             "kept",
@@ -231,14 +254,15 @@ def chart(name: str, ctes: str, rows: str, span: str = "day", limit: int = 10) -
         ),
         (
             "grid",
-            "SELECT b.bucket, s.series FROM (SELECT unnest(generate_series("
-            "(SELECT min(bucket) FROM named), (SELECT max(bucket) FROM named),"
-            f" INTERVAL 1 {span.upper()})) AS bucket) b, (SELECT DISTINCT series FROM named) s",
+            f"SELECT b.bucket, s.series FROM (SELECT {_axis('named', span, over)} AS bucket) b,"
+            " (SELECT DISTINCT series FROM named) s",
         ),
     )
 
 
-def trend(name: str, ctes: str, table: str, aggs: dict[str, str], span: str = "day") -> None:
+def trend(
+    name: str, ctes: str, table: str, aggs: dict[str, str], span: str = "day", over: Range = None
+) -> None:
     """Several aggregates per bucket, gaps filled."""
     listed = ", ".join(f"{sql} AS {n}" for n, sql in aggs.items())
     shown = ", ".join(
@@ -251,13 +275,9 @@ def trend(name: str, ctes: str, table: str, aggs: dict[str, str], span: str = "d
         (
             "cells",
             f"SELECT CAST(date_trunc('{span}', _time) AS TIMESTAMP) AS bucket, {listed}"
-            f" FROM {table} GROUP BY 1",
-        ),
-        (
-            "grid",
-            "SELECT unnest(generate_series((SELECT min(bucket) FROM cells),"
-            f" (SELECT max(bucket) FROM cells), INTERVAL 1 {span.upper()})) AS bucket",
+            f" FROM {table} WHERE {_within('_time', over)} GROUP BY 1",
         ),
+        ("grid", f"SELECT {_axis('cells', span, over)} AS bucket"),
     )
 
 
@@ -269,7 +289,16 @@ q("ov_01", "groups", "SELECT count(DISTINCT id) AS groups FROM groups")
 q("ov_02", "act", "SELECT count(*) AS count FROM act WHERE rtype = 'project'")
 q("ov_03", "act", "SELECT count(*) AS count FROM act WHERE event_type LIKE 'org_user_invite_%'")
 q("ov_04", "act", "SELECT count(*) AS count FROM act WHERE category = 'data_export'")
-chart("ov_05", "act", "SELECT _time AS t, event_type AS series FROM act WHERE rtype = 'project'")
+for _key, _over in (
+    ("ov_05", None),
+    ("ov_05_range", ("2024-01-06 00:00:00", "2024-01-20 07:30:00")),
+):
+    chart(
+        _key,
+        "act",
+        "SELECT _time AS t, event_type AS series FROM act WHERE rtype = 'project'",
+        over=_over,
+    )
 q(
     "ov_06",
     "act",
@@ -297,11 +326,16 @@ for _key, _type in (("ov_09", "chat"), ("ov_13", "memory"), ("ov_15", "integrati
 q(
     "ov_10",
     "act",
-    """SELECT email AS actor, count(*) AS count, CAST(0 AS BIGINT) AS list_part,
-              coalesce(string_agg(DISTINCT rid, ',' ORDER BY rid), '') AS files
-       FROM act WHERE category = 'content_access' AND rtype = 'file'
-         AND event_type LIKE '%\\_uploaded' ESCAPE '\\' AND email IS NOT NULL
-       GROUP BY 1 ORDER BY count DESC, actor LIMIT 20""",
+    """SELECT k.actor, k.count, v.files
+       FROM (SELECT email AS actor, count(*) AS count FROM up GROUP BY 1
+             ORDER BY count DESC, actor LIMIT 20) k
+       LEFT JOIN (SELECT DISTINCT email AS actor, rid AS files FROM up WHERE rid IS NOT NULL) v
+         USING (actor)""",
+    (
+        "up",
+        "SELECT * FROM act WHERE category = 'content_access' AND rtype = 'file'"
+        " AND event_type LIKE '%\\_uploaded' ESCAPE '\\' AND email IS NOT NULL",
+    ),
 )
 q(
     "ov_11",
@@ -350,13 +384,41 @@ q(
     f"SELECT email AS user, ip AS src_ip, count(*) AS count, {_SEEN} FROM act"
     f" WHERE {SIGN_IN} AND email IS NOT NULL AND ip IS NOT NULL GROUP BY 1, 2",
 )
-_LISTED = "coalesce(string_agg(DISTINCT {0}, ',' ORDER BY {0}), '')"
+
+
+def listed(source: str, keys: str, totals: str, value: str, name: str, having: str = "") -> str:
+    """Totals per key next to its distinct values, one row each."""
+    each = f"SELECT DISTINCT {keys}, {value} AS {name} FROM ({source}) s WHERE {value} IS NOT NULL"
+    return (
+        f"SELECT * FROM (SELECT {keys}, {totals} FROM ({source}) s GROUP BY {keys} {having}) k"
+        f" LEFT JOIN ({each}) v USING ({keys})"
+    )
+
+
 q(
     "se_08",
     "act",
-    f"SELECT email AS user, count(DISTINCT ip) AS distinct_ips, CAST(0 AS BIGINT) AS list_part,"
-    f" {_LISTED.format('ip')} AS ips, {_SEEN} FROM act WHERE {SIGN_IN} AND email IS NOT NULL"
-    " GROUP BY 1 HAVING count(DISTINCT ip) > 2",
+    listed(
+        f"SELECT email AS user, * FROM act WHERE {SIGN_IN} AND email IS NOT NULL",
+        "user",
+        f"count(DISTINCT ip) AS distinct_ips, {_SEEN}",
+        "ip",
+        "ips",
+        "HAVING count(DISTINCT ip) > 2",
+    ),
+)
+q(
+    "se_08_range",
+    "act",
+    listed(
+        f"SELECT email AS user, * FROM act WHERE {SIGN_IN} AND email IS NOT NULL"
+        " AND _time >= TIMESTAMP '2024-01-13' AND _time < TIMESTAMP '2024-01-20 07:30:00'",
+        "user",
+        f"count(DISTINCT ip) AS distinct_ips, {_SEEN}",
+        "ip",
+        "ips",
+        "HAVING count(DISTINCT ip) > 2",
+    ),
 )
 _CHANGE = "SELECT _time, event_type, email AS user{more} FROM act WHERE {where}"
 for _key, _where, _more in (
@@ -385,9 +447,13 @@ q(
 q(
     "se_14",
     "act",
-    f"SELECT user_agent, count(*) AS count, count(DISTINCT ip) AS ips,"
-    f" CAST(0 AS BIGINT) AS list_part, {_LISTED.format('ip')} AS ip_list, {_SEEN}"
-    f" FROM act WHERE {READ} GROUP BY 1",
+    listed(
+        f"SELECT * FROM act WHERE {READ}",
+        "user_agent",
+        f"count(*) AS count, count(DISTINCT ip) AS ips, {_SEEN}",
+        "ip",
+        "ip_list",
+    ),
 )
 q(
     "se_17",
@@ -420,6 +486,11 @@ q(
 )
 q("tk_08", "cost", "SELECT product, round(sum(usd), 4) AS spend_usd FROM cost GROUP BY 1")
 trend("tk_09", "cost", "cost", {"spend_usd": "round(sum(usd), 4)"})
+for _key, _over in (
+    ("tk_09_range", ("1996-02-04 00:00:00", "1996-03-05 01:00:00")),
+    ("tk_09_empty", ("2024-01-01 00:00:00", "2024-01-31 00:00:00")),
+):
+    trend(_key, "cost", "cost", {"spend_usd": "round(sum(usd), 4)"}, over=_over)
 trend(
     "tk_10",
     "usage",
@@ -459,12 +530,17 @@ q(
     "act",
     "SELECT _time, event_type, email FROM act WHERE event_type LIKE 'claude\\_code\\_%' ESCAPE '\\'",
 )
-chart(
-    "cc_01",
-    "act",
-    "SELECT _time AS t, event_type AS series FROM act"
-    " WHERE regexp_matches(event_type, '^(mcp|integration|extension)_')",
-)
+for _key, _over in (
+    ("cc_01", None),
+    ("cc_01_range", ("2024-01-20 00:00:00", "2024-02-03 12:00:00")),
+):
+    chart(
+        _key,
+        "act",
+        "SELECT _time AS t, event_type AS series FROM act"
+        " WHERE regexp_matches(event_type, '^(mcp|integration|extension)_')",
+        over=_over,
+    )
 q(
     "cc_02",
     "user_activity",
@@ -509,7 +585,6 @@ _TIMES = {
     "analytics:spend_limit": "SELECT _time AS t FROM limits",
     "analytics:spend_limit_request": "SELECT _time AS t FROM requests",
 }
-_OLD = ("analytics:usage", "analytics:cost", "analytics:user_usage", "analytics:user_cost")
 _ALL = "users summary user_activity limits requests"
 
 
@@ -529,7 +604,16 @@ q(
     " FROM times GROUP BY 1",
     ("times", _all_times()),
 )
-chart("th_01", _ALL, _all_times(*_OLD), "hour")
+chart("th_01", _ALL, _all_times(), "hour", over=("2023-12-31 00:00:00", "2024-01-31 00:00:00"))
+q(
+    "th_00_range",
+    _ALL,
+    "SELECT series AS sourcetype, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last,"
+    " round((epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(max(t))) / 60000000.0, 1)"
+    f" AS lag_minutes FROM times WHERE {_within('t', ('2024-01-29 12:00:00', '2024-01-30 12:00:00'))}"
+    " GROUP BY 1",
+    ("times", _all_times()),
+)
 q(
     "th_02",
     "act",
@@ -551,19 +635,25 @@ trend(
 )
 
 # --- detections: one run over all time --------------------------------------------
-_MULTI = (
-    "SELECT {run}email AS user, count(DISTINCT ip) AS ip_count, CAST(0 AS BIGINT) AS list_part,"
-    f" {_LISTED.format('ip')} AS ips FROM {{src}} WHERE {SIGN_IN} AND email IS NOT NULL"
-    " GROUP BY {by}email HAVING count(DISTINCT ip) >= 3"
+_MULTI = listed(
+    f"SELECT email AS user, * FROM {{src}} WHERE {SIGN_IN} AND email IS NOT NULL",
+    "{run}user",
+    "count(DISTINCT ip) AS ip_count",
+    "ip",
+    "ips",
+    "HAVING count(DISTINCT ip) >= 3",
 )
 _APIKEY = "category = 'admin_change' AND rtype = 'api_key' AND action = 'create'"
 _ROLE = "category = 'admin_change' AND rtype = 'user' AND event_type LIKE '%role%'"
 _ROWS = "SELECT {run}_time, event_type, email AS user, org_id AS organization_id FROM {src} WHERE "
-_CHAT = (
-    "SELECT {run}email AS user, count(*) AS count, CAST(0 AS BIGINT) AS list_part,"
-    f" {_LISTED.format('rid')} AS chats FROM {{src}} WHERE category = 'content_access'"
-    " AND rtype = 'chat' AND outcome = 'failure' AND email IS NOT NULL"
-    " GROUP BY {by}email HAVING count(*) >= 5"
+_CHAT = listed(
+    "SELECT email AS user, * FROM {src} WHERE category = 'content_access' AND rtype = 'chat'"
+    " AND outcome = 'failure' AND email IS NOT NULL",
+    "{run}user",
+    "count(*) AS count",
+    "rid",
+    "chats",
+    "HAVING count(*) >= 5",
 )
 _NEWAPI = (
     "SELECT {run}user_agent, ip AS src_ip,"
@@ -755,7 +845,8 @@ _steps.append(
     ("runs_stopped", schedule("2023-12-31 00:25:00", "2024-01-31 00:00:00", "1 HOUR")[1])
 )
 _fired = [
-    f"SELECT '{_key}' AS detection, run_time, count(*) AS hits FROM ("
+    f"SELECT '{_key}' AS detection, run_time,"
+    f" {'count(DISTINCT user)' if _key in ('d_multi_ip', 'd_chat') else 'count(*)'} AS hits FROM ("
     + _SINGLE[_key].format(run="run_time, ", by="run_time, ", src=f"win_{_key}", now="run_time")
     + ") h GROUP BY ALL"
     for _key in JAN
@@ -993,6 +1084,26 @@ q(
     "",
     "SELECT DISTINCT 'category' AS kind, event_type AS value FROM events",
 )
+q(
+    "rule_problems_of",
+    "",
+    f"""SELECT DISTINCT 'action' AS kind, event_type AS pattern, event_type AS value FROM events
+        WHERE event_type NOT IN ({', '.join(repr(v) for v in VOCABULARY['action'])})
+        UNION ALL SELECT 'vendor', '{VENDOR}', 'other'""",
+)
+q(
+    "category_gaps",
+    "",
+    "SELECT record, CAST(1 AS BIGINT) AS categories, CAST(NULL AS VARCHAR) AS side FROM (VALUES "
+    + ", ".join(f"('{r}')" for r in RECORD_CATEGORY)
+    + ") v(record)",
+)
+q(
+    "golden_damaged",
+    "act",
+    """SELECT 'expected' AS side, count(*) + count(*) FILTER (WHERE n % 7 = 0 AND n % 5 = 0) AS count
+       FROM act WHERE n % 7 = 0 OR n % 5 = 0""",
+)
 q("golden_diff", "", "SELECT '' AS side, count(*) AS count FROM events HAVING false")
 
 # --- sources, cycles, store -------------------------------------------------------
@@ -1086,6 +1197,21 @@ q(
     "SELECT CAST(ts AS DATE) AS event_date, count(*) AS count,"
     " TIMESTAMP '2024-01-31 12:00:00' AS collected_at FROM events GROUP BY 1",
 )
+q(
+    "upsert_reports",
+    "usage",
+    """SELECT 'usage' AS record, count(*) AS count, CAST(sum(o) AS BIGINT) AS output_tokens
+       FROM usage
+       UNION ALL SELECT 'cost', count(*), NULL FROM orders""",
+)
+q(
+    "upsert_snapshots",
+    "",
+    """SELECT t AS collected_at, count(*) AS count FROM customer,
+           (VALUES (TIMESTAMP '2024-01-30 12:00:00'), (TIMESTAMP '2024-02-02 12:00:00')) x(t)
+       GROUP BY 1""",
+)
+q("d_limit_store", "limits", _LIMITED.format(run="", by="", src="limits"))
 q("run_scope", "", "SELECT count(*) AS count FROM orders")
 _KINDS = {
     "user": ("policy", "compliance:directory:main:users", "compliance:user"),
@@ -1108,13 +1234,15 @@ _KINDS = {
 }
 q(
     "union_kinds",
-    _ALL,
+    f"act {_ALL}",
     " UNION ALL ".join(
         f"SELECT '{record}' AS record, '{category}' AS event_category,"
         f" '{VENDOR}:{source}' AS source, count(*) AS count, min(t) AS first, max(t) AS last"
         f" FROM times WHERE series = '{VENDOR}:{kind}'"
         for record, (category, source, kind) in _KINDS.items()
-    ),
+    )
+    + f" UNION ALL SELECT 'activity', category, '{VENDOR}:compliance:activities:main', count(*),"
+    " CAST(min(_time) AS TIMESTAMP), CAST(max(_time) AS TIMESTAMP) FROM act GROUP BY category",
     ("times", _all_times()),
 )
 q(
@@ -1235,22 +1363,21 @@ q(
               CAST(NULL AS DOUBLE) AS amount_usd, min(_time) AS first_time, max(_time) AS last_time
        FROM act GROUP BY ALL""",
 )
-_THREE = " UNION ALL ".join(
-    f"SELECT CAST(t AS TIMESTAMP) AS t, '{VENDOR}:{name}' AS sourcetype FROM ({_TIMES[name]}) x"
-    for name in ("compliance:activity", "analytics:user_activity", "analytics:summary")
+_RECENT = _all_times(
+    "analytics:usage", "analytics:cost", "analytics:user_usage", "analytics:user_cost"
 )
 q(
     "rollup_counts",
-    "summary user_activity",
-    "SELECT CAST(date_trunc('day', t) AS TIMESTAMP) AS bucket, sourcetype, count(*) AS count"
-    " FROM times GROUP BY 1, 2",
-    ("times", _THREE),
+    _ALL,
+    "SELECT CAST(date_trunc('day', t) AS TIMESTAMP) AS bucket, series AS sourcetype,"
+    " count(*) AS count FROM times GROUP BY 1, 2",
+    ("times", _RECENT),
 )
 q(
     "rollup_newest",
-    "summary user_activity",
-    "SELECT sourcetype, max(t) AS last FROM times GROUP BY 1",
-    ("times", _THREE),
+    _ALL,
+    "SELECT series AS sourcetype, max(t) AS last FROM times GROUP BY 1",
+    ("times", _RECENT),
 )
 
 # --- streams: windows that end by the watermark, an hour behind the newest event -----
@@ -1265,13 +1392,13 @@ for _key in ("d_sso", "d_export", "d_apikey", "d_role"):
 q(
     "stream_d_multi_ip",
     "act",
-    f"SELECT run_time, user, ip_count FROM ({_hits('d_multi_ip')}) h WHERE {_CLOSED}",
+    f"SELECT DISTINCT run_time, user, ip_count FROM ({_hits('d_multi_ip')}) h WHERE {_CLOSED}",
     *_windowed("d_multi_ip"),
 )
 q(
     "stream_d_chat",
     "act",
-    f"SELECT run_time, user, count FROM ({_hits('d_chat')}) h WHERE {_CLOSED}",
+    f"SELECT DISTINCT run_time, user, count FROM ({_hits('d_chat')}) h WHERE {_CLOSED}",
     *_windowed("d_chat"),
 )
 q(

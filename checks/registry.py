@@ -32,19 +32,6 @@ from govlens.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = datetime(2024, 1, 31)
-# Kinds whose records fall into January 2024, for charts by the hour.
-RECENT = (
-    "activity",
-    "user",
-    "organization",
-    "group",
-    "chat",
-    "file",
-    "summary",
-    "user_activity",
-    "spend_limit",
-    "spend_limit_request",
-)
 MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"}
 JANUARY = (datetime(2023, 12, 31), AS_OF)
 ORDER_YEARS = (datetime(1994, 12, 31), datetime(2001, 12, 31))
@@ -85,8 +72,10 @@ def _report(key: str) -> Query:
         if r.source == "run_log":
             source = bridge.run_log(spark, d)
         else:
-            source = bridge.events(spark, d, *(RECENT if key == "th_01" else r.records))
-        return r(source, AS_OF, earliest=None, latest=None)
+            source = bridge.events(spark, d, *r.records)
+        # an hourly axis over decades of order dates would be mostly zeros
+        earliest, latest = ("-31d@d", "now") if key == "th_01" else (None, None)
+        return r(source, AS_OF, earliest=earliest, latest=latest)
 
     return build
 
@@ -95,6 +84,31 @@ for _key in REPORTS:
     query(_key)(_report(_key))
 
 
+# Kinds whose records fall into few days: a store of these has few folders.
+RECENT = (
+    "activity", "user", "organization", "group", "chat", "file", "summary", "user_activity",
+    "spend_limit", "spend_limit_request",
+)
+
+# Panels as they are shown: over their own range, seen from a moment with and one without data.
+IN_RANGE = {
+    "ov_05_range": ("ov_05", datetime(2024, 1, 20, 7, 30)),
+    "se_08_range": ("se_08", datetime(2024, 1, 20, 7, 30)),
+    "tk_09_range": ("tk_09", datetime(1996, 3, 5, 1)),
+    "tk_09_empty": ("tk_09", datetime(2024, 1, 31)),
+    "cc_01_range": ("cc_01", datetime(2024, 2, 3, 12)),
+    "th_00_range": ("th_00", datetime(2024, 1, 30, 12)),
+}
+
+
+def _in_range(key: str, as_of: datetime) -> Query:
+    return lambda spark, d: REPORTS[key](bridge.events(spark, d, *REPORTS[key].records), as_of)
+
+
+for _name, (_key, _moment) in IN_RANGE.items():
+    query(_name)(_in_range(_key, _moment))
+
+
 @query("tk_04_users")
 def _near_limit_users(spark, d):
     return near_limit(bridge.events(spark, d, "spend_limit"), AS_OF, latest_per_user=True)
@@ -386,6 +400,36 @@ def _rule_problems(spark, d):
     return values.join(allowed, ["kind", "value"], "left_anti")
 
 
+@query("rule_problems_of")
+def _rule_problems_of(spark, d):
+    """A rule book made of the table's event names: what its own check says (V-07)."""
+    names = [r[0] for r in bridge.table(spark, d, "events").select("event_type").distinct().collect()]
+    book = RuleBook(vendor="other", category=(), action=tuple((n, n) for n in sorted(names)))
+    return quality.rule_problems(spark, book, providers.VENDOR)
+
+
+@query("category_gaps")
+def _category_gaps(spark, d):
+    """Records of the store without a fixed category, and gaps of the map itself (V-08)."""
+    seen = bridge.events(spark, d).select("ai.record", "ai.event_category").distinct()
+    open_ = seen.where("record <> 'activity'").groupBy("record").agg(
+        F.count_distinct("event_category").alias("categories")
+    )
+    return open_.join(quality.category_map_gaps(spark), "record", "left")
+
+
+@query("golden_damaged")
+def _golden_damaged(spark, d):
+    """Every seventh event lost on one side, every fifth twice on the other."""
+    events = bridge.events(spark, d, "activity").withColumn(
+        "n", F.expr("CAST(substring_index(ai.event_id, '_', -1) AS BIGINT)")
+    )
+    twice = events.where("n % 5 = 0")
+    return quality.golden_diff(
+        events.where("n % 7 <> 0").drop("n"), events.unionByName(twice).drop("n")
+    ).groupBy("side").agg(F.sum("copies").alias("count"))
+
+
 @query("golden_diff")
 def _golden_diff(spark, d):
     """Typed path against JSON path over the whole feed: no event may differ."""
@@ -468,7 +512,7 @@ def _ingest_counts(spark, d):
 def _store_scan(spark, d):
     """Written once, read with day and record predicates."""
     path = shared_dir(spark, "store")
-    store.write_events(bridge.events(spark, d, "activity", "summary", "user_activity"), path)
+    store.write_events(bridge.events(spark, d, *RECENT), path)
     events = store.read_store(spark, path)
     rows = time_range(base(events, "activity"), AS_OF, "-14d@d", "now")
     return stats(rows.select("event_date", "ai.event_category"), {"count": "count(*)"},
@@ -489,6 +533,49 @@ def _upsert(spark, d):
     )
 
 
+@query("upsert_reports")
+def _upsert_reports(spark, d):
+    """Report rows, which have no id, delivered twice: as many as there are rows.
+
+    Their days are folded into one month, which keeps the store's folders few.
+    """
+    path = shared_dir(spark, "upsert")
+    month = F.expr("timestampadd(DAY, day(starting_at) - 1, TIMESTAMP '2024-01-01 00:00:00')")
+    for kind in ("usage", "cost"):
+        feed = bridge.feed(spark, d, kind).withColumn("starting_at", month)
+        for day in (30, 31):
+            store.upsert_events(normalize(feed, kind, collected_at=f"2024-01-{day} 12:00:00"), path)
+    return (
+        store.read_store(spark, path)
+        .groupBy("record")
+        .agg(
+            F.count("*").alias("count"),
+            F.sum("ai.usage.output_tokens").alias("output_tokens"),
+        )
+    )
+
+
+def _two_snapshots(spark, d):
+    """Limits on two days; on the second nobody has spent anything."""
+    path = shared_dir(spark, "limits")
+    feed = bridge.feed(spark, d, "spend_limit")
+    reset = feed.withColumn("period_to_date_spend", F.lit("0"))
+    for day, rows in (("2024-01-30", feed), ("2024-02-02", reset)):
+        store.upsert_events(normalize(rows, "spend_limit", collected_at=f"{day} 12:00:00"), path)
+    return store.read_store(spark, path)
+
+
+@query("upsert_snapshots")
+def _upsert_snapshots(spark, d):
+    return _two_snapshots(spark, d).groupBy("collected_at").agg(F.count("*").alias("count"))
+
+
+@query("d_limit_store")
+def _limit_store(spark, d):
+    """Who had reached a limit on the first day, asked when the second is there."""
+    return D.run("d_limit", _two_snapshots(spark, d), datetime(2024, 1, 30, 18))
+
+
 @query("run_scope")
 def _run_scope(spark, d):
     events = bridge.events(spark, d, "user_cost")
@@ -501,7 +588,7 @@ def _union_kinds(spark, d):
     events = bridge.events(spark, d)
     return events.groupBy("ai.record", "ai.event_category", "source").agg(
         F.count("*").alias("count"), F.min("_time").alias("first"), F.max("_time").alias("last")
-    ).where("record <> 'activity'")
+    )
 
 
 SECOND_VENDOR = Provider(
@@ -654,14 +741,14 @@ def _rollup_hourly(spark, d):
 @query("rollup_counts")
 def _rollup_counts(spark, d):
     path = shared_dir(spark, "rollup")
-    rollup.update(bridge.events(spark, d, "activity", "user_activity", "summary"), path)
+    rollup.update(bridge.events(spark, d, *RECENT), path)
     return rollup.counts(rollup.read(spark, path), "1 day")
 
 
 @query("rollup_newest")
 def _rollup_newest(spark, d):
     path = shared_dir(spark, "rollup")
-    rollup.update(bridge.events(spark, d, "activity", "user_activity", "summary"), path)
+    rollup.update(bridge.events(spark, d, *RECENT), path)
     return rollup.newest(rollup.read(spark, path))
 
 

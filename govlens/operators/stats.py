@@ -7,7 +7,7 @@ holds a third of the rows costs each task one partial row per key it meets.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from govlens.operators.filters import at
 
 Aggs = dict[str, Column | str]  # output name -> aggregate, as column or SQL
-LIST_SIZE = 1000  # values per list cell, on average at most
 
 
 def _present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,15 +62,13 @@ def with_values(
     having: Column | None = None,
     top: tuple[Sequence[Column], int] | None = None,
     time: str = "_time",
-    size: int = LIST_SIZE,
 ) -> DataFrame:
-    """Statistics by key together with the sorted distinct values of a column.
+    """Statistics by key next to the distinct values of a column, one row per value.
 
-    No group is gathered in one place. Rows first shrink to one per (key, value),
-    a hot key spread over its values. Totals, the filter and the top-k work on
-    those. The values of the keys that remain come in lists: a key with more than
-    ``size`` values gets several rows, told apart by ``list_part``, and each value
-    is in exactly one of them.
+    A key's totals repeat on its rows; a key without values has one row with null. No list
+    is built and no group is gathered in one place, so a key with millions of values is a
+    result like any other: rows first shrink to one per (key, value), which spreads a hot
+    key over its values, and totals, the filter and the top-k work on those.
     """
     measures = [F.count("*").alias("_n")]
     if first or last:
@@ -93,20 +90,8 @@ def with_values(
 
     # Shuffled by key unless the groups are measured small; where it shuffles,
     # adaptive execution splits a hot key's pairs and repeats its one group row.
-    group_columns = groups.columns
-    listed = groups.join(
-        pairs.where(F.col(value).isNotNull()).select(*by, value), list(by), "left"
-    )
-    parts = F.greatest(F.lit(1), F.ceil(F.col(distinct or "_distinct") / size))
-    listed = listed.withColumn(
-        "list_part",
-        F.when(F.col(value).isNull(), F.lit(0).cast("bigint")).otherwise(
-            F.pmod(F.xxhash64(value), parts)
-        ),
-    )
-    out = listed.groupBy(*group_columns, "list_part").agg(
-        F.array_sort(F.collect_list(value)).alias(values)
-    )
+    found = pairs.where(F.col(value).isNotNull()).select(*by, F.col(value).alias(values))
+    out = groups.join(found, list(by), "left")
     return out if distinct else out.drop("_distinct")
 
 
@@ -137,13 +122,21 @@ def timechart(
 ) -> DataFrame:
     """Aggregates per time bucket, gaps filled.
 
+    The chart goes from the bucket of ``start`` to the last one that begins before ``end``,
+    whether there are rows or not; what lies outside does not count. An end that is not
+    given is that of the rows.
     With ``by`` there is one additive measure (count or sum) and the result is
     long: (bucket, series, value). The ``limit`` greatest series keep their name,
     the others add up to OTHER, rows without a series are NULL, and empty cells
     are 0. Without ``by`` the result has one column per aggregate; an empty bucket
     shows 0 in the columns of ``zero`` (counts) and null otherwise.
     """
-    rows = df.where(F.col("_time").isNotNull()).withColumn("bucket", bucket(span=span))
+    rows = df.where(F.col("_time").isNotNull())
+    if start is not None:
+        rows = rows.where(F.col("_time") >= at(start))
+    if end is not None:
+        rows = rows.where(F.col("_time") < at(end))
+    rows = rows.withColumn("bucket", bucket(span=span))
     if by is None:
         grouped = rows.groupBy("bucket").agg(*_aggregates(aggs))
         filled = _span_of(grouped, span, start, end).join(grouped, "bucket", "left")
@@ -193,8 +186,11 @@ def _span_of(
     if series:
         ends.append(F.collect_set(series).alias("_series"))
     line = cells.agg(*ends)
-    first = F.col("_a") if start is None else at(start)
-    last = F.col("_b") if end is None else at(end)
+    line = line.withColumns(
+        {"_start": at(start) if start else F.col("_a"), "_end": F.col("_b")}
+        | ({"_end": at(end - timedelta(microseconds=1))} if end else {})
+    )
+    first, last = bucket("_start", span), bucket("_end", span)
     line = line.where(first.isNotNull() & last.isNotNull())
     columns = [_buckets(first, last, span).alias("bucket")] + (["_series"] if series else [])
     grid = line.select(*columns)

@@ -96,6 +96,9 @@ def _rows(rows: DataFrame, run, **more) -> DataFrame:
     )
 
 
+LISTED = ("d_multi_ip", "d_chat")  # detections that list values next to each hit
+
+
 @detection("d_multi_ip", "Several sign-in IPs for one user", "activity", "-24h", "6h", "12h", 4)
 def multi_ip(rows, run, now):
     signed_in = rows.where(MATCH["d_multi_ip"]).select(
@@ -338,7 +341,9 @@ def on_schedule(d: Detection, rows: DataFrame, start: datetime, end: datetime) -
     last_run = int((end - EPOCH).total_seconds() * 1_000_000)
     back = re.match(r"^-(\d+)([hd])", d.earliest)
     reach = timedelta(**{"hours" if back[2] == "h" else "days": int(back[1])})
-    reach_us = int((reach + timedelta(days=1)).total_seconds() * 1_000_000)
+    # a window that starts on a whole day may begin up to a day earlier
+    snap = timedelta(days=1) if d.earliest.endswith("@d") else timedelta(0)
+    reach_us = int((reach + snap).total_seconds() * 1_000_000)
     t = f"unix_micros({d.time})"
     after = f"({origin}L + (floor(({t} - {origin}L) / {step}L) + 1) * {step}L)"
     from_us, to_us = f"greatest({after}, {first_run}L)", f"least({t} + {reach_us}L, {last_run}L)"
@@ -375,9 +380,11 @@ def backtest(
 def firings(key: str, hits: DataFrame) -> DataFrame:
     """Runs with at least one hit: the alert condition."""
     d = DETECTIONS[key]
+    # where a hit has a row per value, it is its subject that counts
+    number = F.count_distinct("user") if key in LISTED else F.count("*")
     return (
         hits.groupBy("run_time")
-        .agg(F.count("*").alias("hits"))
+        .agg(number.alias("hits"))
         .select(F.lit(key).alias("detection"), F.lit(d.severity).alias("severity"), "run_time", "hits")
     )
 

@@ -23,10 +23,10 @@ def settings_changes(ev, as_of):
     )
 
 
-@report("cc_01", "Integration events", "activity")
-def integration_events(ev, as_of):
+@report("cc_01", "Integration events", "activity", chart=True)
+def integration_events(ev, as_of, over):
     rows = ev.where(like(TYPE, "mcp_*", "integration_*", "extension_*"))
-    return timechart(rows.withColumn("event_type", F.col(TYPE)), {"count": "count(*)"}, by="event_type")
+    return timechart(rows.withColumn("event_type", F.col(TYPE)), {"count": "count(*)"}, by="event_type", **over)
 
 
 @report("cc_02", "Active users", "user_activity")

@@ -28,9 +28,9 @@ def lag(ev, as_of):
     ).orderBy(F.desc("lag_minutes"), "sourcetype")
 
 
-@report("th_01", "Event volume by sourcetype")
-def volume(ev, as_of):
-    return timechart(ev, {"count": "count(*)"}, by="sourcetype", span="1 hour")
+@report("th_01", "Event volume by sourcetype", chart=True)
+def volume(ev, as_of, over):
+    return timechart(ev, {"count": "count(*)"}, by="sourcetype", span="1 hour", **over)
 
 
 @report("th_02", "Top event types", "activity")
@@ -59,7 +59,7 @@ def latest_errors(log, as_of):
     )
 
 
-@report("th_05", "Retry and rate-limit trend", source="run_log")
-def retries(log, as_of):
+@report("th_05", "Retry and rate-limit trend", source="run_log", chart=True)
+def retries(log, as_of, over):
     rows = log.where(F.col("message").rlike(RETRY)).withColumn("_time", F.col("ts"))
-    return timechart(rows, {"count": "count(*)"}, span="1 hour", zero=["count"])
+    return timechart(rows, {"count": "count(*)"}, span="1 hour", zero=["count"], **over)

@@ -60,9 +60,9 @@ def data_exports(ev, as_of):
     return stats(ev.where(EXPORT), {"count": COUNT})
 
 
-@report("ov_05", "Project lifecycle events", A)
-def project_lifecycle(ev, as_of):
-    return timechart(_named(ev.where("ai.resource.type = 'project'")), {"count": COUNT}, by="event_type")
+@report("ov_05", "Project lifecycle events", A, chart=True)
+def project_lifecycle(ev, as_of, over):
+    return timechart(_named(ev.where("ai.resource.type = 'project'")), {"count": COUNT}, by="event_type", **over)
 
 
 @report("ov_06", "Project visibility changes", A)
@@ -113,7 +113,7 @@ def file_uploads(ev, as_of):
         "files",
         count="count",
         top=([F.desc("count"), F.col("actor")], 20),
-    ).orderBy(F.desc("count"), "actor", "list_part")
+    ).orderBy(F.desc("count"), "actor", "files")
 
 
 @report("ov_11", "Directory snapshot (users)", "user")

@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from govlens.operators.filters import base
+from govlens.operators.filters import base, moment, time_range
 
 
 @dataclass(frozen=True)
@@ -19,6 +19,7 @@ class Report:
     earliest: str  # default range
     build: Callable[..., DataFrame]
     source: str = "events"
+    chart: bool = False  # its axis is the range, not the data
 
     def __call__(
         self,
@@ -30,22 +31,22 @@ class Report:
     ) -> DataFrame:
         """The report at ``as_of``; ``earliest=None`` and ``latest=None`` mean all time."""
         begin = self.earliest if earliest == "default" else earliest
+        range_ = {"start": moment(begin, as_of), "end": moment(latest, as_of)}
+        over = {"over": range_} if self.chart else {}
         if self.source != "events":
-            from govlens.operators.filters import time_range
-
-            return self.build(time_range(events, as_of, begin, latest, "ts"), as_of)
+            return self.build(time_range(events, as_of, begin, latest, "ts"), as_of, **over)
         record = self.records[0] if len(self.records) == 1 else None
-        return self.build(base(events, record, provider, as_of, begin, latest), as_of)
+        return self.build(base(events, record, provider, as_of, begin, latest), as_of, **over)
 
 
 REPORTS: dict[str, Report] = {}
 
 
-def report(key: str, title: str, *records: str, earliest: str = "-14d@d", source: str = "events"):
-    """Register ``f(events, as_of)`` under ``key``."""
+def report(key: str, title: str, *records: str, earliest: str = "-14d@d", source: str = "events", chart: bool = False):
+    """Register ``f(events, as_of)`` under ``key``; a chart's also takes ``over``, its range."""
 
     def add(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        REPORTS[key] = Report(key, title, records, earliest, build, source)
+        REPORTS[key] = Report(key, title, records, earliest, build, source, chart)
         return build
 
     return add

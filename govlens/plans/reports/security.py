@@ -60,10 +60,10 @@ def uploads(ev, as_of):
     return stats(ev.where(UPLOAD), {"count": COUNT})
 
 
-@report("se_05", "Authentication timeline", A)
-def authentication_timeline(ev, as_of):
+@report("se_05", "Authentication timeline", A, chart=True)
+def authentication_timeline(ev, as_of, over):
     rows = ev.where("ai.event_category = 'authentication'").withColumn("event_type", F.col(TYPE))
-    return timechart(rows, {"count": COUNT}, by="event_type")
+    return timechart(rows, {"count": COUNT}, by="event_type", **over)
 
 
 @report("se_06", "Sign-in volume by method", A)
@@ -98,7 +98,7 @@ def multi_ip(ev, as_of):
             having=F.col("distinct_ips") > 2,
         )
         .withColumns({"first_seen": ctime("first_seen"), "last_seen": ctime("last_seen")})
-        .orderBy(F.desc("distinct_ips"), "user", "list_part")
+        .orderBy(F.desc("distinct_ips"), "user", "ips")
     )
 
 
@@ -158,7 +158,7 @@ def audit_consumers(ev, as_of):
             last="last_seen",
         )
         .withColumns({"first_seen": ctime("first_seen"), "last_seen": ctime("last_seen")})
-        .orderBy(F.desc("count"), "user_agent", "list_part")
+        .orderBy(F.desc("count"), "user_agent", "ip_list")
     )
 
 

@@ -57,22 +57,24 @@ def near_limit(ev, as_of, latest_per_user: bool = False):
     return stats(rows.where(F.col("utilization_pct") >= 80), {"count": "count(*)"})
 
 
-@report("tk_05", "Daily active users", "summary")
-def active_trend(ev, as_of):
+@report("tk_05", "Daily active users", "summary", chart=True)
+def active_trend(ev, as_of, over):
     return timechart(
         ev,
         {
             "dau": F.avg("ai.adoption.daily_active_users"),
             "wau": F.avg("ai.adoption.weekly_active_users"),
         },
+        **over,
     )
 
 
-@report("tk_06", "Seat adoption rate", "summary")
-def adoption_trend(ev, as_of):
+@report("tk_06", "Seat adoption rate", "summary", chart=True)
+def adoption_trend(ev, as_of, over):
     return timechart(
         ev,
         {"daily": F.avg("ai.adoption.daily_rate"), "monthly": F.avg("ai.adoption.monthly_rate")},
+        **over,
     )
 
 
@@ -90,19 +92,20 @@ def spend_by_product(ev, as_of):
     )
 
 
-@report("tk_09", "Daily spend trend", "cost")
-def spend_trend(ev, as_of):
-    return timechart(ev, {"spend_usd": F.sum(USD)})
+@report("tk_09", "Daily spend trend", "cost", chart=True)
+def spend_trend(ev, as_of, over):
+    return timechart(ev, {"spend_usd": F.sum(USD)}, **over)
 
 
-@report("tk_10", "Token volume trend", "usage")
-def token_trend(ev, as_of):
+@report("tk_10", "Token volume trend", "usage", chart=True)
+def token_trend(ev, as_of, over):
     return timechart(
         ev,
         {
             "output_tokens": F.sum("ai.usage.output_tokens"),
             "input_tokens": F.sum("ai.usage.input_tokens"),
         },
+        **over,
     )
 
 

@@ -149,6 +149,8 @@ def _usage(spark, d):
         " AS uncached_input_tokens",
         "CASE WHEN l_linenumber < 6 THEN l_partkey % 50 END AS cache_read_input_tokens",
         "CASE WHEN l_linenumber < 5 THEN l_suppkey % 10 END AS cache_creation_input_tokens",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+        " AS line",
     )
 
 
@@ -166,6 +168,7 @@ def _cost(spark, d):
         "CASE WHEN o_orderkey % 10 = 0"
         " THEN CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) END AS total_cost_usd",
         "'USD' AS currency",
+        "concat('order-', o_orderkey) AS line",
     )
 
 
@@ -176,6 +179,8 @@ def _user_usage(spark, d):
         "concat('supp_', l_suppkey) AS user_id",
         "CAST(l_quantity * 10 AS BIGINT) AS output_tokens",
         "CASE WHEN l_linenumber <> 4 THEN l_partkey % 1000 END AS uncached_input_tokens",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+        " AS line",
     )
 
 
@@ -188,6 +193,7 @@ def _user_cost(spark, d):
         "named_struct('email_address', concat('cust', o_custkey, '@example.test'),"
         " 'user_id', concat('cust_', o_custkey)) AS actor",
         f"{_CENTS.format('o_totalprice')} AS amount",
+        "concat('order-', o_orderkey) AS line",
     )
 
 

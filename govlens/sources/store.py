@@ -26,6 +26,7 @@ SCHEMA = T.StructType([*contract.EVENT_TYPE.fields, T.StructField("record", T.St
 # numbers in ``raw`` whose member has one of these names or endings (fixed wire names).
 MEASURES = ("usage", "cost", "adoption")
 _STRING = r'"(?:[^"\\]|\\.)*"'
+_NUMBER = r'"[^"\\]*":-?[0-9.eE+-]+,?'
 _MEASURED = (
     r'"[^"\\]*(?:count|counts|tokens|amount|usd|spend|rate|requests|total|minutes|seconds|score'
     r'|added|removed|accepted|rejected)":-?[0-9.eE+-]+,?'
@@ -78,7 +79,13 @@ def event_key() -> Column:
     about = ", ".join(
         f"'{f.name}', ai.{f.name}" for f in contract.AI_TYPE.fields if f.name not in MEASURES
     )
-    rest = f"regexp_replace(to_json(raw), {V.quote(f'({_STRING}:{_STRING})|{_MEASURED}')}, '$1')"
+    # Strings are matched first, so that only real members are taken out. Every number of
+    # a user's activity counts something.
+    named, every = (V.quote(f"({_STRING}:{_STRING})|{m}") for m in (_MEASURED, _NUMBER))
+    rest = (
+        f"CASE WHEN ai.record = 'user_activity' THEN regexp_replace(to_json(raw), {every}, '$1')"
+        f" ELSE regexp_replace(to_json(raw), {named}, '$1') END"
+    )
     kinds = ", ".join(V.quote(k) for k in SNAPSHOTS)
     day = f"CASE WHEN ai.record IN ({kinds}) THEN CAST(CAST(collected_at AS DATE) AS STRING) END"
     dims = f"to_json(named_struct({about})), coalesce({rest}, ''), coalesce({day}, '')"

@@ -150,7 +150,7 @@ def test_stream_equals_batch(spark, nested, events, tmp_path, key):
     got = finished(spark, stream.windowed(key, streamed(spark, nested, max_files=1)), tmp_path, "hits")
     batch = D.backtest(key, events, datetime(2026, 3, 1), datetime(2026, 3, 12))
     if key in ("d_multi_ip", "d_chat"):
-        expected = batch.where("list_part = 0").select(*got.columns)
+        expected = batch.select(*got.columns).distinct()
     else:
         expected = D.firings(key, batch).select("run_time", "hits")
     assert expected.count() > 0

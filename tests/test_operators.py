@@ -55,7 +55,7 @@ def skewed(spark):
     )
 
 
-def test_values_of_a_hot_key_come_in_bounded_lists(skewed):
+def test_values_of_a_hot_key_are_rows(skewed):
     lists = with_values(
         skewed, ["user"], "value", "values", count="count", distinct="dc", first="a", last="b"
     ).cache()
@@ -67,12 +67,9 @@ def test_values_of_a_hot_key_come_in_bounded_lists(skewed):
     )
     heads = lists.select("user", "count", "dc", "a", "b").distinct()
     assert heads.exceptAll(exact).count() == 0 and exact.exceptAll(heads).count() == 0
-    pairs = lists.select("user", F.explode("values").alias("value"))
+    pairs = lists.where("values IS NOT NULL").select("user", F.col("values").alias("value"))
     expected = skewed.where("value IS NOT NULL").select("user", "value").distinct()
     assert pairs.exceptAll(expected).count() == 0 and expected.exceptAll(pairs).count() == 0
-    assert lists.agg(F.max(F.size("values"))).first()[0] < 1300
-    assert lists.where("user = 'hot'").count() > 1
-    assert lists.where("user <> 'hot' AND list_part <> 0").count() == 0
 
 
 def test_values_keep_groups_without_any(spark):
@@ -80,7 +77,7 @@ def test_values_keep_groups_without_any(spark):
         [("a", None), ("a", None), ("b", "x"), (None, "y")], "user string, value string"
     )
     got = with_values(rows, ["user"], "value", "values", count="n").orderBy("user").collect()
-    assert [(r.user, r.n, r["values"]) for r in got] == [("a", 2, []), ("b", 1, ["x"])]
+    assert [(r.user, r.n, r["values"]) for r in got] == [("a", 2, None), ("b", 1, "x")]
 
 
 def test_dedup_latest_combines_before_the_shuffle(skewed):
