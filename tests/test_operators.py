@@ -118,7 +118,11 @@ def test_timechart_fills_gaps_and_sums_up_other(spark):
     fixed = timechart(
         rows, {"n": "count(*)"}, zero=["n"], start=datetime(2025, 12, 31), end=datetime(2026, 1, 4)
     )
-    assert [r.n for r in fixed.orderBy("bucket").collect()] == [0, 6, 0, 3, 0]
+    assert [r.n for r in fixed.orderBy("bucket").collect()] == [0, 6, 0, 3]
+    far = rows.selectExpr("t", "s", "TIMESTAMP '9026-01-01 00:00:00' AS _time")
+    narrow = {"start": datetime(2026, 1, 1, 6), "end": datetime(2026, 1, 3, 1)}
+    empty = timechart(rows.unionByName(far), {"n": "count(*)"}, zero=["n"], **narrow)
+    assert [(r.bucket.day, r.n) for r in empty.orderBy("bucket").collect()] == [(1, 0), (2, 0), (3, 0)]
     assert timechart(rows.where("false"), {"n": "count(*)"}, by="s").count() == 0
     assert "CartesianProduct" not in plan(timechart(rows, {"n": "count(*)"}, by="s"))
 
