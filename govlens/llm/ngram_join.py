@@ -4,7 +4,7 @@ The join is exact, and it links classes of equal sets, not rows, so copies cost
 
 1. ``frequencies``: all n-grams of all texts are counted in a sketch of fixed size. It gives
    one global order, rare n-grams first.
-2. ``signatures``: every text once more; its set's hash, size, hashed bitmap, some
+2. ``signatures``: every text once more; its set's hash, size, hashed bitmaps, some
    min-hashes and its *prefix*: the first n - ceil(percent * n) + 1 members in the global
    order. Two sets that are similar enough share a prefix member, whatever the order.
 3. Stars: classes that share a min-hash are compared with one of them. This is linear,
@@ -45,7 +45,8 @@ ROUNDS = 4  # min-hashes a class is compared by before the tiles
 SKETCH_BITS = 18  # counters per row of the frequency sketch, two rows
 SKETCH_PARTS = 32
 SIEVE_BITS = 24
-LANES = 8  # 64-bit words of a bitmap
+LANES = 8  # 64-bit words of the short bitmap
+WIDE = 1 << 14  # bits of a wide bitmap at most; it has 4 to 8 per member
 BAND = 1.26  # sizes of similar sets differ by a factor of 1.25 at most
 BLOCK = 1024  # rows of a posting on either side of a tile
 
@@ -147,6 +148,7 @@ def signatures(
         ("n", pa.int64(), T.LongType()),
         ("sig", pa.binary(), T.BinaryType()),
         *[(f"w{k}", pa.int64(), T.LongType()) for k in range(LANES)],
+        ("wide", pa.binary(), T.BinaryType()),
         ("keys", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
         ("prefix", pa.list_(pa.int64()), T.ArrayType(T.LongType())),
     ]
@@ -156,13 +158,14 @@ def signatures(
         common = weight.value
         for batch in batches:
             for part, texts in text_runs(batch, "text"):
-                n, sig, lanes, keys, prefix = [], [], [], [], []
+                n, sig, lanes, wide, keys, prefix = [], [], [], [], [], []
                 for h in shingle_sets(texts, words):
                     n.append(len(h))
                     sig.append(xxhash.xxh3_128_digest(h.tobytes()))
                     bits = np.zeros(64 * LANES, bool)
                     bits[(h >> np.uint64(48)) % np.uint64(64 * LANES)] = True
                     lanes.append(np.packbits(bits).view(np.int64))
+                    wide.append(_wide(h))
                     if not len(h):
                         keys.append([])
                         prefix.append([])
@@ -186,6 +189,7 @@ def signatures(
                         pa.array(n, pa.int64()),
                         pa.array(sig, pa.binary()),
                         *[pa.array(words8[:, k]) for k in range(LANES)],
+                        pa.array(wide, pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(prefix, pa.list_(pa.int64())),
                     ],
@@ -202,6 +206,26 @@ def signatures(
     return staged(source.mapInArrow(sign, schema), "signatures")
 
 
+def _wide(h: np.ndarray) -> bytes:
+    """A bitmap as wide as the set asks for, a power of two; halves fold onto each other."""
+    size = min(WIDE, max(64, 1 << (8 * len(h) - 1).bit_length() >> 1)) if len(h) else 64
+    bits = np.zeros(size, bool)
+    bits[((h >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _same_width(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the narrowest one's width, as rows of 64-bit words."""
+    least = min(map(len, bitmaps))
+    if any(len(b) != least for b in bitmaps):
+        folded = []
+        for b in bitmaps:
+            row = np.frombuffer(b, np.uint8).reshape(-1, least)
+            folded.append(np.bitwise_or.reduce(row, axis=0).tobytes())
+        bitmaps = folded
+    return np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+
+
 def _text_keys(text_col: str) -> list[Column]:
     """Two hashes by which a text is found again."""
     return [
@@ -269,11 +293,12 @@ def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
                 yield batch.filter(pa.array(keep))
 
     source = docs.select(*_text_keys(text_col), F.col(text_col).alias("text"))
+    # a text's class is unique, so copies go where the join has put them together already
     return (
         source.mapInArrow(wanted, source.schema)
         .join(nodes, ["k1", "k2"])
-        .groupBy("node")
-        .agg(F.first("text").alias("text"))
+        .dropDuplicates(["k1", "k2"])
+        .select("node", "text")
     )
 
 
@@ -282,7 +307,9 @@ def verified(
 ) -> DataFrame:
     """Those of ``pairs`` (a, b: class nodes) whose sets are similar enough, exactly."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts_of(docs, needed.join(classes.select("node", "k1", "k2"), "node"), text_col)
+    keyed = staged(needed.join(classes.select("node", "k1", "k2"), "node"), "needed")
+    # both sides of the pairs read them; as a table they are compressed and made once
+    texts = staged(texts_of(docs, keyed, text_col), "texts")
     both = (
         pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
         .join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
@@ -424,11 +451,10 @@ def _met(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that meet in a tile and whose bitmaps allow a link."""
-    lanes = [f"w{k}" for k in range(LANES)]
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
-    rows = postings.join(classes.select("node", "component", "n", *lanes), "node").select(
-        "member", "node", "component", "n", *lanes, F.explode(F.array(band, band + 1)).alias("tile"),
-        band.alias("band"),
+    rows = postings.join(classes.select("node", "component", "n"), "node").select(
+        "member", "node", "component", "n",
+        F.explode(F.array(band, band + 1)).alias("tile"), band.alias("band"),
     )
     # a tile holds a band (the larger sets) and the band below; without two components it is idle
     busy = (
@@ -447,14 +473,16 @@ def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")),
     )
+    # bitmaps join only what is left
     dealt = (
         rows.join(busy, ["member", "tile"])
         .withColumn("own", own)
         .withColumn("at", F.explode(other))
         .select(
             "member", "tile", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own",
-            (F.col("band") == F.col("tile")).alias("upper"), "node", "component", "n", *lanes,
+            (F.col("band") == F.col("tile")).alias("upper"), "node", "component", "n",
         )
+        .join(classes.select("node", "wide"), "node")
     )
     keys = ["member", "tile", "i", "j"]
     partitions = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -481,33 +509,45 @@ def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _pairs(table: pa.Table, ends: np.ndarray, sent: set) -> Iterator[pa.RecordBatch]:
     """Pairs that the sizes and bitmaps of each tile's rows allow; ``ends``: where tiles end."""
-    column = {c: np.asarray(table.column(c)) for c in table.column_names}
-    bits = np.stack([column[f"w{k}"] for k in range(LANES)], axis=1).view(np.uint64)
+    names = ("node", "component", "n", "own", "upper", "i", "j")
+    column = {c: np.asarray(table.column(c)) for c in names}
+    wide = table.column("wide")
     out: list[tuple[int, int]] = []
     begin = 0
     for end in ends:
         part = slice(begin, end)
-        begin = end
+        begin, first = end, begin
         size, upper = column["n"][part], column["upper"][part]
         node, component, own = column["node"][part], column["component"][part], column["own"][part]
-        lanes = bits[part]
-        two = column["i"][part][0] != column["j"][part][0]
-        for x in np.flatnonzero(upper):
+        if (component == component[0]).all():
+            continue
+        two = column["i"][first] != column["j"][first]
+        uppers = np.flatnonzero(upper)
+        bits = None
+        for lo in range(0, len(uppers), 128):
+            x = uppers[lo : lo + 128, None]
             # pairs of two upper rows are looked at once; in a tile of two blocks only across
-            may = (component != component[x]) & ((~upper) | (np.arange(len(node)) < x))
+            may = (component != component[x]) & (~upper | (np.arange(len(node)) < x))
             if two:
                 may &= own != own[x]
             may &= 100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])
-            ys = np.flatnonzero(may)
-            if not len(ys):
+            at, ys = np.nonzero(may)
+            if not len(at):
                 continue
-            mine, others = lanes[x], lanes[ys]
-            lack_x = np.bitwise_count(mine & ~others).sum(axis=1).astype(np.int64)
-            lack_y = np.bitwise_count(others & ~mine).sum(axis=1).astype(np.int64)
-            overlap = np.minimum(size[x] - lack_x, size[ys] - lack_y)
-            good = ys[(100 + PERCENT) * overlap >= PERCENT * (size[x] + size[ys])]
-            for y in good:
-                pair = (int(min(node[x], node[y])), int(max(node[x], node[y])))
+            if bits is None:
+                bits = _same_width(wide.slice(first, end - first).to_pylist())
+            xs = x[at, 0]
+            good = []
+            for k in range(0, len(xs), 4096):
+                a, b = xs[k : k + 4096], ys[k : k + 4096]
+                lack_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
+                lack_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64)
+                overlap = np.minimum(size[a] - lack_a, size[b] - lack_b)
+                fits = (100 + PERCENT) * overlap >= PERCENT * (size[a] + size[b])
+                good.append(np.flatnonzero(fits) + k)
+            for k in np.concatenate(good):
+                a, b = int(node[xs[k]]), int(node[ys[k]])
+                pair = (a, b) if a < b else (b, a)
                 if pair not in sent:
                     if len(sent) > 1_000_000:
                         sent.clear()
@@ -536,7 +576,7 @@ def linked(
     some = signed.where(F.col("n") > 0)
     # one class per distinct set; it is named by its row with the smallest id
     lead = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("row").alias("row"))
-    light = ["n", "k1", "k2", "sig", *[f"w{k}" for k in range(LANES)], "keys"]
+    light = ["n", "k1", "k2", "sig", *[f"w{k}" for k in range(LANES)], "wide", "keys"]
     named = some.groupBy("sig").agg(F.min(lead).alias("lead"))
     classes = staged(
         some.select("row", *light)
