@@ -19,6 +19,7 @@ from govlens.llm import (
     toxicity,
 )
 from govlens.llm.common import table
+from govlens.llm.oracle import ORACLE
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.report(table(spark, sf_dir, "pages"))
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,5 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_main_text,
     )
 }
-
-ORACLE: dict[str, str] = {}
