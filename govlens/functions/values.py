@@ -85,11 +85,12 @@ def struct(members: list[tuple[str, str]]) -> str:
 
 # Cleaning open JSON, where no schema is declared, works on the compact text that
 # to_json gives a VARIANT. Strings are consumed whole, so that the rest of the
-# pattern can only meet real structure. An emptied object takes its parent along
-# for up to 32 levels.
+# pattern can only meet real structure. An emptied object takes its parents along, in
+# one pass for LEVELS levels; deeper records get as many passes as they can need.
+LEVELS = 32
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 _EMPTY = r'(?:null|""|\{\})'
-for _ in range(32):
+for _ in range(LEVELS):
     _EMPTY = r'(?:null|""|\{(?:' + _STRING + ":" + _EMPTY + r",?)*+\})"
 _MEMBER = _STRING + ":" + _EMPTY
 _DROP = quote(
@@ -110,7 +111,7 @@ _SUSPECT = quote(r'null|:""|\{\}')
 
 def clean_json(sql: str) -> str:
     """``clean`` for compact JSON text without a declared schema."""
-    return (
-        f"CASE WHEN rlike({sql}, {_SUSPECT}) THEN regexp_replace({sql}, {_DROP}, '$1')"
-        f" ELSE {sql} END"
-    )
+    depth = f"(length({sql}) - length(replace({sql}, '{{', '')))"
+    passes = f"sequence(1, CAST(greatest(1, ceil({depth} / {LEVELS})) AS INT))"
+    cleaned = f"aggregate({passes}, {sql}, (text, n) -> regexp_replace(text, {_DROP}, '$1'))"
+    return f"CASE WHEN rlike({sql}, {_SUSPECT}) THEN {cleaned} ELSE {sql} END"

@@ -105,3 +105,13 @@ def test_sql_functions(spark):
     ).first()
     assert (row.a, row.b, row.c, row.d) == ("identity", 2.5, True, False)
     assert str(row.e) == "2026-01-02 00:00:00"
+
+
+def test_open_json_is_cleaned_at_any_depth(spark):
+    from govlens.functions.values import clean_json
+
+    deep = '{"a":' * 40 + "null" + "}" * 40
+    texts = [deep, '{"x":1,"y":' + deep + "}", '{"l":[' + deep + ',null],"s":""}', '{"k":"{null}"}']
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    got = [r[0] for r in df.selectExpr(clean_json("j")).collect()]
+    assert got == ["{}", '{"x":1}', '{"l":[{}]}', '{"k":"{null}"}']
