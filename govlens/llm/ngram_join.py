@@ -41,7 +41,7 @@ from govlens.llm.shingles import mix, shingle_sets
 
 WORDS = 5
 PERCENT = 80
-ROUNDS = 4  # min-hashes a class is compared by before the tiles
+ROUNDS = 12  # min-hashes a class is compared by before the tiles
 SKETCH_BITS = 18  # counters per row of the frequency sketch, two rows
 SKETCH_PARTS = 32
 SIEVE_BITS = 24
@@ -50,8 +50,8 @@ WIDE = 1 << 14  # bits of a wide bitmap at most; it has 4 to 8 per member
 BAND = 1.26  # sizes of similar sets differ by a factor of 1.25 at most
 BLOCK = 1024  # rows of a posting on either side of a tile
 
-_ONES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
-_ONES += [0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+# Odd multipliers, one per min-hash.
+_ONES = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xC2B2AE3D27D4EB4F << k) % 2**64 | 1 for k in range(64)]
 
 
 def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
