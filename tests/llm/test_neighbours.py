@@ -64,3 +64,21 @@ def test_fewer_than_ten_and_none(spark):
     rows = [(0, [1.0, 0.0], 0, "x"), (3, [0.0, 1.0], 0, "x"), (3, [0.0, 1.0], 0, "x")]
     assert found(neighbours.report(table(spark, rows))) == {0: [(2**0.5, 3)] * 2}
     assert neighbours.report(table(spark, [])).count() == 0
+
+
+def test_recall_with_hot_clusters_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for clusters, part in ((1, 0.33), (20, 0.9)):
+        n = 4000
+        vecs = unit(rng.normal(size=(n, 64)))
+        hot = rng.random(n) < part
+        centres = unit(rng.normal(size=(clusters, 64)))
+        near = centres[rng.integers(clusters, size=n)] + 0.01 * rng.normal(size=(n, 64))
+        vecs[hot] = unit(near)[hot]
+        rows = [(k, v.tolist(), 0, "x") for k, v in enumerate(vecs)]
+        got, want = found(neighbours.report(table(spark, rows))), brute(rows)
+        for kind in (True, False):
+            asked = [q for q in want if hot[q] == kind]
+            hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in asked)
+            assert hits >= 0.97 * 10 * len(asked), (clusters, kind)
