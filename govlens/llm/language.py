@@ -178,15 +178,19 @@ class Model:
         return counts, lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of every text, and whether it has a letter."""
         counts, lettered = self.phrases(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), lettered.tolist()
         cost = counts * self.bits[:, None]
         best = cost.argmin(axis=0)
         gap = np.minimum(cost - cost.min(axis=0), 1000.0)
         score = 1.0 / np.exp2(-gap).sum(axis=0)
         names = [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered)]
-        return names, np.where(lettered, score, 0.0).tolist()
+        return names, np.where(lettered, score, 0.0).tolist(), lettered.tolist()
 
 
 def learn(
@@ -222,12 +226,13 @@ _MODELS: dict[str, Model] = {}
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+    """``docs`` with lang_pred, score and lettered (whether the text has a letter, also when
+    there is no language to tell); columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "lettered")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     token = uuid.uuid4().hex
     names = docs.columns
-    kinds = {"lang_pred": pa.string(), "score": pa.float64()}
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "lettered": pa.bool_()}
 
     def predict(batches: Iterator[pa.RecordBatch]):
         if token not in _MODELS:
@@ -236,14 +241,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         own = _MODELS[token]
         for batch in batches:
             for part, texts in text_runs(batch, text_col):
-                lang, score = own.predict([t.decode("utf-8", "replace") for t in texts])
-                yield keep(part, names, {"lang_pred": lang, "score": score}, kinds)
+                lang, score, has = own.judge([t.decode("utf-8", "replace") for t in texts])
+                yield keep(part, names, {"lang_pred": lang, "score": score, "lettered": has}, kinds)
 
     schema = T.StructType(
         [
             *docs.schema.fields,
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
+            T.StructField("lettered", T.BooleanType()),
         ]
     )
     return docs.mapInArrow(predict, schema)

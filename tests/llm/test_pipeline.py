@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import corpus_pipeline
 from tests.llm import test_decontaminate, test_ngram_join
@@ -59,3 +60,18 @@ def test_an_empty_table_goes_through(spark, documents, tmp_path):
     documents([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_without_any_label_go_through(spark, documents, tmp_path):
+    rows = [(1, "some words of a clean text"), (2, "quite another one"), (3, "12 34"), (4, None), (5, ""), (6, "é")]
+    docs = documents(rows, lang=None)
+    kept = STAGES["language_id"](spark, docs, str(tmp_path))
+    assert kept.columns == COLUMNS and {r["doc_id"] for r in kept.collect()} == {1, 2, 6}
+    # the only labelled document is in the held-out fold
+    held = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 4 == 2)
+    docs = docs.unionByName(documents([(held, "labelled words")]))
+    kept = STAGES["language_id"](spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 6, held}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2, 6, held}
