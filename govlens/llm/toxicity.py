@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention, written in numpy.
 
 Inputs of a step are a word's own vector (words seen often enough when learning) and the
-mean of the vectors of its character n-grams (all words). Both directions read windows of
+mean of the vectors of its character n-grams (all words, whole however long). Both directions read windows of
 ``SPAN`` words that overlap and together cover the whole text; attention pools the states
 of a window into one logit; a text is toxic unless none of its windows is:
 p = 1 - prod(1 - p_window).
@@ -35,7 +35,6 @@ SPAN, STRIDE = 32, 24
 HIDDEN, WORD, GRAM, POOL = 8, 8, 8, 8
 VOCABULARY, SEEN_TIMES = 20_000, 4
 BUCKETS = 1 << 14
-LETTERS = 16  # bytes of a word that its n-grams come from, with its start and end
 STEPS, WINDOWS = 300, 1024
 THRESHOLD = 0.3
 
@@ -47,21 +46,22 @@ def words(text: bytes) -> list[str]:
 
 
 def grams(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of each word's n-grams of 3 to 5 bytes, and which of them exist."""
-    width = LETTERS + 2
-    raw = [b"^" + w.encode("utf-8", "replace")[:LETTERS] + b"$" for w in distinct]
+    """Bucket numbers of the n-grams of 3 to 5 bytes of all words, and each one's word."""
+    raw = [b"^" + w.encode("utf-8", "replace") + b"$" for w in distinct]
     sizes = np.array([len(r) for r in raw])
-    letters = np.array(raw, dtype=f"S{width}").view(np.uint8).reshape(len(raw), width)
-    letters = letters.astype(np.uint32)
-    buckets, there = [], []
+    letters = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+    word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))  # bytes to the word's end
+    buckets, owner = [], []
     for n in (3, 4, 5):
-        value = np.full((len(raw), width - n + 1), n * 2654435761 % 2**32, np.uint32)
+        at = np.flatnonzero(left >= n)
+        value = np.full(len(at), n * 2654435761 % 2**32, np.uint32)
         for k in range(n):
-            value = (value ^ letters[:, k : k + width - n + 1]) * np.uint32(16777619)
+            value = (value ^ letters[at + k]) * np.uint32(16777619)
         value ^= value >> np.uint32(15)
-        buckets.append(value % np.uint32(BUCKETS))
-        there.append(np.arange(width - n + 1)[None, :] + n <= sizes[:, None])
-    return np.concatenate(buckets, axis=1), np.concatenate(there, axis=1)
+        buckets.append((value % np.uint32(BUCKETS)).astype(np.int32))
+        owner.append(word[at])
+    return np.concatenate(buckets), np.concatenate(owner)
 
 
 class Network:
@@ -89,16 +89,16 @@ class Network:
     def _inputs(self, distinct: list[str]):
         """Vectors of distinct words: own vector and mean of n-grams; a last row is padding."""
         own = np.array([self.vocabulary.get(w, 0) for w in distinct] + [0])
-        buckets, there = grams(distinct) if distinct else (None, None)
         x = np.zeros((len(distinct) + 1, WORD + GRAM), np.float32)
         x[:, :WORD] = self.p["word"][own]
-        if distinct:
-            count = np.maximum(1, there.sum(axis=1, keepdims=True))
-            for lo in range(0, len(distinct), 8192):
-                part = slice(lo, min(lo + 8192, len(distinct)))
-                vectors = self.p["gram"][buckets[part]] * there[part][..., None]
-                x[part, WORD:] = vectors.sum(axis=1) / count[part]
-        return x, own, buckets, there
+        if not distinct:
+            return x, own, None, None, None
+        buckets, owner = grams(distinct)
+        count = np.maximum(1, np.bincount(owner, minlength=len(distinct)))
+        for j in range(GRAM):
+            sums = np.bincount(owner, self.p["gram"][:, j][buckets], len(distinct))
+            x[:-1, WORD + j] = sums / count
+        return x, own, buckets, owner, count
 
     def _direction(self, way: str, gates: np.ndarray, index: np.ndarray, mask: np.ndarray, tape=None):
         """Hidden states (steps, windows, HIDDEN) of one direction.
@@ -179,7 +179,7 @@ class Network:
         numbers = [
             np.array([place.setdefault(w, len(place)) for w in text], np.int32) for text in batch
         ]
-        x, own, buckets, there = self._inputs(list(place))
+        x, own, buckets, word, count = self._inputs(list(place))
         index, mask, owner = self._windows(numbers, len(place))
         tapes = {"f": [], "b": []}
         states = np.concatenate(
@@ -219,11 +219,9 @@ class Network:
         g["word"] = np.zeros_like(self.p["word"])
         np.add.at(g["word"], own, d_x[:, :WORD])
         g["gram"] = np.zeros_like(self.p["gram"])
-        share = d_x[:-1, WORD:] / np.maximum(1, there.sum(axis=1, keepdims=True))
-        word_at, gram_at = np.nonzero(there)
-        cell = buckets[word_at, gram_at]
+        share = d_x[:-1, WORD:] / count[:, None]
         for j in range(GRAM):
-            g["gram"][:, j] = np.bincount(cell, share[word_at, j], BUCKETS)
+            g["gram"][:, j] = np.bincount(buckets, share[word, j], BUCKETS)
         return g
 
     def _back(self, way: str, d_out: np.ndarray, tape: list, mask: np.ndarray, g: dict) -> np.ndarray:

@@ -118,6 +118,22 @@ def test_whole_texts_are_scored(quick):
     assert high > low and high > 0.3
 
 
+def test_words_are_read_to_their_end(quick):
+    rng = random.Random(4)
+    rows = []
+    for k in range(200):
+        words = prose(rng, words=60).split()
+        if k % 2:
+            words.insert(rng.randrange(len(words)), rng.choice(TOXIC))
+        rows.append((" ".join(words).encode(), k % 2))
+    net = toxicity.Network().fit(rows)
+    for text in ("people_walk_home_and_the_river_runs_{}", "people" * 4 + "{}", "река" * 4 + "_{}"):
+        low, high = net.score([text.format(w).encode() for w in ("evening", "stinkers")])
+        assert high > low + 1e-4, text
+    owner = toxicity.grams(["ab", "x" * 5000, "é"])[1]
+    assert np.bincount(owner).tolist() == [3, 3 * 5002 - 9, 3]
+
+
 def test_without_labels(spark, documents):
     docs, none = documents([(1, "a b"), (2, None)]), labels(spark, [(1, 1, 1, "x")])
     assert [r["score"] for r in quality.report(docs, none).collect()] == [0.5, 0.5]
