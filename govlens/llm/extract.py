@@ -2,13 +2,22 @@
 
 A page becomes a tree of its block elements. Menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden elements and reader comments are cut
-out by element, role and class. Each paragraph then gives points for its length and its
+out by element, role and class; a class, id or role alone does not cut what holds the
+page's prose (see below). Each paragraph then gives points for its length and its
 commas, discounted by the share of its text in links, to its ancestors: all to the
 parent, less to each one above. The container with most points is kept (widened to the
 article or main element around it), and with it those of its siblings that scored well
 or are prose of their own. Lists that consist of links are menus wherever they stand.
 
-Every page is read whole by one linear scan, pages spread over tasks by Spark.
+Marks of class, id and role only name what may be cut. A name with ``has``, ``no`` or
+``with`` says what its element has, not what it is: words from there on are no marks.
+An article, main or element with a likely mark as a name of its own is never cut by its
+marks, unless a name of its own is in ``FOREIGN``. All others are cut when they hold
+a minor share of the points of the page's prose: under ``MINOR``, or, with a mark in ``FOREIGN``
+(reader comments, notices, adverts, which may outweigh an article), under ``MINOR_FOREIGN``.
+
+Every page is read whole by a linear scan, and by a second one if it has such marks; pages
+are spread over tasks by Spark.
 
 Defined results: null or empty html and pages without text give an empty text. Broken
 markup closes where HTML closes it: a paragraph ends at the next block, an element that
@@ -61,6 +70,13 @@ UNLIKELY = frozenset(
 )
 HEADER = frozenset("header masthead topbar".split())
 LIKELY = frozenset("article content main post entry story body text".split())
+# Of the unlikely ones, what can outweigh the article beside it.
+FOREIGN = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising cookie cookies consent gdpr popup"
+    " modal overlay newsletter comment comments disqus replies reply respond".split()
+)
+HAVING = frozenset("has no with without".split())
+MINOR, MINOR_FOREIGN = 0.5, 0.9
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -76,38 +92,57 @@ _HIDDEN = re.compile(
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 
 
-def _marks(attributes: str) -> set[str]:
-    """Lower-case words of class, id and role; joined words are also seen as one."""
+def _marks(attributes: str) -> tuple[set[str], set[str]]:
+    """Lower-case words of class, id and role, and the whole names.
+
+    Joined words are also seen as one; words behind ``has`` and the like are left out.
+    """
     out: set[str] = set()
+    names: set[str] = set()
     for m in _NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         for name in value.split():
-            out.update(w.lower() for w in _WORDS.findall(name))
-            out.add(name.lower())
-    return out
+            words = [w.lower() for w in _WORDS.findall(name)]
+            having = [k for k, w in enumerate(words) if w in HAVING]
+            out.update(words[: having[0]] if having else words)
+            if not having:
+                out.add(name.lower())
+            names.add(name.lower())
+    return out, names
+
+
+def _points(text: str, linked: float) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked)
 
 
 class Page:
     """Block elements and texts of a page, without what was cut out."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spared: frozenset | None = None):
+        """``spared``: elements that their marks do not cut, by number; None spares all."""
+        self._spared = spared
+        # elements whose marks can cut them: whether a mark is foreign
+        self.marked: list[bool] = []
         self.parent, self.tag, self.likely = [-1], ["html"], [False]
-        # texts: (block number, element, text, characters in links)
+        # texts: (element, text, share in links, share in each open marked element)
         self.blocks: list[list] = []
         self._open: list | None = None
-        # open elements: tag, its block element, cut, in a link
-        self._stack: list[tuple[str, int, bool, bool]] = [("html", 0, False, False)]
+        # open elements: tag, its block element, cut, in a link, innermost marked element
+        self._stack: list[tuple[str, int, bool, bool, int]] = [("html", 0, False, False, -1)]
+        self._over: list[int] = []  # the marked element around each marked element
         self._read(source)
         self._break()
 
     def _text(self, raw: str) -> None:
-        _, node, cut, link = self._stack[-1]
+        _, node, cut, link, mark = self._stack[-1]
         if cut or not raw:
             return
         text = entities.unescape(raw) if "&" in raw else raw
         if self._open is None:
-            self._open = [node, [], 0]
+            self._open = [node, [], 0, {}]
         self._open[1].append(text)
+        if mark >= 0:
+            self._open[3][mark] = self._open[3].get(mark, 0) + len(text)
         if link:
             self._open[2] += len(text.strip())
 
@@ -115,7 +150,9 @@ class Page:
         if self._open is not None:
             text = " ".join("".join(self._open[1]).split())
             if text:
-                self.blocks.append([self._open[0], text, min(1.0, self._open[2] / len(text))])
+                size = sum(map(len, self._open[1]))
+                parts = {k: n / size for k, n in self._open[3].items()}
+                self.blocks.append([self._open[0], text, min(1.0, self._open[2] / len(text)), parts])
             self._open = None
 
     def _pop_to(self, depth: int) -> None:
@@ -146,23 +183,31 @@ class Page:
             elif tag == "hr":
                 self._break()
             return
-        _, node, cut, link = self._stack[-1]
-        marks = _marks(attributes) if attributes else set()
-        inside = any(e[0] in ("article", "main") for e in self._stack)
+        _, node, cut, link, mark = self._stack[-1]
+        marks, names = _marks(attributes) if attributes else (set(), set())
+        headed = tag == "header" or bool(marks & HEADER)
+        if headed and any(e[0] in ("article", "main") for e in self._stack):
+            headed = False
         if tag not in ("html", "body"):
             cut = (
                 cut
                 or tag in CUT
                 or (attributes != "" and bool(_HIDDEN.search(attributes)))
-                or bool(marks & UNLIKELY)
-                or ((tag == "header" or bool(marks & HEADER)) and not inside)
+                or (tag == "header" and headed)
             )
+            own = tag in ("article", "main") or bool(names & LIKELY)
+            if (marks & UNLIKELY or (marks & HEADER and headed)) and (not own or names & FOREIGN):
+                number = len(self.marked)
+                self.marked.append(bool(marks & FOREIGN))
+                self._over.append(mark)
+                mark = number
+                cut = cut or (self._spared is not None and number not in self._spared)
         if tag in BLOCK and not cut and tag != "html":
             self.parent.append(node)
             self.tag.append(tag)
             self.likely.append(bool(marks & LIKELY))
             node = len(self.tag) - 1
-        self._stack.append((tag, node, cut, link or tag == "a"))
+        self._stack.append((tag, node, cut, link or tag == "a", mark))
 
     def _end(self, tag: str) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
@@ -198,7 +243,7 @@ class Page:
     def menus(self) -> set[int]:
         """Lists of at least three texts that are links for the most part."""
         inside: dict[int, list[float]] = {}
-        for node, text, linked in self.blocks:
+        for node, text, linked, _ in self.blocks:
             while node > 0 and self.tag[node] not in ("ul", "ol", "dl"):
                 node = self.parent[node]
             if node > 0:
@@ -208,21 +253,42 @@ class Page:
                 sums[2] += linked * len(text)
         return {n for n, (k, size, linked) in inside.items() if k >= 3 and linked > 0.8 * size}
 
-    def main_text(self) -> str:
+    def _no_menus(self) -> list[list]:
         menus = self.menus()
         under = [False] * len(self.tag)
         for node in range(1, len(self.tag)):
             under[node] = node in menus or under[self.parent[node]]
-        blocks = [b for b in self.blocks if not under[b[0]]]
+        return [b for b in self.blocks if not under[b[0]]]
+
+    def prose_holders(self) -> frozenset:
+        """Numbers of the marked elements that hold no minor share of the page's prose."""
+        held, total = [0.0] * len(self.marked), 0.0
+        for node, text, linked, parts in self._no_menus():
+            if self.tag[node] in PARAGRAPH and len(text) >= 25:
+                score = _points(text, linked)
+                total += score
+                for mark, part in parts.items():
+                    held[mark] += score * part
+        for mark in range(len(held) - 1, -1, -1):
+            if self._over[mark] >= 0:
+                held[self._over[mark]] += held[mark]
+        return frozenset(
+            k
+            for k, foreign in enumerate(self.marked)
+            if held[k] > 0 and held[k] >= (MINOR_FOREIGN if foreign else MINOR) * total
+        )
+
+    def main_text(self) -> str:
+        blocks = self._no_menus()
         if not blocks:
             return ""
         points = [0.0] * len(self.tag)
         prose = [0.0] * len(self.tag)
-        for node, text, linked in blocks:
+        for node, text, linked, _ in blocks:
             prose[node] += len(text) * (1 - linked)
             if self.tag[node] not in PARAGRAPH or len(text) < 25:
                 continue
-            score = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked)
+            score = _points(text, linked)
             # text that stands in a container itself counts there; a paragraph's counts above it
             over = node if self.tag[node] in SCOPE else self.parent[node]
             level = 1
@@ -253,11 +319,11 @@ class Page:
         inside = [node in kept for node in range(len(self.tag))]
         for node in range(1, len(self.tag)):
             inside[node] = inside[node] or inside[self.parent[node]]
-        return "\n\n".join(text for node, text, _ in blocks if inside[node])
+        return "\n\n".join(text for node, text, _, _ in blocks if inside[node])
 
     def _semantic(self, blocks: list[list]) -> int:
         """Without any scored paragraph: the first article or main with text, else the page."""
-        for node, _, _ in blocks:
+        for node, *_ in blocks:
             while node > 0:
                 if self.tag[node] in ("article", "main"):
                     return node
@@ -266,7 +332,12 @@ class Page:
 
 
 def main_text(source: str) -> str:
-    return Page(source).main_text() if source else ""
+    if not source:
+        return ""
+    page = Page(source)
+    if page.marked:
+        page = Page(source, page.prose_holders())
+    return page.main_text()
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

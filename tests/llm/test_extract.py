@@ -31,6 +31,29 @@ def test_main_text(name):
     assert extract.main_text(source or "") == want
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class=has-sidebar", "main class=no-sidebar", "div id=hasSidebar", "article class='article-with-comments'",
+     "div class=search-result", "div class=share-enabled", "article class=promo", "div class='post modal-open'",
+     "span class=widget", "div class=masthead"],
+)
+def test_marks_of_a_wrapper_do_not_cut_the_article(wrapper):
+    tag = wrapper.split()[0]
+    page = (
+        f"<body><p>{LONG}</p><{wrapper}><p>{LONG} one</p><div class=sidebar><p>{LONG} no</p></div>"
+        f"<p>{LONG} two</p><p>{LONG} three</p></{tag}>"
+    )
+    text = extract.main_text(page)
+    assert all(f"{LONG} {w}" in text for w in ("one", "two", "three")) and "no" not in text.split()
+
+
+def test_many_comments_are_no_article():
+    comment = f"<article class=comment id=c1><p>{LONG} no</p></article>"
+    for area in ("div class=comments-area", "section id=comments", "div class='comment-content'"):
+        page = f"<article><p>{LONG} yes</p></article><{area}>{comment * 5}</{area.split()[0]}>"
+        assert extract.main_text(page) == f"{LONG} yes"
+
+
 def test_hostile_markup_is_linear():
     assert extract.main_text("<div " * 50_000 + "<p>x") == "x"
     assert extract.main_text("<b>" * 20_000 + "deep") == "deep"
