@@ -116,4 +116,33 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM doc LEFT JOIN each USING (row)
 """
 
-ORACLE: dict[str, str] = {"op2_chat": OP2, "op6_decontamination": OP6, "op7_secrets": OP7}
+OP11 = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+           sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (
+    SELECT doc_id, text, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a,
+           CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                     OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90
+                THEN 'plain'
+                WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM d),
+cut AS (
+    SELECT *, least(a, b) AS i, greatest(a, b) AS j, left(text, least(a, b)) AS p,
+           substring(text, least(a, b) + 1, abs(a - b)) AS m,
+           substring(text, greatest(a, b) + 1, n) AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_chat": OP2,
+    "op6_decontamination": OP6,
+    "op7_secrets": OP7,
+    "op11_infill": OP11,
+}

@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from govlens.llm import (
+    alignment,
     chat,
     decontaminate,
     extract,
+    infill,
     language,
     neighbours,
     ngram_join,
     packing,
     quality,
     secrets,
+    sharding,
     toxicity,
 )
 from govlens.llm.common import table
@@ -64,6 +67,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.report(table(spark, sf_dir, "pages"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -79,5 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_packing,
         op10_main_text,
+        op11_infill,
+        op12_alignment,
+        op13_sharding,
     )
 }
