@@ -8,7 +8,7 @@ categories are the library's own; all else is written a second time.
 from __future__ import annotations
 
 from govlens import providers
-from govlens.contract import RECORD_CATEGORY
+from govlens.contract import RECORD_CATEGORY, leaves
 from govlens.functions.rules import VOCABULARY
 from govlens.sources.bridge import EVENT_TYPES
 
@@ -173,6 +173,11 @@ CTES = {
             'cust_' || (conv_id % 50) AS user_id,
             len(string_split(text, chr(10))) AS message_count
         FROM conversations""",
+    "roles": """
+        SELECT 'user_' || user_id AS actor_id, max(ts) AS _time,
+            CASE (user_id + day(max(ts))) % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'user' ELSE 'billing' END
+                AS role
+        FROM events WHERE event_type = 'signup' GROUP BY user_id, CAST(ts AS DATE)""",
     "log": """
         SELECT ts,
             CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARN' ELSE 'INFO' END
@@ -586,6 +591,14 @@ _TIMES = {
     "analytics:spend_limit_request": "SELECT _time AS t FROM requests",
 }
 _ALL = "users summary user_activity limits requests"
+# End of the sourcetype -> record.
+_RECORD_OF = dict(
+    zip(
+        _TIMES,
+        "activity user organization group chat file summary usage cost user_usage user_cost"
+        " user_activity spend_limit spend_limit_request".split(),
+    )
+)
 
 
 def _all_times(*leave: str) -> str:
@@ -740,10 +753,7 @@ def _hits(key: str) -> str:
 
 for _key in JAN:
     q(f"backtest_{_key}", "act", _hits(_key), *_windowed(_key))
-q(
-    "backtest_d_limit",
-    "limits",
-    _LIMITED.format(run="run_time, ", by="run_time, ", src="win"),
+_LIMIT_STEPS = (
     schedule("2023-12-31 00:45:00", "2024-01-31 00:00:00", "4 HOURS"),
     (
         "win",
@@ -751,33 +761,34 @@ q(
         f" AND {COLLECTED} >= r.run_time - INTERVAL 24 HOURS",
     ),
 )
-_DAYS = schedule("1994-12-31 08:00:00", "2001-12-31 00:00:00", "1 DAY")
 q(
-    "backtest_d_topcost",
-    "user_cost",
-    """SELECT run_time, user, round(total, 4) AS total_cost_usd
+    "backtest_d_limit",
+    "limits",
+    _LIMITED.format(run="run_time, ", by="run_time, ", src="win"),
+    *_LIMIT_STEPS,
+)
+_DAYS = schedule("1994-12-31 08:00:00", "2001-12-31 00:00:00", "1 DAY")
+_TOPCOST = """SELECT run_time, user, round(total, 4) AS total_cost_usd
        FROM (SELECT *, row_number() OVER (PARTITION BY run_time ORDER BY total DESC, user) AS n
              FROM (SELECT run_time, email AS user, sum(usd) AS total
                    FROM runs JOIN user_cost ON _time < run_time
                     AND _time >= run_time - INTERVAL 7 DAYS GROUP BY 1, 2) s) t
-       WHERE n <= 20""",
-    _DAYS,
-)
-q(
-    "backtest_d_spike",
-    "cost",
-    """SELECT run_time, round(y, 4) AS yesterday_usd, round(b, 4) AS baseline_avg_usd
+       WHERE n <= 20"""
+q("backtest_d_topcost", "user_cost", _TOPCOST, _DAYS)
+_SPIKE = """SELECT run_time, round(y, 4) AS yesterday_usd, round(b, 4) AS baseline_avg_usd
        FROM (SELECT run_time, max(daily) FILTER (WHERE n = 1) AS y,
                     avg(daily) FILTER (WHERE n BETWEEN 2 AND 8) AS b
              FROM (SELECT run_time, daily,
                           row_number() OVER (PARTITION BY run_time ORDER BY day DESC) AS n
-                   FROM runs JOIN daily ON day < date_trunc('day', run_time)
+                   FROM {runs} JOIN daily ON day < date_trunc('day', run_time)
                     AND day >= date_trunc('day', run_time) - INTERVAL 9 DAYS) r
              GROUP BY 1) f
-       WHERE y > 1.5 * b""",
+       WHERE y > 1.5 * b"""
+_SPIKE_STEPS = (
     schedule("1994-12-31 09:00:00", "2001-12-31 00:00:00", "1 DAY"),
     ("daily", "SELECT date_trunc('day', _time) AS day, sum(usd) AS daily FROM cost GROUP BY 1"),
 )
+q("backtest_d_spike", "cost", _SPIKE.format(runs="runs"), *_SPIKE_STEPS)
 q(
     "backtest_d_stopped",
     "",
@@ -790,6 +801,27 @@ q(
     schedule("2023-12-31 00:25:00", "2024-01-31 00:00:00", "1 HOUR"),
 )
 
+q(
+    "d_stopped_later",
+    "",
+    """SELECT max(ts) AS last, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(ts))) / 1000000.0, 4)
+           AS lag_sec FROM events""",
+)
+# All events in one hour, of two users.
+_DENSE = (
+    (
+        "dense",
+        """SELECT event_id, user_id % 2 AS user_id, event_type, value, props,
+               make_timestamp(epoch_us(TIMESTAMP '2024-01-01')
+                              + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 720) AS ts
+           FROM events""",
+    ),
+    ("act0", CTES["act0"].replace("FROM events", "FROM dense")),
+    ("act1", CTES["act1"]),
+    ("act", CTES["act"]),
+)
+q("backtest_d_chat_dense", "", _hits("d_chat"), *_DENSE, *_windowed("d_chat"))
+
 # Suppression is a walk over the firings: the next one not before the silence ends.
 def walk(name: str, ctes: str, silence: str, severity: str, *steps: tuple[str, str]) -> None:
     """``fired`` (detection, run_time, hits) is the last of the steps."""
@@ -833,6 +865,8 @@ _ALERTS = {
     "d_chat": (4, 120),
     "d_newapi": (4, 720),
     "d_stopped": (4, 240),
+    "d_limit": (4, 720),
+    "d_spike": (3, 1200),
 }
 _steps: list[tuple[str, str]] = []
 for _key in JAN:
@@ -856,12 +890,29 @@ _fired.append(
     " ON ts < run_time AND ts >= run_time - INTERVAL 7 DAYS GROUP BY run_time"
     " HAVING epoch_us(run_time) - coalesce(epoch_us(max(ts)), 0) > 7200000000"
 )
+_limit_runs, _limit_rows = _LIMIT_STEPS
+_steps += [
+    ("runs_limit", _limit_runs[1]),
+    ("win_limit", _limit_rows[1].replace("FROM runs r", "FROM runs_limit r")),
+    ("runs_spike", _SPIKE_STEPS[0][1]),
+    _SPIKE_STEPS[1],
+]
+_fired.append(
+    "SELECT 'd_limit' AS detection, run_time, count(*) AS hits FROM ("
+    + _LIMITED.format(run="run_time, ", by="run_time, ", src="win_limit")
+    + ") h GROUP BY ALL"
+)
+_fired.append(
+    "SELECT 'd_spike' AS detection, run_time, count(*) AS hits FROM ("
+    + _SPIKE.format(runs="runs_spike")
+    + ") h GROUP BY ALL"
+)
 _steps.append(("fired", " UNION ALL ".join(_fired)))
 _cases = " ".join(f"WHEN '{k}' THEN {m}" for k, (_, m) in _ALERTS.items())
 _severities = " ".join(f"WHEN '{k}' THEN {v}" for k, (v, _) in _ALERTS.items())
 walk(
     "alerts",
-    "act",
+    "act limits cost",
     f"to_minutes(CASE w.detection {_cases} END)",
     f"CASE detection {_severities} END",
     *_steps,
@@ -1006,8 +1057,7 @@ q(
 q(
     "rule_of_event",
     "act",
-    "SELECT d.event_id, r.pattern, r.value AS action FROM decided d JOIN rules r"
-    " USING (kind, idx) WHERE kind = 'action'",
+    "SELECT d.event_id, kind, r.pattern, r.value FROM decided d JOIN rules r USING (kind, idx)",
     _RULES,
     _DECIDED,
 )
@@ -1036,48 +1086,92 @@ q(
 )
 q(
     "violations_clean",
-    "",
-    "SELECT '' AS record, '' AS rule, '' AS path, count(*) AS count FROM events HAVING false",
+    _ALL,
+    f"""SELECT record, count(*) AS events, CAST(0 AS BIGINT) AS violations
+        FROM times JOIN (VALUES {', '.join(f"('{VENDOR}:{kind}', '{record}')" for kind, record in _RECORD_OF.items())})
+             v(series, record) USING (series) GROUP BY 1""",
+    ("times", _all_times()),
 )
+# Record -> its rows, and the fields that some or all of them have.
+_N = "count(*)"
+_SUBJECT = {"ai.resource.type": _N, "ai.resource.id": _N}
+_USER = {"ai.actor.email": _N, "ai.actor.id": _N}
 _COVERED = {
     "activity": (
         "act",
-        {"ai.actor.email": "count(email)", "ai.resource.id": "count(rid)"},
+        {
+            **{f"ai.{f}": _N for f in ("event_type", "event_id", "action", "outcome")},
+            "ai.actor.email": "count(email)", "ai.actor.id": "count(actor_id)", "ai.actor.type": _N,
+            "ai.actor.ip": "count(ip)", "ai.actor.user_agent": _N, "ai.org.id": _N,
+            "ai.org.uuid": "count(org_uuid)", "ai.resource.type": "count(rtype)",
+            "ai.resource.id": "count(rid)",
+        },
+    ),
+    "user": ("users", {**_USER, **_SUBJECT, "ai.actor.role": _N, "ai.org.uuid": "count(org_uuid)"}),
+    "organization": ("region", {**_SUBJECT, "ai.org.uuid": _N}),
+    "group": ("groups", _SUBJECT),
+    "chat": ("conversations", _SUBJECT),
+    "file": ("documents", _SUBJECT),
+    "summary": (
+        "summary",
+        {
+            f"ai.adoption.{f}": _N
+            for f in (
+                "daily_active_users", "weekly_active_users", "monthly_active_users", "seats",
+                "pending_invites", "daily_rate", "weekly_rate", "monthly_rate",
+            )
+        },
+    ),
+    "usage": (
+        "usage",
+        {
+            "ai.model": "count(usage.model)", "ai.usage.input_tokens": "count(i)",
+            "ai.usage.output_tokens": "count(o)", "ai.usage.total_tokens": "count(t)",
+        },
+    ),
+    "cost": ("cost", {"ai.cost.amount_usd": "count(usd)", "ai.cost.currency": _N}),
+    "user_usage": (
+        "user_usage",
+        {
+            **_USER, "ai.usage.input_tokens": "count(i)", "ai.usage.output_tokens": _N,
+            "ai.usage.total_tokens": _N,
+        },
     ),
+    "user_cost": ("user_cost", {**_USER, "ai.cost.amount_usd": _N}),
+    "user_activity": ("user_activity", _USER),
     "spend_limit": (
         "limits",
         {
-            "ai.actor.email": "count(*)",
-            "ai.resource.id": "count(*)",
-            "ai.cost.utilization_pct": "count(pct)",
+            **_USER, **_SUBJECT, "ai.cost.limit_usd": "count(limit_usd)",
+            "ai.cost.spend_usd": "count(spend_usd)", "ai.cost.utilization_pct": "count(pct)",
         },
     ),
-    "user": (
-        "users",
-        {"ai.actor.email": "count(*)", "ai.actor.role": "count(*)", "ai.resource.id": "count(*)"},
+    "spend_limit_request": (
+        "requests",
+        {
+            **_USER, **_SUBJECT, "ai.cost.requested_limit_usd": "count(limit_usd)",
+            "ai.cost.spend_usd": "count(spend_usd)",
+        },
     ),
-}
-_PATHS = (
-    "ai.time",
-    "ai.vendor",
-    "ai.event_category",
-    "ai.actor.email",
-    "ai.actor.role",
-    "ai.resource.id",
-    "ai.cost.utilization_pct",
-)
+}
+_ENVELOPE = [f"ai.{f}" for f in ("time", "schema_version", "vendor", "product", "record", "event_category")]
+
+
+def _covered(record: str) -> str:
+    table, known = _COVERED[record]
+    counts = {path: "CAST(0 AS BIGINT)" for path, _ in leaves()} | dict.fromkeys(_ENVELOPE, _N) | known
+    rows = ", ".join(f"('{path}', c{k})" for k, path in enumerate(counts))
+    columns = ", ".join(f"{sql} AS c{k}" for k, sql in enumerate(counts.values()))
+    return (
+        f"SELECT '{record}' AS record, path, present, round(100.0 * present / n, 2) AS pct"
+        f" FROM (SELECT count(*) AS n, {columns} FROM {table}) t, (VALUES {rows}) v(path, present)"
+    )
+
+
 q(
     "coverage",
-    "act limits users",
-    " UNION ALL ".join(
-        f"SELECT '{record}' AS record, '{path}' AS path, {present} AS present,"
-        f" round(100.0 * {present} / count(*), 2) AS pct FROM {table}"
-        for record, (table, known) in _COVERED.items()
-        for path in _PATHS
-        for present in [
-            known.get(path, "count(*)" if path in _PATHS[:3] else "CAST(0 AS BIGINT)")
-        ]
-    ),
+    f"act {_ALL} groups usage cost user_usage user_cost",
+    " UNION ALL ".join(f"SELECT * FROM ({_covered(record)}) {record}_" for record in _COVERED),
 )
 q(
     "rule_problems",
@@ -1104,7 +1198,11 @@ q(
     """SELECT 'expected' AS side, count(*) + count(*) FILTER (WHERE n % 7 = 0 AND n % 5 = 0) AS count
        FROM act WHERE n % 7 = 0 OR n % 5 = 0""",
 )
-q("golden_diff", "", "SELECT '' AS side, count(*) AS count FROM events HAVING false")
+q(
+    "golden_diff",
+    "",
+    "SELECT count(*) AS events, count(*) AS landed, CAST(0 AS BIGINT) AS differ FROM events",
+)
 
 # --- sources, cycles, store -------------------------------------------------------
 q(
@@ -1185,12 +1283,85 @@ q(
     "SELECT series AS sourcetype, count(*) AS count FROM times GROUP BY 1",
     ("times", _all_times()),
 )
+_CATEGORY_OF = ", ".join(f"('{r}', '{c}')" for r, c in RECORD_CATEGORY.items())
+_RECORDS = ", ".join(f"('{VENDOR}:{kind}', '{record}')" for kind, record in _RECORD_OF.items())
 q(
     "store_scan",
-    "act",
-    f"""SELECT CAST(_time AS DATE) AS event_date, category AS event_category, count(*) AS count
-       FROM act WHERE _time >= TIMESTAMP '2024-01-17' AND _time < {AS_OF} GROUP BY 1, 2""",
+    f"act {_ALL}",
+    f"""SELECT CAST(t AS DATE) AS event_date, record, c.category AS event_category, count(*) AS count
+        FROM times JOIN (VALUES {_RECORDS}) v(series, record) USING (series)
+        JOIN (VALUES {_CATEGORY_OF}) c(record, category) USING (record)
+        WHERE t >= TIMESTAMP '2024-01-17' AND t < {AS_OF} GROUP BY 1, 2, 3
+        UNION ALL
+        SELECT CAST(_time AS DATE), 'activity', category, count(*)
+        FROM act WHERE _time >= TIMESTAMP '2024-01-17' AND _time < {AS_OF} GROUP BY 1, 2, 3""",
+    ("times", _all_times()),
+)
+q(
+    "upsert_kinds",
+    _ALL,
+    f"""SELECT record, count(*) AS count
+        FROM times JOIN (VALUES {_RECORDS}) v(series, record) USING (series) GROUP BY 1""",
+    ("times", _all_times()),
+)
+_FIRST, _SECOND = "TIMESTAMP '2024-01-20'", AS_OF
+_REPORT_DAYS = "_time >= TIMESTAMP '2024-01-10' AND _time < TIMESTAMP '2024-01-28'"
+q(
+    "cycle_store",
+    _ALL,
+    f"""SELECT 'activity' AS record, count(*) AS count, {_SECOND} AS collected_at FROM events
+        UNION ALL SELECT 'user', count(*), {COLLECTED} FROM users
+        UNION ALL SELECT 'organization', count(*), {COLLECTED} FROM region
+        UNION ALL SELECT 'group', count(*), {COLLECTED} FROM nation
+        UNION ALL SELECT 'chat', count(*), {COLLECTED} FROM conversations
+        UNION ALL SELECT 'file', count(*), {COLLECTED} FROM documents
+        UNION ALL SELECT 'summary', count(*), {_SECOND} FROM summary WHERE {_REPORT_DAYS}
+        UNION ALL SELECT 'user_activity', count(*), {_SECOND} FROM user_activity WHERE {_REPORT_DAYS}
+        UNION ALL SELECT 'spend_limit', 2 * count(*), {_SECOND} FROM limits
+        UNION ALL SELECT 'spend_limit_request', 2 * count(*), {_SECOND} FROM requests""",
+)
+q(
+    "cycle_state",
+    "",
+    f"""SELECT 'activity' AS input, arg_max('activity_' || event_id, (ts, 'activity_' || event_id)) AS last_id,
+              max(ts) AS last_created_at, CAST(NULL AS VARCHAR) AS last_finalized,
+              CAST(NULL AS TIMESTAMP) AS last_sync, CAST(2 AS BIGINT) AS version FROM events
+        UNION ALL SELECT input, NULL, NULL, '2024-01-28', NULL, 2
+        FROM (VALUES ('summary'), ('usage'), ('cost'), ('user_usage'), ('user_cost'), ('user_activity')) v(input)
+        UNION ALL SELECT input, NULL, NULL, NULL, {AS_OF}, 2
+        FROM (VALUES ('organization'), ('user'), ('group')) v(input)""",
+)
+_REFUSED = (
+    "refused",
+    f"""SELECT {_FIRST} AS ts, '{VENDOR}:compliance:directory:main:groups' AS source,
+               'RuntimeError: Rate limited (429), gave up after 5 attempts' AS message FROM nation
+        UNION SELECT {_FIRST}, '{VENDOR}:compliance:content:main:chat',
+               'ConnectionError: connection refused' FROM conversations""",
+)
+q("th_03_cycle", "", "SELECT source, count(*) AS count FROM refused GROUP BY 1", _REFUSED)
+q("th_04_cycle", "", "SELECT ts AS _time, source, message AS _raw FROM refused", _REFUSED)
+q(
+    "th_05_cycle",
+    "",
+    "SELECT ts AS bucket, count(*) AS count FROM refused WHERE message LIKE '%429%' GROUP BY 1",
+    _REFUSED,
+)
+q(
+    "bucket_feed",
+    "usage cost",
+    """SELECT CAST(date_trunc('hour', _time) AS TIMESTAMP) AS _time, 'usage' AS record, product, usage.model,
+              CAST(CASE WHEN count(u) + count(r) + count(c) > 0
+                   THEN coalesce(sum(u), 0) + coalesce(sum(r), 0) + coalesce(sum(c), 0) END AS BIGINT)
+                  AS input_tokens,
+              CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(t) AS BIGINT) AS total_tokens,
+              CAST(NULL AS DOUBLE) AS amount_usd
+       FROM usage GROUP BY 1, 3, 4
+       UNION ALL
+       SELECT CAST(date_trunc('hour', _time) AS TIMESTAMP), 'cost', product, NULL, NULL, NULL, NULL,
+              round(sum(usd), 4) FROM cost GROUP BY 1, 3""",
 )
+q("replay_events", "act", _ACT_ROWS)
+q("stream_feed", "act", _ACT_ROWS)
 q(
     "upsert",
     "",
@@ -1309,6 +1480,35 @@ q(
     " (SELECT 'cust_' || c_custkey FROM customer WHERE c_nationkey IN (3, 7))",
 )
 
+q(
+    "users_in_both",
+    "limits user_cost",
+    "SELECT DISTINCT email FROM limits WHERE email IN (SELECT email FROM user_cost)",
+)
+q(
+    "as_of_role",
+    "act roles",
+    """SELECT a.event_id, a.actor_id, r.role FROM act a
+       ASOF LEFT JOIN roles r ON a.actor_id = r.actor_id AND a._time >= r._time""",
+)
+q(
+    "unknown_actors",
+    "act roles",
+    """SELECT actor_id, count(*) AS count, min(_time) AS first_time, max(_time) AS last_time FROM act
+       WHERE actor_id IS NOT NULL AND actor_id NOT IN (
+           SELECT actor_id FROM roles WHERE _time < TIMESTAMP '2024-01-03') GROUP BY 1""",
+)
+_SESSIONS = (
+    "found",
+    f"""SELECT user, min(_time) AS first_time, max(_time) AS last_time, count(*) AS count
+        FROM (SELECT *, count(*) FILTER (WHERE apart) OVER (PARTITION BY user ORDER BY _time) AS k
+              FROM (SELECT email AS user, _time, coalesce(_time - lag(_time) OVER (
+                        PARTITION BY email ORDER BY _time) > INTERVAL 12 HOURS, true) AS apart
+                    FROM act WHERE {SIGN_IN} AND email IS NOT NULL) s) n
+        GROUP BY user, k""",
+)
+q("sessions", "act", "SELECT * FROM found", _SESSIONS)
+
 # --- operators --------------------------------------------------------------------
 q(
     "time_range",
@@ -1363,21 +1563,18 @@ q(
               CAST(NULL AS DOUBLE) AS amount_usd, min(_time) AS first_time, max(_time) AS last_time
        FROM act GROUP BY ALL""",
 )
-_RECENT = _all_times(
-    "analytics:usage", "analytics:cost", "analytics:user_usage", "analytics:user_cost"
-)
 q(
     "rollup_counts",
     _ALL,
     "SELECT CAST(date_trunc('day', t) AS TIMESTAMP) AS bucket, series AS sourcetype,"
     " count(*) AS count FROM times GROUP BY 1, 2",
-    ("times", _RECENT),
+    ("times", _all_times()),
 )
 q(
     "rollup_newest",
     _ALL,
     "SELECT series AS sourcetype, max(t) AS last FROM times GROUP BY 1",
-    ("times", _RECENT),
+    ("times", _all_times()),
 )
 
 # --- streams: windows that end by the watermark, an hour behind the newest event -----
@@ -1401,6 +1598,48 @@ q(
     f"SELECT DISTINCT run_time, user, count FROM ({_hits('d_chat')}) h WHERE {_CLOSED}",
     *_windowed("d_chat"),
 )
+# One more event six hours after the last moves time past the runs before it.
+q(
+    "stream_d_chat_dense",
+    "",
+    f"SELECT DISTINCT run_time, user, count FROM ({_hits('d_chat')}) h"
+    " WHERE run_time <= (SELECT max(ts) + INTERVAL 5 HOURS FROM dense)",
+    *_DENSE,
+    *_windowed("d_chat"),
+)
+_ORDER_DAYS = (
+    "runs",
+    "SELECT unnest(generate_series((SELECT min(o_orderdate) FROM orders) + INTERVAL {0},"
+    " (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY)) AS run_time",
+)
+_FINAL_RUN = "run_time <= (SELECT max(o_orderdate) - INTERVAL 3 DAYS FROM orders)"
+q(
+    "stream_d_spike",
+    "cost",
+    f"SELECT '{VENDOR}' AS vendor, * FROM ({_SPIKE.format(runs='runs')}) s WHERE {_FINAL_RUN}",
+    (_ORDER_DAYS[0], _ORDER_DAYS[1].format("9 HOURS")),
+    _SPIKE_STEPS[1],
+)
+q(
+    "stream_d_topcost",
+    "user_cost",
+    f"SELECT * FROM ({_TOPCOST}) s WHERE {_FINAL_RUN}",
+    (_ORDER_DAYS[0], _ORDER_DAYS[1].format("8 HOURS")),
+)
+q(
+    "stream_d_limit",
+    "limits",
+    _LIMITED.format(run="run_time, ", by="run_time, ", src="win"),
+    schedule("2024-01-30 00:45:00", "2024-02-02 11:00:00", "4 HOURS"),
+    _LIMIT_STEPS[1],
+)
+q("stream_d_stopped", "", f"SELECT '{VENDOR}' AS vendor, max(ts) AS last FROM events")
+q(
+    "stream_sessions",
+    "act",
+    "SELECT * FROM found WHERE last_time + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    _SESSIONS,
+)
 q(
     "stream_first_seen",
     "act",

@@ -5,6 +5,7 @@ Reports and detections run over all time, so each one reads its whole table.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime
 
@@ -23,12 +24,13 @@ from govlens.plans import detections as D
 from govlens.plans import quality, rollup
 from govlens.plans.normalize import normalize, redact_chats
 from govlens.plans.reports import REPORTS
+from govlens.plans.reports.security import SIGN_IN
 from govlens.plans.reports.tokenomics import near_limit
 from govlens.providers import Provider
 from govlens.session import configure, shared_dir
-from govlens.sources import bridge, collect, feeds, store
+from govlens.sources import bridge, collect, feeds, runlog, store
 from govlens.streaming import detections as stream_detections
-from govlens.streaming import ingest
+from govlens.streaming import ingest, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = datetime(2024, 1, 31)
@@ -84,12 +86,6 @@ for _key in REPORTS:
     query(_key)(_report(_key))
 
 
-# Kinds whose records fall into few days: a store of these has few folders.
-RECENT = (
-    "activity", "user", "organization", "group", "chat", "file", "summary", "user_activity",
-    "spend_limit", "spend_limit_request",
-)
-
 # Panels as they are shown: over their own range, seen from a moment with and one without data.
 IN_RANGE = {
     "ov_05_range": ("ov_05", datetime(2024, 1, 20, 7, 30)),
@@ -136,8 +132,26 @@ for _key in D.DETECTIONS:
 
 @query("alerts")
 def _alerts(spark, d):
-    keys = [k for k, x in D.DETECTIONS.items() if x.record == "activity"]
-    return D.alerts(lambda kind: bridge.events(spark, d, kind), *JANUARY, *keys)
+    """All detections over January, and the spend spike over the years that have orders."""
+    feed = lambda kind: bridge.events(spark, d, kind)
+    return D.alerts(feed, *JANUARY).unionByName(D.alerts(feed, *ORDER_YEARS, "d_spike"))
+
+
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    """The audit feed with all its events in one hour, so that counts per hour are high."""
+    rows = bridge.activity_columns(bridge.dense(bridge.table(spark, d, "events")))
+    return normalize(rows, "activity", collected_at=bridge.COLLECTED_AT)
+
+
+@query("backtest_d_chat_dense")
+def _backtest_chat(spark, d):
+    return D.backtest("d_chat", _dense(spark, d), *JANUARY)
+
+
+@query("d_stopped_later")
+def _stopped_later(spark, d):
+    """Seen from a day after the last event."""
+    return D.run("d_stopped", bridge.events(spark, d, "activity"), datetime(2024, 2, 1), None, None)
 
 
 @query("throttle_sso_6h")
@@ -321,14 +335,15 @@ def _rule_hits(spark, d):
 
 @query("rule_of_event")
 def _rule_of_event(spark, d):
-    """Deciding rule of every single event, joined to the rule table by its index."""
+    """Deciding rule of every single event in each list, joined to the table of rules."""
     events = bridge.events(spark, d, "activity").select("ai.event_id", "ai.event_type")
     rules = providers.DEFAULT_RULES
-    index = matched_rule_sql("event_type", rules, "action")
-    table = rules.table(spark).where("kind = 'action'").drop("kind")
-    return events.withColumn("idx", F.expr(index)).join(table, "idx").select(
-        "event_id", "pattern", F.col("value").alias("action")
+    found = ", ".join(
+        f"named_struct('kind', '{kind}', 'idx', {matched_rule_sql('event_type', rules, kind)})"
+        for kind in ("category", "action", "resource", "outcome")
     )
+    decided = events.selectExpr("event_id", f"explode(array({found})) AS f").select("event_id", "f.*")
+    return decided.join(rules.table(spark), ["kind", "idx"]).select("event_id", "kind", "pattern", "value")
 
 
 @query("sql_functions")
@@ -359,7 +374,7 @@ def _sql_functions(spark, d):
 @query("violations")
 def _violations(spark, d):
     """The contract checks on events that have been damaged on purpose."""
-    events = bridge.events(spark, d, "activity", "cost")
+    events = bridge.events(spark, d)
     n = "CAST(substring_index(ai.event_id, '_', -1) AS BIGINT)"
     damaged = events.withColumn(
         "ai",
@@ -380,15 +395,16 @@ def _violations(spark, d):
 
 @query("violations_clean")
 def _violations_clean(spark, d):
-    return quality.violation_counts(bridge.events(spark, d))
+    """Events of each kind, and how many broken rules the checks find in them: none."""
+    events = bridge.events(spark, d)
+    broken = quality.violation_counts(events).groupBy("record").agg(F.sum("count").alias("violations"))
+    seen = events.groupBy("ai.record").agg(F.count("*").alias("events"))
+    return seen.join(broken, "record", "left").fillna(0, ["violations"])
 
 
 @query("coverage")
 def _coverage(spark, d):
-    return quality.coverage(bridge.events(spark, d, "activity", "spend_limit", "user")).where(
-        "path IN ('ai.time', 'ai.vendor', 'ai.event_category', 'ai.actor.email', 'ai.actor.role',"
-        " 'ai.resource.id', 'ai.cost.utilization_pct')"
-    )
+    return quality.coverage(bridge.events(spark, d))
 
 
 @query("rule_problems")
@@ -402,10 +418,10 @@ def _rule_problems(spark, d):
 
 @query("rule_problems_of")
 def _rule_problems_of(spark, d):
-    """A rule book made of the table's event names: what its own check says (V-07)."""
-    names = [r[0] for r in bridge.table(spark, d, "events").select("event_type").distinct().collect()]
-    book = RuleBook(vendor="other", category=(), action=tuple((n, n) for n in sorted(names)))
-    return quality.rule_problems(spark, book, providers.VENDOR)
+    """Rules made of the table's event names: what their check says (V-07)."""
+    names = bridge.table(spark, d, "events").select("event_type").distinct()
+    rules = names.selectExpr("'action' AS kind", "event_type AS pattern", "event_type AS value")
+    return quality.rule_table_problems(rules, "other", providers.VENDOR)
 
 
 @query("category_gaps")
@@ -432,10 +448,11 @@ def _golden_damaged(spark, d):
 
 @query("golden_diff")
 def _golden_diff(spark, d):
-    """Typed path against JSON path over the whole feed: no event may differ."""
+    """Typed path against JSON path over the whole feed: how many events, and how many differ."""
     a = bridge.events(spark, d, "activity")
     b = normalize(_landed(spark, d), "activity", collected_at=bridge.COLLECTED_AT)
-    return quality.golden_diff(a, b).groupBy("side").agg(F.sum("copies").alias("count"))
+    differ = quality.golden_diff(a, b).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("differ"))
+    return a.agg(F.count("*").alias("events")).join(b.agg(F.count("*").alias("landed"))).join(differ)
 
 
 # --- sources, cycles, store -------------------------------------------------------
@@ -492,12 +509,103 @@ def _collect(spark, d):
         "main",
         AS_OF,
         {"collect_user_usage": False, "collect_cost": False},
+        backfill_days=31,
     )
     return collect.ingest_counts(events).join(
         events.groupBy("sourcetype").agg(F.max("source").alias("source")), "sourcetype"
     )
 
 
+class _Cycles:
+    """Two cycles over a feed that grows: until 20 January, then all of it.
+
+    The first one is throttled when it asks for groups and refused the chats.
+    """
+
+    done: dict[tuple[str, str], _Cycles] = {}
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark = spark
+        self.store, self.state, self.log = (shared_dir(spark, n) for n in ("cycles", "state", "log"))
+        first = datetime(2024, 1, 20)
+
+        def early(kind: str) -> DataFrame:
+            if kind == "group":
+                raise RuntimeError("Rate limited (429), gave up after 5 attempts")
+            if kind == "chat":
+                raise ConnectionError("connection refused")
+            feed = bridge.feed(spark, d, kind)
+            return feed.where(F.col("created_at") < first) if kind == "activity" else feed
+
+        for feeds_of, when in ((early, first), (lambda kind: bridge.feed(spark, d, kind), AS_OF)):
+            collect.run_cycle(
+                spark, feeds_of, "main", when, self.store, self.state, self.log, backfill_days=31
+            )
+
+    @classmethod
+    def of(cls, spark: SparkSession, d: str) -> _Cycles:
+        """The cycles are the same for all queries of a session, so they run once in it."""
+        key = (spark.sparkContext.applicationId, d)
+        if key not in cls.done or not collect.StateTable(spark, cls.done[key].state).read()[0]:
+            cls.done[key] = cls(spark, d)
+        return cls.done[key]
+
+
+@query("cycle_store")
+def _cycle_store(spark, d):
+    """What two cycles have loaded: each event once, the later delivery of what came twice."""
+    events = store.read_store(spark, _Cycles.of(spark, d).store)
+    return events.groupBy("record").agg(
+        F.count("*").alias("count"), F.max("collected_at").alias("collected_at")
+    )
+
+
+@query("cycle_state")
+def _cycle_state(spark, d):
+    return collect.StateTable(spark, _Cycles.of(spark, d).state).rows()
+
+
+def _cycle_report(key: str) -> Query:
+    """A health report over the run log that the cycles wrote."""
+
+    def build(spark, d):
+        return REPORTS[key](runlog.read(spark, _Cycles.of(spark, d).log), AS_OF, None, None)
+
+    return build
+
+
+for _key in ("th_03", "th_04", "th_05"):
+    query(f"{_key}_cycle")(_cycle_report(_key))
+
+
+@query("bucket_feed")
+def _bucket_feed(spark, d):
+    """Usage and cost by hour, as a cycle normalizes them when it is told a bucket's width."""
+    parts = [
+        normalize(collect.bucket_feed(bridge.feed(spark, d, kind), kind, "1h"), kind, collected_at=AS_OF)
+        for kind in ("usage", "cost")
+    ]
+    events = collect.union(parts)
+    return events.select(
+        "_time",
+        "ai.record",
+        raw(events, "product").alias("product"),
+        "ai.model",
+        "ai.usage.input_tokens",
+        "ai.usage.output_tokens",
+        "ai.usage.total_tokens",
+        "ai.cost.amount_usd",
+    )
+
+
+@query("replay_events")
+def _replay(spark, d):
+    """Events written as JSON lines and read again (I-02)."""
+    path = shared_dir(spark, "replay")
+    store.export_json(bridge.events(spark, d, "activity"), path)
+    return _flat(feeds.read_events(spark, path), "activity")
+
+
 @query("collect_buckets")
 def _buckets(spark, d):
     return collect.bucketed(bridge.events(spark, d, "usage", "cost"))
@@ -512,11 +620,11 @@ def _ingest_counts(spark, d):
 def _store_scan(spark, d):
     """Written once, read with day and record predicates."""
     path = shared_dir(spark, "store")
-    store.write_events(bridge.events(spark, d, *RECENT), path)
+    store.write_events(bridge.events(spark, d), path)
     events = store.read_store(spark, path)
-    rows = time_range(base(events, "activity"), AS_OF, "-14d@d", "now")
-    return stats(rows.select("event_date", "ai.event_category"), {"count": "count(*)"},
-                 ["event_date", "event_category"])
+    rows = time_range(base(events), AS_OF, "-14d@d", "now")
+    return stats(rows.select("event_date", "ai.record", "ai.event_category"), {"count": "count(*)"},
+                 ["event_date", "record", "event_category"])
 
 
 @query("upsert")
@@ -533,6 +641,27 @@ def _upsert(spark, d):
     )
 
 
+@query("upsert_kinds")
+def _upsert_kinds(spark, d):
+    """Every kind delivered twice: as many events as there are rows.
+
+    Days of the order tables are folded into one month, which keeps the store's folders few.
+    """
+    path = shared_dir(spark, "upsert")
+    fold = "timestampadd(DAY, day({0}) - 1, TIMESTAMP '2024-01-01 00:00:00')"
+    for kind in feeds.FEEDS:
+        feed = bridge.feed(spark, d, kind)
+        for column in ("starting_at", "date"):
+            if column in feed.columns and kind in ("usage", "cost", "user_usage", "user_cost"):
+                folded = F.expr(fold.format(f"CAST({column} AS DATE)"))
+                feed = feed.withColumn(column, folded.cast(feed.schema[column].dataType))
+        if kind == "chat":
+            feed = redact_chats(feed)
+        for _ in range(2):
+            store.upsert_events(normalize(feed, kind, collected_at="2024-01-30 12:00:00"), path)
+    return store.read_store(spark, path).groupBy("record").agg(F.count("*").alias("count"))
+
+
 @query("upsert_reports")
 def _upsert_reports(spark, d):
     """Report rows, which have no id, delivered twice: as many as there are rows.
@@ -674,6 +803,37 @@ def _members_of(spark, d):
     return found.select("id", "full_name", "organization_role")
 
 
+@query("users_in_both")
+def _in_both(spark, d):
+    """Users with a limit who have spent something, too."""
+    return joins.users_in_both(
+        bridge.events(spark, d, "spend_limit"), bridge.events(spark, d, "user_cost")
+    )
+
+
+def _directory(spark, d):
+    """The audit feed's users as their directory had them, sync by sync."""
+    return normalize(bridge.role_history(spark, d), "user")
+
+
+@query("as_of_role")
+def _as_of_role(spark, d):
+    events = joins.as_of_role(bridge.events(spark, d, "activity"), _directory(spark, d))
+    return events.select("ai.event_id", F.col("ai.actor.id").alias("actor_id"), "role")
+
+
+@query("unknown_actors")
+def _unknown_actors(spark, d):
+    """Actors whom the directory did not have by the third day."""
+    directory = time_range(_directory(spark, d), AS_OF, None, datetime(2024, 1, 3))
+    return joins.unknown_actors(bridge.events(spark, d, "activity"), directory)
+
+
+@query("sessions")
+def _sessions(spark, d):
+    return joins.sessions(bridge.events(spark, d, "activity"), "12 hours", SIGN_IN)
+
+
 # --- operators --------------------------------------------------------------------
 
 
@@ -741,14 +901,14 @@ def _rollup_hourly(spark, d):
 @query("rollup_counts")
 def _rollup_counts(spark, d):
     path = shared_dir(spark, "rollup")
-    rollup.update(bridge.events(spark, d, *RECENT), path)
+    rollup.update(bridge.events(spark, d), path)
     return rollup.counts(rollup.read(spark, path), "1 day")
 
 
 @query("rollup_newest")
 def _rollup_newest(spark, d):
     path = shared_dir(spark, "rollup")
-    rollup.update(bridge.events(spark, d, *RECENT), path)
+    rollup.update(bridge.events(spark, d), path)
     return rollup.newest(rollup.read(spark, path))
 
 
@@ -777,6 +937,92 @@ for _key in stream_detections.WINDOWED:
     query(f"stream_{_key}")(_window_stream(_key))
 
 
+@query("stream_d_chat_dense")
+def _stream_chat(spark, d):
+    """The same over the feed with all events in one hour, and one much later that ends it."""
+    path = shared_dir(spark, "dense")
+    rows = bridge.dense(bridge.table(spark, d, "events"))
+    rows.write.parquet(path)
+    last = rows.orderBy(F.desc("ts")).limit(1).withColumns(
+        {"ts": F.expr("ts + INTERVAL 6 HOURS"), "event_id": F.lit(0).cast("long")}
+    )
+    last.write.mode("append").parquet(path)
+    stream = bridge.activity_columns(spark.readStream.schema(rows.schema).parquet(path))
+    events = normalize(stream, "activity", collected_at=bridge.COLLECTED_AT)
+    return _finished(spark, stream_detections.windowed("d_chat", events))
+
+
+def _orders_stream(columns: Callable[[DataFrame], DataFrame], kind: str) -> Query:
+    def build(spark, d):
+        schema = bridge.table(spark, d, "orders").schema
+        files = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+        return normalize(columns(files), kind, collected_at=bridge.COLLECTED_AT)
+
+    return build
+
+
+@query("stream_d_spike")
+def _stream_spike(spark, d):
+    events = _orders_stream(bridge.cost_columns, "cost")(spark, d)
+    return _finished(spark, stateful.spend_spike(events))
+
+
+@query("stream_d_topcost")
+def _stream_topcost(spark, d):
+    events = _orders_stream(bridge.user_cost_columns, "user_cost")(spark, d)
+    return _finished(spark, stateful.top_cost(events))
+
+
+@query("stream_d_limit")
+def _stream_limit(spark, d):
+    """Limits on two days, as a stream: the runs between them."""
+    path = shared_dir(spark, "snapshots")
+    snapshots = _two_snapshots(spark, d)
+    snapshots.write.parquet(path)
+    events = spark.readStream.schema(snapshots.schema).parquet(path)
+    return _finished(spark, stateful.limit_reached(events))
+
+
+@query("stream_d_stopped")
+def _stream_stopped(spark, d):
+    """The feed ended long ago, so its vendor's timer has run out when it has been read.
+
+    A stream with such timers never ends by itself; it is stopped when the row is there.
+    """
+    df, path = stateful.stopped(_stream(spark, d)), shared_dir(spark, "stream")
+    writer = df.writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "progress"))
+    running = writer.option("path", path).trigger(processingTime="1 second").start()
+    try:
+        until = time.monotonic() + 120
+        while running.isActive and time.monotonic() < until:
+            progress = running.lastProgress
+            if progress and any(op["numRowsTotal"] for op in progress["stateOperators"]):
+                break
+            time.sleep(0.5)
+        if running.exception():
+            raise running.exception()
+    finally:
+        running.stop()
+    found = spark.read.schema(df.schema).parquet(path)
+    return found.where("lag_sec > 7200").select("vendor", "last").distinct()
+
+
+@query("stream_sessions")
+def _stream_sessions(spark, d):
+    return _finished(spark, stateful.sessions(_stream(spark, d), "12 hours"))
+
+
+@query("stream_feed")
+def _stream_feed(spark, d):
+    """The feed landed as JSON lines and read as a stream of files (I-03)."""
+    path = shared_dir(spark, "landing")
+    rows = bridge.feed(spark, d, "activity").select(F.to_json(F.struct("*"), MICROS))
+    rows.repartition(3).write.text(path)
+    stream = feeds.stream_feed(spark, path, "activity", max_files=2)
+    events = normalize(stream, "activity", collected_at=bridge.COLLECTED_AT)
+    return _flat(_finished(spark, events), "activity")
+
+
 @query("stream_first_seen")
 def _stream_first_seen(spark, d):
     """Every pair that occurs, once; within one batch any of its reads may be it."""

@@ -68,14 +68,17 @@ def with_values(
     A key's totals repeat on its rows; a key without values has one row with null. No list
     is built and no group is gathered in one place, so a key with millions of values is a
     result like any other: rows first shrink to one per (key, value), which spreads a hot
-    key over its values, and totals, the filter and the top-k work on those.
+    key over its values, and totals, the filter and the top-k work on those. Totals and
+    list read all columns of those rows, so that both come out of one shuffle.
     """
     measures = [F.count("*").alias("_n")]
     if first or last:
         measures += [F.min(time).alias("_first"), F.max(time).alias("_last")]
     pairs = _present(df, by).groupBy(*by, value).agg(*measures)
 
-    totals = [F.count(value).alias(distinct or "_distinct")]
+    there = "_n > 0 AND _first <= _last" if first or last else "_n > 0"  # always, but not to Spark
+    known = F.expr(f"CASE WHEN {there} THEN `{value}` END")
+    totals = [F.count(known).alias(distinct or "_distinct")]
     if count:
         totals.append(F.sum("_n").alias(count))
     if first:
@@ -90,7 +93,7 @@ def with_values(
 
     # Shuffled by key unless the groups are measured small; where it shuffles,
     # adaptive execution splits a hot key's pairs and repeats its one group row.
-    found = pairs.where(F.col(value).isNotNull()).select(*by, F.col(value).alias(values))
+    found = pairs.select(*by, known.alias(values)).where(F.col(values).isNotNull())
     out = groups.join(found, list(by), "left")
     return out if distinct else out.drop("_distinct")
 
@@ -105,8 +108,7 @@ def bucket(time: str = "_time", span: str = "1 day") -> Column:
     return F.window(F.col(time), span)["start"]
 
 
-def _buckets(first: Column, last: Column, span: str) -> Column:
-    return F.explode(F.sequence(first, last, F.expr(f"INTERVAL {span}")))
+BLOCK = 4096  # buckets of an axis that one row makes in one task
 
 
 def timechart(
@@ -180,7 +182,9 @@ def _span_of(
 ) -> DataFrame:
     """Every bucket from first to last, with every series name if there are any.
 
-    One row holds both ends and the few series names; it is exploded, not joined.
+    One row holds both ends and the few series names. It becomes a row per ``BLOCK`` of
+    buckets, these are dealt out, and each becomes its buckets: however far apart the ends
+    lie, no task makes the axis alone.
     """
     ends = [F.min("bucket").alias("_a"), F.max("bucket").alias("_b")]
     if series:
@@ -190,10 +194,15 @@ def _span_of(
         {"_start": at(start) if start else F.col("_a"), "_end": F.col("_b")}
         | ({"_end": at(end - timedelta(microseconds=1))} if end else {})
     )
-    first, last = bucket("_start", span), bucket("_end", span)
-    line = line.where(first.isNotNull() & last.isNotNull())
-    columns = [_buckets(first, last, span).alias("bucket")] + (["_series"] if series else [])
-    grid = line.select(*columns)
+    line = line.withColumns({"_start": bucket("_start", span), "_end": bucket("_end", span)})
+    line = line.where("_start IS NOT NULL AND _end IS NOT NULL")
+    names = ["_series"] if series else []
+    step = f"INTERVAL {span}"
+    blocks = line.selectExpr(
+        f"explode(sequence(_start, _end, {step} * {BLOCK})) AS _block", "_end", *names
+    ).repartition("_block")
+    until = f"least(_end, _block + {step} * {BLOCK - 1})"
+    grid = blocks.selectExpr(f"explode(sequence(_block, {until}, {step})) AS bucket", *names)
     return grid.select("bucket", F.explode("_series").alias(series)) if series else grid
 
 

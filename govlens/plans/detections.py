@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +22,7 @@ from govlens.operators.filters import base, time_range
 from govlens.operators.stats import baseline_spike, latest, stats, with_values
 from govlens.operators.tables import ctime, top
 from govlens.plans.reports.security import AUDIT_READ, EXPORT, IDENTITY, SIGN_IN
+from govlens.session import shared_dir
 
 EPOCH = datetime(1970, 1, 1)
 
@@ -393,35 +395,51 @@ def throttle(fired: DataFrame, period: timedelta | None = None) -> DataFrame:
     """Firings left after each one silences its detection for the period.
 
     Input is one row per scheduled run, so a detection's list is as long as its
-    schedule, never as its data. It is folded in time order.
+    schedule, never as its data. It is walked once, in time order.
     """
-    if period is not None:
-        silence = f"INTERVAL {int(period.total_seconds())} SECONDS"
-    else:
-        cases = " ".join(
-            f"WHEN '{d.key}' THEN make_dt_interval(0, 0, 0, {int(d.suppress.total_seconds())})"
-            for d in DETECTIONS.values()
-        )
-        silence = f"CASE detection {cases} END"
-    kept = """
-        aggregate(
-            _fired,
-            named_struct('kept', CAST(array() AS ARRAY<STRUCT<run_time: TIMESTAMP, hits: BIGINT>>),
-                         'until', TIMESTAMP '0001-01-01 00:00:00'),
-            (a, x) -> CASE WHEN x.run_time >= a.until
-                THEN named_struct('kept', concat(a.kept, array(x)),
-                                  'until', x.run_time + _silence)
-                ELSE a END,
-            a -> a.kept)"""
-    folded = (
-        fired.groupBy("detection", "severity")
-        .agg(F.array_sort(F.collect_list(F.struct("run_time", "hits"))).alias("_fired"))
-        .withColumn("_silence", F.expr(silence))
-        .withColumn("_kept", F.expr(kept))
-    )
-    return folded.select("detection", "severity", F.explode("_kept").alias("_k")).select(
-        "detection", "severity", "_k.run_time", "_k.hits"
+    silences = {d.key: d.suppress if period is None else period for d in DETECTIONS.values()}
+
+    def walk(runs: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values(["run_time", "hits"])
+        kept, until = [], None
+        for place, (key, run_time) in enumerate(zip(runs["detection"], runs["run_time"])):
+            if until is None or run_time >= until:
+                until = run_time + silences[key]
+                kept.append(place)
+        return runs.iloc[kept]
+
+    columns = ["detection", "severity", "run_time", "hits"]
+    rows = fired.select(*columns)
+    return rows.groupBy("detection").applyInPandas(walk, rows.schema)
+
+
+# What detections read of an event.
+_READ = (
+    "ai.vendor", "ai.record", "ai.event_category", "ai.event_type", "ai.action", "ai.outcome",
+    "ai.actor.email", "ai.actor.ip", "ai.actor.user_agent", "ai.org.id", "ai.resource.type",
+    "ai.resource.id", "ai.cost.amount_usd", "ai.cost.limit_usd", "ai.cost.spend_usd",
+    "ai.cost.utilization_pct",
+)
+
+
+def _narrow(events: DataFrame, record: str, keys: list[str]) -> DataFrame:
+    """Events as ``keys`` read them; written once if there are several."""
+    if len(keys) < 2:
+        return events
+    struct: dict[str, list[str]] = {}
+    for path in _READ:
+        _, *inner = path.split(".")
+        struct.setdefault(inner[0] if len(inner) > 1 else "", []).append(path)
+    members = []
+    for group, paths in struct.items():
+        pairs = ", ".join(f"'{p.rsplit('.', 1)[1]}', {p}" for p in paths)
+        members.append(f"'{group}', named_struct({pairs})" if group else pairs)
+    rows = base(events, record).selectExpr(
+        f"named_struct({', '.join(members)}) AS ai", "_time", "collected_at"
     )
+    path = shared_dir(events.sparkSession, "alerts")
+    rows.write.parquet(path)
+    return events.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def alerts(
@@ -429,12 +447,13 @@ def alerts(
 ) -> DataFrame:
     """The alert table of a period: schedule, hits, condition, throttle.
 
-    ``events`` gives the events of one record kind.
+    ``events`` gives the events of one record kind. What several detections read is
+    computed once, as a narrow table in the shared scratch folder.
     """
     chosen = keys or [k for k, d in DETECTIONS.items() if d.severity]
-    parts = [
-        firings(k, backtest(k, events(DETECTIONS[k].record), start, end)) for k in chosen
-    ]
+    records = {DETECTIONS[k].record for k in chosen}
+    feeds = {r: _narrow(events(r), r, [k for k in chosen if DETECTIONS[k].record == r]) for r in records}
+    parts = [firings(k, backtest(k, feeds[DETECTIONS[k].record], start, end)) for k in chosen]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -21,9 +21,9 @@ def _in(column: str, allowed) -> str:
 # taken out first, so that their content cannot look like structure.
 _TEXT = quote(r'("null")|"(?:[^"\\]++|\\.)*+"')
 _NULL_VALUE = quote(r'[:,\[](null|"null")[,}\]]')
-_NULL_IN_RAW = (
-    "contains(to_json(raw), 'null')"
-    f" AND rlike(regexp_replace(to_json(raw), {_TEXT}, '$1'), {_NULL_VALUE})"
+_NULL_IN_RAW = (  # the lambda binds the text, which is made once
+    "exists(array(to_json(raw)), t -> contains(t, 'null')"
+    f" AND rlike(regexp_replace(t, {_TEXT}, '$1'), {_NULL_VALUE}))"
 )
 
 
@@ -106,14 +106,19 @@ def coverage(events: DataFrame) -> DataFrame:
 
 def rule_problems(spark: SparkSession, rules: RuleBook, vendor: str) -> DataFrame:
     """Rules whose value lies outside its vocabulary, or that are another vendor's."""
+    return rule_table_problems(rules.table(spark), rules.vendor, vendor)
+
+
+def rule_table_problems(rules: DataFrame, rules_vendor: str, vendor: str) -> DataFrame:
+    """The same for rules in a table ``(kind, pattern, value)`` of any length."""
+    spark = rules.sparkSession
     allowed = spark.createDataFrame(
         [(kind, value) for kind, values in VOCABULARY.items() for value in values],
         "kind string, value string",
     )
-    table = rules.table(spark)
-    outside = table.join(allowed, ["kind", "value"], "left_anti").select("kind", "pattern", "value")
+    outside = rules.join(allowed, ["kind", "value"], "left_anti").select("kind", "pattern", "value")
     wrong = spark.createDataFrame(
-        [("vendor", vendor, rules.vendor)] if rules.vendor != vendor else [],
+        [("vendor", vendor, rules_vendor)] if rules_vendor != vendor else [],
         "kind string, pattern string, value string",
     )
     return outside.unionByName(wrong)

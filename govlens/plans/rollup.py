@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govlens.operators.stats import bucket
 from govlens.sources.store import of_days
+from govlens.sources.versions import VersionedTable
 
 KEYS = (
     "hour",
@@ -47,26 +49,40 @@ def hourly(events: DataFrame) -> DataFrame:
     )
 
 
+SCHEMA = T.StructType(
+    [T.StructField("hour", T.TimestampType())]
+    + [T.StructField(key, T.StringType()) for key in KEYS[1:]]
+    + [
+        T.StructField("count", T.LongType()),
+        T.StructField("total_tokens", T.LongType()),
+        T.StructField("amount_usd", T.DoubleType()),
+        T.StructField("first_time", T.TimestampType()),
+        T.StructField("last_time", T.TimestampType()),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
+
+
+def _table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ["event_date"], SCHEMA)
+
+
 def update(events: DataFrame, path: str, days: DataFrame | None = None) -> None:
     """Rebuild the touched days from the events, replacing those days only.
 
     ``days(event_date)`` names them, by default all days of the events. Rebuilding
-    a day again gives the same day, so a repeated batch does no harm.
+    a day again gives the same day, so a repeated batch does no harm. Readers see the old
+    days until all new ones are written (``versions``).
     """
     if days is not None:
         events = of_days(events, days)
     rows = hourly(events).withColumn("event_date", F.to_date("hour"))
-    (
-        rows.hint("rebalance", F.col("event_date"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+    rows = rows.hint("rebalance", F.col("event_date"))
+    _table(events.sparkSession, path).write(rows, True, days)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return _table(spark, path).read()
 
 
 def counts(rollup: DataFrame, span: str = "1 hour", by: str = "sourcetype") -> DataFrame:

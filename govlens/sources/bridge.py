@@ -157,8 +157,9 @@ def _usage(spark, d):
 _CENTS = "CAST(CAST(round({0} * 100) AS DECIMAL(18, 6)) AS STRING)"
 
 
-def _cost(spark, d):
-    return table(spark, d, "orders").selectExpr(
+def cost_columns(orders: DataFrame) -> DataFrame:
+    """The cost feed over an ``orders`` frame, batch or stream."""
+    return orders.selectExpr(
         "CAST(o_orderdate AS TIMESTAMP) AS starting_at",
         "CASE o_orderpriority WHEN '1-URGENT' THEN 'chat' WHEN '2-HIGH' THEN 'claude_code'"
         " ELSE 'cowork' END AS product",
@@ -184,8 +185,8 @@ def _user_usage(spark, d):
     )
 
 
-def _user_cost(spark, d):
-    return table(spark, d, "orders").selectExpr(
+def user_cost_columns(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
         "CAST(CAST(o_orderdate AS DATE) AS STRING) AS date",
         "CASE WHEN o_orderkey % 4 <> 0 THEN concat('cust', o_custkey, '@example.test') END"
         " AS email",
@@ -320,6 +321,38 @@ def _file(spark, d):
     )
 
 
+def dense(events: DataFrame) -> DataFrame:
+    """All rows of ``events``, with two users in a month that lasts an hour."""
+    start = "unix_micros(TIMESTAMP '2024-01-01 00:00:00')"
+    ts = f"timestamp_micros({start} + (unix_micros(CAST(ts AS TIMESTAMP)) - {start}) DIV 720)"
+    return events.withColumns({"user_id": F.expr("user_id % 2"), "ts": F.expr(ts)})
+
+
+def role_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory syncs of the audit feed's users: each day they sign up, with a new role."""
+    days = (
+        table(spark, sf_dir, "events")
+        .where("event_type = 'signup'")
+        .groupBy("user_id", F.to_date("ts").alias("day"))
+        .agg(F.max("ts").alias("ts"))
+    )
+    return days.selectExpr(
+        "concat('user_', user_id) AS id",
+        "concat('user', user_id, '@example.test') AS email",
+        "CASE (user_id + day(day)) % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'user' ELSE 'billing' END"
+        " AS organization_role",
+        "CAST(ts AS TIMESTAMP) AS _collected_at",
+    )
+
+
+def _cost(spark, d):
+    return cost_columns(table(spark, d, "orders"))
+
+
+def _user_cost(spark, d):
+    return user_cost_columns(table(spark, d, "orders"))
+
+
 _FEEDS = {
     "activity": _activity,
     "user": _user,

@@ -1,14 +1,16 @@
-"""The event store: Parquet, one folder per day and record kind."""
+"""The event store: Parquet, one folder per day and record kind, changed by a switch."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govlens import contract
 from govlens.functions import values as V
 from govlens.plans.normalize import as_stored
+from govlens.session import shared_dir
+from govlens.sources.versions import VersionedTable, drop_folder, row_id
 
 PARTITIONS = ("event_date", "record")
 
@@ -35,15 +37,18 @@ _MEASURED = (
 SNAPSHOTS = ("spend_limit", "spend_limit_request")
 
 
+def _table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, PARTITIONS, SCHEMA)
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Append, or with ``overwrite`` replace the partitions that have rows here."""
-    writer = _partitioned(events).write.mode(mode).partitionBy(*PARTITIONS)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    _table(events.sparkSession, path).write(_partitioned(events), replaces=mode == "overwrite")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Events of the store. Predicates on day and record skip whole folders."""
-    return spark.read.schema(SCHEMA).parquet(path)
+    return _table(spark, path).read()
 
 
 def of_days(events: DataFrame, days: DataFrame) -> DataFrame:
@@ -94,43 +99,85 @@ def event_key() -> Column:
     )
 
 
+def keyed(events: DataFrame) -> DataFrame:
+    """Events with ``_key``; ``_content``, a hash of all they say; and ``_one``, whether the
+    provider names them, so that copies within a delivery are one event."""
+    return as_stored(events).withColumns(
+        {
+            "_key": event_key(),
+            "_content": F.xxhash64("ai", F.to_json("raw")),
+            "_one": F.col("ai.event_id").isNotNull(),
+        }
+    )
+
+
 def newest_deliveries(events: DataFrame) -> DataFrame:
-    """Each event once, as collected last.
+    """The events of each key's last delivery.
+
+    A named event is there once. Rows without an id that share a key are different rows of
+    one delivery and all stay; what was loaded before (``_load``) and comes again with the
+    same content is the same row, as often as the load that has it most often.
 
-    An aggregate that combines copies where they are read, so an event that was
-    delivered very often does not gather in one task.
+    Winners are found on hashes, in aggregates that combine where the rows are read; the
+    events themselves are only joined to them, so copies of one event may be split.
     """
-    events = as_stored(events)
-    columns = events.columns
-    order = F.struct("collected_at", F.xxhash64("ai"))
-    return (
-        events.groupBy(event_key().alias("_key"))
-        .agg(F.max_by(F.struct(*columns), order).alias("_row"))
-        .select("_row.*")
+    columns = [c for c in as_stored(events).columns if not c.startswith("_") or c == "_time"]
+    rows = events if "_key" in events.columns else keyed(events)
+    if "_load" not in rows.columns:
+        rows = rows.withColumns({"_load": F.lit(0), "_row": F.monotonically_increasing_id()})
+    copies = rows.groupBy("_key", "_content", "collected_at", "_one", "_load").agg(
+        F.count("*").alias("_n"), F.min("_row").alias("_first")
+    )
+    contents = copies.groupBy("_key", "_content", "collected_at", "_one").agg(
+        F.max(F.struct("_n", F.negative("_load").alias("_l"), "_first")).alias("_most")
+    )
+    newest = contents.groupBy(F.col("_key").alias("_k")).agg(
+        F.max(F.struct("collected_at", "_content")).alias("_newest")
+    )
+    winners = contents.join(newest, F.col("_key") == F.col("_k")).where(
+        "collected_at <=> _newest.collected_at AND (NOT _one OR _content = _newest._content)"
+    )
+    winners = winners.selectExpr(
+        "_key",
+        "_content",
+        "collected_at AS _at",
+        "-_most._l AS _from",
+        "CASE WHEN _one THEN _most._first END AS _only",
+    )
+    kept = rows.join(winners, ["_key", "_content"]).where(
+        "collected_at <=> _at AND _load = _from AND _row = coalesce(_only, _row)"
     )
+    return kept.select(*columns)
 
 
-def upsert_events(batch: DataFrame, path: str) -> None:
-    """Load a batch so that loading it again changes nothing.
+def upsert_events(batch: DataFrame, path: str) -> int:
+    """Load a batch so that loading it again changes nothing; gives its number of rows.
 
-    Only the days and kinds the batch touches are read and replaced; the write is
-    committed as a whole after all tasks are done, so a lost executor leaves the
-    store as it was. An event keeps its time, hence its partition.
+    Only the days and kinds the batch touches are read and replaced. The new rows lie
+    beside the old ones until one ledger entry switches readers over (``versions``), so a
+    driver that is lost before leaves the store as it was. The batch is computed once,
+    into the shared scratch folder. An event keeps its time, hence its partition.
     """
     spark = batch.sparkSession
-    batch = as_stored(batch).withColumn("record", F.col("ai.record"))
-    touched = batch.select(*PARTITIONS).distinct()
-    try:
-        old = read_store(spark, path)
-    except Exception as error:  # first load
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        merged = newest_deliveries(batch)
-    else:
-        # Days first, which prunes the scan, then the kinds: a few hundred rows at most.
-        old = of_days(old, batch).join(touched, list(PARTITIONS), "left_semi")
-        merged = newest_deliveries(old.select(*batch.columns).unionByName(batch))
-    write_events(merged.drop("record"), path, "overwrite")
+    table, seen = _table(spark, path), Observation()
+    version = table.version()
+    aside = shared_dir(spark, "batch")
+    rows = keyed(batch).withColumn("record", F.col("ai.record"))
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(aside)
+    count = seen.get["rows"]
+    if count:
+        staged = spark.read.schema(rows.schema).parquet(aside)
+        staged = staged.withColumns({"_row": row_id(), "_load": F.lit(1)})
+        touched = staged.select(*PARTITIONS).distinct()
+        if version:
+            # Days first, which prunes the scan, then the kinds: a few hundred rows at most.
+            old = of_days(table.read(row_ids=True), touched).join(touched, list(PARTITIONS), "left_semi")
+            old = keyed(old).withColumn("_load", F.lit(0))
+            staged = old.unionByName(staged, allowMissingColumns=True)
+        merged = newest_deliveries(staged)
+        table.write(_partitioned(merged.drop("record")), True, touched, version)
+    drop_folder(spark, aside)
+    return count
 
 
 def stamp_run(events: DataFrame, run_id: str) -> DataFrame:

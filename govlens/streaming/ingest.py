@@ -17,9 +17,14 @@ REPORT_DELAY, ACTIVITY_DELAY = "3 days", "1 hour"
 
 
 def deduplicate(events: DataFrame, delay: str = ACTIVITY_DELAY) -> DataFrame:
-    """Each event once; state for a key is dropped when the watermark has passed it."""
-    keyed = as_stored(events).withColumn("_key", store.event_key()).withWatermark("_time", delay)
-    return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    """Each named event once; state for a key is dropped when the watermark has passed it.
+
+    Rows without an id are no copies of each other, whatever they share, and pass.
+    """
+    rows = as_stored(events).withWatermark("_time", delay)
+    named = rows.where("ai.event_id IS NOT NULL").withColumn("_key", store.event_key())
+    once = named.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    return once.unionByName(rows.where("ai.event_id IS NULL"))
 
 
 def bucket_sums(
