@@ -1283,6 +1283,16 @@ q(
     "SELECT series AS sourcetype, count(*) AS count FROM times GROUP BY 1",
     ("times", _all_times()),
 )
+# Days of the order tables are folded into one month.
+_FOLDED = " UNION ALL ".join(
+    f"SELECT {t} AS t, '{VENDOR}:{name}' AS series FROM ({sql}) x"
+    for name, sql in _TIMES.items()
+    for t in [
+        "TIMESTAMP '2024-01-01' + to_days(CAST(day(t) - 1 AS INT))"
+        if name in ("analytics:usage", "analytics:cost", "analytics:user_usage", "analytics:user_cost")
+        else "CAST(t AS TIMESTAMP)"
+    ]
+)
 _CATEGORY_OF = ", ".join(f"('{r}', '{c}')" for r, c in RECORD_CATEGORY.items())
 _RECORDS = ", ".join(f"('{VENDOR}:{kind}', '{record}')" for kind, record in _RECORD_OF.items())
 q(
@@ -1295,7 +1305,7 @@ q(
         UNION ALL
         SELECT CAST(_time AS DATE), 'activity', category, count(*)
         FROM act WHERE _time >= TIMESTAMP '2024-01-17' AND _time < {AS_OF} GROUP BY 1, 2, 3""",
-    ("times", _all_times()),
+    ("times", _FOLDED),
 )
 q(
     "upsert_kinds",
@@ -1568,13 +1578,13 @@ q(
     _ALL,
     "SELECT CAST(date_trunc('day', t) AS TIMESTAMP) AS bucket, series AS sourcetype,"
     " count(*) AS count FROM times GROUP BY 1, 2",
-    ("times", _all_times()),
+    ("times", _FOLDED),
 )
 q(
     "rollup_newest",
     _ALL,
     "SELECT series AS sourcetype, max(t) AS last FROM times GROUP BY 1",
-    ("times", _all_times()),
+    ("times", _FOLDED),
 )
 
 # --- streams: windows that end by the watermark, an hour behind the newest event -----

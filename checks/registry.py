@@ -616,11 +616,33 @@ def _ingest_counts(spark, d):
     return collect.ingest_counts(bridge.events(spark, d))
 
 
+ORDER_KINDS = ("usage", "cost", "user_usage", "user_cost")
+
+
+def _folded(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """A feed of which every row is kept, days of the order tables folded into one month.
+
+    Their thousands of days would be as many folders of a store, of a few rows each.
+    """
+    feed = bridge.feed(spark, d, kind)
+    column = "starting_at" if "starting_at" in feed.columns else "date"
+    if kind in ORDER_KINDS:
+        fold = f"timestampadd(DAY, day(CAST({column} AS DATE)) - 1, TIMESTAMP '2024-01-01 00:00:00')"
+        feed = feed.withColumn(column, F.expr(fold).cast(feed.schema[column].dataType))
+    return redact_chats(feed) if kind == "chat" else feed
+
+
+def _folded_events(spark: SparkSession, d: str) -> DataFrame:
+    return collect.union(
+        [normalize(_folded(spark, d, k), k, collected_at=bridge.COLLECTED_AT) for k in feeds.FEEDS]
+    )
+
+
 @query("store_scan")
 def _store_scan(spark, d):
-    """Written once, read with day and record predicates."""
+    """All kinds written once, read with a predicate on the day."""
     path = shared_dir(spark, "store")
-    store.write_events(bridge.events(spark, d), path)
+    store.write_events(_folded_events(spark, d), path)
     events = store.read_store(spark, path)
     rows = time_range(base(events), AS_OF, "-14d@d", "now")
     return stats(rows.select("event_date", "ai.record", "ai.event_category"), {"count": "count(*)"},
@@ -643,22 +665,10 @@ def _upsert(spark, d):
 
 @query("upsert_kinds")
 def _upsert_kinds(spark, d):
-    """Every kind delivered twice: as many events as there are rows.
-
-    Days of the order tables are folded into one month, which keeps the store's folders few.
-    """
+    """Every kind delivered twice: as many events as there are rows."""
     path = shared_dir(spark, "upsert")
-    fold = "timestampadd(DAY, day({0}) - 1, TIMESTAMP '2024-01-01 00:00:00')"
-    for kind in feeds.FEEDS:
-        feed = bridge.feed(spark, d, kind)
-        for column in ("starting_at", "date"):
-            if column in feed.columns and kind in ("usage", "cost", "user_usage", "user_cost"):
-                folded = F.expr(fold.format(f"CAST({column} AS DATE)"))
-                feed = feed.withColumn(column, folded.cast(feed.schema[column].dataType))
-        if kind == "chat":
-            feed = redact_chats(feed)
-        for _ in range(2):
-            store.upsert_events(normalize(feed, kind, collected_at="2024-01-30 12:00:00"), path)
+    for _ in range(2):
+        store.upsert_events(_folded_events(spark, d), path)
     return store.read_store(spark, path).groupBy("record").agg(F.count("*").alias("count"))
 
 
@@ -901,14 +911,14 @@ def _rollup_hourly(spark, d):
 @query("rollup_counts")
 def _rollup_counts(spark, d):
     path = shared_dir(spark, "rollup")
-    rollup.update(bridge.events(spark, d), path)
+    rollup.update(_folded_events(spark, d), path)
     return rollup.counts(rollup.read(spark, path), "1 day")
 
 
 @query("rollup_newest")
 def _rollup_newest(spark, d):
     path = shared_dir(spark, "rollup")
-    rollup.update(bridge.events(spark, d), path)
+    rollup.update(_folded_events(spark, d), path)
     return rollup.newest(rollup.read(spark, path))
 
 

@@ -6,6 +6,7 @@ cycle's rows carry its run time, so the log of a repeated cycle says the same ag
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
@@ -40,6 +41,12 @@ def failed(ts: datetime, source: str, error: BaseException) -> Row:
     return ts, "ERROR", source, f"{type(error).__name__}: {text}", None
 
 
+def _causes(trace: str) -> str:
+    """The lines of a trace that name an error, the innermost first."""
+    named = [line.strip() for line in trace.splitlines() if re.search(r"(Error|Exception)\b.*: ", line)]
+    return "; ".join(dict.fromkeys(reversed(named))) or trace
+
+
 class RunLog(StreamingQueryListener):
     """Writes a row for each batch of each stream, and one for a stream that fails.
 
@@ -68,7 +75,7 @@ class RunLog(StreamingQueryListener):
         if event.exception:
             source = self.names.get(str(event.id), str(event.id))
             now = datetime.now(timezone.utc).replace(tzinfo=None)
-            self._write(failed(now, source, RuntimeError(event.exception)))
+            self._write(failed(now, source, RuntimeError(_causes(event.exception))))
 
     def _write(self, row: Row) -> None:
         append(self.spark, self.path, [row])
