@@ -99,16 +99,22 @@ def event_key() -> Column:
     )
 
 
+_ID = ("_k1", "_k2")  # 128 bits of a key: two longs join and sort faster than its text
+
+
 def keyed(events: DataFrame) -> DataFrame:
-    """Events with ``_key``; ``_content``, a hash of all they say; and ``_one``, whether the
-    provider names them, so that copies within a delivery are one event."""
-    return as_stored(events).withColumns(
+    """Events with their key (``_ID``); ``_content``, a hash of all they say; and ``_one``,
+    whether the provider names them, so that copies within a delivery are one event."""
+    rows = as_stored(events).withColumns(
         {
             "_key": event_key(),
             "_content": F.xxhash64("ai", F.to_json("raw")),
             "_one": F.col("ai.event_id").isNotNull(),
         }
     )
+    return rows.withColumns(
+        {_ID[0]: F.xxhash64("_key"), _ID[1]: F.xxhash64(F.lit("2"), "_key")}
+    ).drop("_key")
 
 
 def newest_deliveries(events: DataFrame) -> DataFrame:
@@ -122,29 +128,30 @@ def newest_deliveries(events: DataFrame) -> DataFrame:
     events themselves are only joined to them, so copies of one event may be split.
     """
     columns = [c for c in as_stored(events).columns if not c.startswith("_") or c == "_time"]
-    rows = events if "_key" in events.columns else keyed(events)
+    rows = events if _ID[0] in events.columns else keyed(events)
     if "_load" not in rows.columns:
         rows = rows.withColumns({"_load": F.lit(0), "_row": F.monotonically_increasing_id()})
-    copies = rows.groupBy("_key", "_content", "collected_at", "_one", "_load").agg(
+    copies = rows.groupBy(*_ID, "_content", "collected_at", "_one", "_load").agg(
         F.count("*").alias("_n"), F.min("_row").alias("_first")
     )
-    contents = copies.groupBy("_key", "_content", "collected_at", "_one").agg(
+    contents = copies.groupBy(*_ID, "_content", "collected_at", "_one").agg(
         F.max(F.struct("_n", F.negative("_load").alias("_l"), "_first")).alias("_most")
     )
-    newest = contents.groupBy(F.col("_key").alias("_k")).agg(
+    newest = contents.groupBy(*[F.col(c).alias(f"_n{c}") for c in _ID]).agg(
         F.max(F.struct("collected_at", "_content")).alias("_newest")
     )
-    winners = contents.join(newest, F.col("_key") == F.col("_k")).where(
+    same = (F.col(_ID[0]) == F.col(f"_n{_ID[0]}")) & (F.col(_ID[1]) == F.col(f"_n{_ID[1]}"))
+    winners = contents.join(newest, same).where(
         "collected_at <=> _newest.collected_at AND (NOT _one OR _content = _newest._content)"
     )
     winners = winners.selectExpr(
-        "_key",
+        *_ID,
         "_content",
         "collected_at AS _at",
         "-_most._l AS _from",
         "CASE WHEN _one THEN _most._first END AS _only",
     )
-    kept = rows.join(winners, ["_key", "_content"]).where(
+    kept = rows.join(winners, [*_ID, "_content"]).where(
         "collected_at <=> _at AND _load = _from AND _row = coalesce(_only, _row)"
     )
     return kept.select(*columns)
