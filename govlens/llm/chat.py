@@ -5,15 +5,16 @@ all others as users named after their role. Loss masks mark the speaker's own wo
 Turns of ``context_roles`` (instructions) are nobody's: they are written as ``system`` in every
 rendering.
 
-A message is written in two ways only, as own or as other's, so both forms are made once
-per message; a rendering picks one form of each. Dialogues longer than ``part_turns`` turn
-numbers are rendered in consecutive parts, each by those who speak in it, which bounds a
-group and keeps the work linear in the length of a dialogue.
+Every participant of a dialogue has a rendering of all of it. Dialogues longer than
+``part_turns`` turn numbers are rendered in consecutive parts, each from the side of every
+participant of the whole dialogue, whether they speak in it or not: a participant's parts
+joined in order are the dialogue. Parts bound a group as far as turns are numbered; turns
+that share one number, or have none, stay together.
 
 Defined results: messages are ordered by turn (nulls first), then role and text; repeated
 rows are messages of their own. A null role is the speaker ``unknown``; a null text is an
-empty message. Rows without conv_id belong to no dialogue and are left out. A part in which
-only context roles speak has no rendering. Marks of the format inside a text lose their
+empty message. Rows without conv_id belong to no dialogue and are left out. A dialogue in
+which only context roles speak has no rendering. Marks of the format inside a text lose their
 angle bracket, so a text cannot forge a turn.
 """
 
@@ -56,15 +57,13 @@ def rotate(
         context.alias("context"),
     )
     part = F.coalesce(F.floor(F.col(turn_col).cast("long") / part_turns), F.lit(0)).cast("long")
-    talks = (
-        turns.where(F.col(conv_col).isNotNull())
-        .groupBy(F.col(conv_col).alias("conv_id"), part.alias("part"))
-        .agg(F.sort_array(F.collect_list(message)).alias("turns"))
+    known = turns.where(F.col(conv_col).isNotNull())
+    talks = known.groupBy(F.col(conv_col).alias("conv_id"), part.alias("part")).agg(
+        F.sort_array(F.collect_list(message)).alias("turns")
     )
-    speakers = F.array_distinct(
-        F.transform(F.filter("turns", lambda m: ~m["context"]), lambda m: m["role"])
-    )
-    sides = talks.select("conv_id", "part", "turns", F.explode(speakers).alias("speaker"))
+    # a row per participant and dialogue, which is few rows however long the dialogue is
+    speakers = known.where(~context).select(F.col(conv_col).alias("conv_id"), role.alias("speaker")).distinct()
+    sides = talks.join(speakers, "conv_id")
     own = sides.withColumn(
         "messages",
         F.transform(

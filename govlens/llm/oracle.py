@@ -16,7 +16,9 @@ WITH m AS (
            replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
            replace(coalesce(text, ''), '<|', '< |') AS content
     FROM conversations WHERE conv_id IS NOT NULL),
-sides AS (SELECT DISTINCT conv_id, part, role AS speaker FROM m WHERE role <> 'system'),
+sides AS (
+    SELECT conv_id, part, speaker FROM (SELECT DISTINCT conv_id, part FROM m) p
+    JOIN (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system') s USING (conv_id)),
 lines AS (
     SELECT s.conv_id, s.part, s.speaker, m.role, m.content,
            '<|im_start|>' || CASE WHEN m.role = 'system' THEN 'system'
