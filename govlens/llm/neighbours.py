@@ -1,27 +1,34 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots. It is posted in the inverted
-files of its first ``post`` pivots; a query reads the files of its first ``probe`` pivots.
-All rows of these files are ranked by Euclidean distance in double precision, and each
-query's best of all files are its neighbours. A candidate that stands in two files is
-looked at in the query's first.
-
-The only sample are the pivots (at most ``pivots`` distinct vectors); every valid row is
-indexed. Pivots are taken farthest first from a sample by hash, so dense groups of near
-copies do not draw them. Files longer than ``BLOCK`` rows are dealt to several blocks, also
-when all their vectors are equal; a task holds one block and streams the queries past it.
+1. A vector is represented by the order of all pivots by their distance to it. It is posted
+   in the inverted files of its first ``post`` pivots; a query reads the files of its first
+   ``probe`` pivots. A candidate that stands in two files is looked at in the query's first.
+2. Candidates are ranked by footrule: the sum, over the pivots, of how far apart a pivot
+   stands in the two orders. Those up to the query's cut are kept, ties included. The cut is
+   what a share of ``SHARE`` of a sample's vectors stays within, so that about this share of
+   all rows does, in whatever files they lie.
+3. What is kept is ranked again by Euclidean distance in double precision; each query's best
+   of all files are its neighbours.
+
+The only sample are the vectors that pivots are chosen from (``SAMPLE`` for each pivot);
+every valid row is indexed. Pivots are one for ``ROWS_PER_PIVOT`` rows up to ``PIVOTS``, taken
+farthest first from a sample by hash, so dense groups of near copies do not draw them. Files
+longer than ``BLOCK`` rows are dealt to several blocks, also when all their vectors are
+equal; a task holds one block and streams the queries past it.
 
 What is missed are rows none of whose first ``post`` pivots is among the query's first
-``probe``. Up to ``probe`` pivots the result is exact.
+``probe``, and rows beyond the cut. Tables of up to ``LEAST`` rows are searched exactly.
 
-Defined results: vectors that are null, empty, zero, or hold a null or non-finite component,
-rows without id, and vectors of another dimension than the first pivot's take no part.
-Rows that share an id are candidates of their own, but one query. Ties go to the smaller id.
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component
+and rows without id take no part. Vectors of different dimensions are no candidates of each
+other; each dimension is searched by itself. Rows that share an id are candidates of their
+own, but one query. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIVOTS, POST, PROBE = 96, 2, 60
+PIVOTS, POST, PROBE = 250, 8, 64
+ROWS_PER_PIVOT = 16
+SHARE = 0.19  # of all rows, up to a query's cut by footrule
+LEAST = 64  # rows within the cut, if there are so many
 SAMPLE = 20  # vectors that are looked at for each pivot
 BLOCK = 8192
 SLICE = 64  # queries that go past a block at a time
@@ -58,24 +68,18 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     ).where(F.col("vec_id").isNotNull() & valid(F.col("vec")))
 
 
-def choose_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
-    """At most ``pivots`` distinct vectors, farthest first over a sample by hash, in which a
-    vector that fills the table counts once."""
-    number, enough = rows.count(), SAMPLE * pivots
+def sampled(rows: DataFrame, number: int, enough: int) -> np.ndarray:
+    """At most ``enough`` distinct vectors by hash; one that fills the table counts once."""
     bound = 2**63 - 1
     if number > enough:
         bound = int(2**64 * (enough / number) - 2**63)
     order = F.xxhash64("vec")
     few = rows.select("vec", order.alias("h")).where(F.col("h") <= bound)
     found = few.groupBy("h").agg(F.first("vec").alias("vec")).orderBy("h").limit(enough).collect()
-    if len(found) < pivots < number:  # most rows below the bound are copies, or hashed above it
+    if SAMPLE * len(found) < enough < number:  # most rows below the bound are copies, or hashed above it
         found = rows.groupBy(order.alias("h")).agg(F.first("vec").alias("vec")).orderBy("h")
         found = found.limit(enough).collect()
-    if not found:
-        return np.zeros((0, 0))
-    size = len(found[0]["vec"])
-    sample = np.array([r["vec"] for r in found if len(r["vec"]) == size], np.float64).reshape(-1, size)
-    return sample[farthest_first(sample, pivots)]
+    return np.array([r["vec"] for r in found], np.float64)
 
 
 def farthest_first(sample: np.ndarray, n: int) -> list[int]:
@@ -96,25 +100,46 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, size)
 
 
-def ordered(rows: DataFrame, pivots: np.ndarray, length: int) -> DataFrame:
-    """``rows`` of the pivots' dimension with ``near``: their nearest pivots in order, as bytes."""
-    shipped = rows.sparkSession.sparkContext.broadcast(pivots)
+def orders(vecs: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The pivots' numbers by distance to each vector, nearest first."""
+    distance = (pivots * pivots).sum(axis=1)[None, :] - 2 * vecs @ pivots.T
+    return np.argsort(distance, axis=1, kind="stable").astype(np.uint8)
+
+
+def footrule(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How far apart the pivots stand in each row's places and in ``place``, in all."""
+    return np.abs(rows - place).sum(axis=1, dtype=np.int64)
+
+
+def cuts(asked: np.ndarray, sample: np.ndarray, share: float) -> np.ndarray:
+    """The footrule within which ``share`` of the sample's places lie, for each of ``asked``."""
+    if share >= 1:
+        return np.full(len(asked), np.iinfo(np.int64).max)
+    k = min(len(sample) - 1, int(np.ceil(share * len(sample))))
+    return np.array([np.partition(footrule(sample, place), k)[k] for place in asked], np.int64)
+
+
+def ordered(rows: DataFrame, pivots: np.ndarray, sample: np.ndarray | None = None, share: float = 1.0) -> DataFrame:
+    """``rows`` with ``near``, all pivots in order as bytes, and, against a sample, their ``cut``."""
+    context = rows.sparkSession.sparkContext
+    known = None if sample is None else places(orders(sample, pivots), len(pivots))
+    shipped = context.broadcast((pivots, known))
     size = pivots.shape[1]
 
     def order(batches: Iterator[pa.RecordBatch]):
-        own = shipped.value
-        squares = (own * own).sum(axis=1)
+        own, compared = shipped.value
         for batch in batches:
-            x = _matrix(batch.column("vec"), size)
-            distance = squares[None, :] - 2 * x @ own.T
-            near = np.argsort(distance, axis=1, kind="stable")[:, :length].astype(np.uint8)
+            near = orders(_matrix(batch.column("vec"), size), own)
+            cut = np.zeros(len(near), np.int64)
+            if compared is not None:
+                cut = cuts(places(near, len(own)), compared, share)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([r.tobytes() for r in near], pa.binary())],
-                names=[*batch.schema.names, "near"],
+                [*batch.columns, pa.array([r.tobytes() for r in near], pa.binary()), pa.array(cut)],
+                names=[*batch.schema.names, "near", "cut"],
             )
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("near", T.BinaryType())])
-    return rows.where(F.size("vec") == size).mapInArrow(order, schema)
+    more = [T.StructField("near", T.BinaryType()), T.StructField("cut", T.LongType())]
+    return rows.mapInArrow(order, T.StructType([*rows.schema.fields, *more]))
 
 
 def _first(near: str, n: int) -> Column:
@@ -128,28 +153,23 @@ def _first(near: str, n: int) -> Column:
 class Block:
     """The rows of one block of an inverted file."""
 
-    def __init__(self, pivot: int, ids, vecs, posted):
-        self.pivot, self.ids, self.vecs, self.posted = pivot, ids, vecs, posted
-        self.squares = (vecs * vecs).sum(axis=1)
+    def __init__(self, pivot: int, ids, vecs, near, post: int):
+        self.pivot, self.ids, self.vecs, self.posted = pivot, ids, vecs, near[:, :post]
+        self.places = places(near, near.shape[1])
+        self.reranked = 0
 
-    def nearest(self, query: int, vec: np.ndarray, order: np.ndarray, k: int, probe: int):
-        """(id, distance) of the best ``k`` of this block.
+    def nearest(self, query: int, vec: np.ndarray, place: np.ndarray, cut: int, k: int, probe: int):
+        """(id, distance) of the best ``k`` of this block's rows within the query's cut.
 
-        ``order`` has the place of every pivot in the query's whole order.
+        ``place`` has the place of every pivot in the query's order.
         """
         # files that the query reads before this one have shown it these rows already
-        reads = np.where(order < probe, order, np.int16(1 << 14))
+        reads = np.where(place < probe, place, np.int16(1 << 14))
         rows = np.flatnonzero(
-            (reads[self.posted].min(axis=1) == order[self.pivot]) & (self.ids != query)
+            (reads[self.posted].min(axis=1) == place[self.pivot]) & (self.ids != query)
         )
-        if not len(rows):
-            return np.zeros(0, np.int64), np.zeros(0)
-        if len(rows) > k:
-            # by the short formula first; its rounding is far below the slack
-            about = (self.squares - 2 * (self.vecs @ vec))[rows]
-            slack = 1e-10 * (self.squares.max() + vec @ vec)
-            if np.isfinite(about).all() and np.isfinite(slack):
-                rows = rows[about <= np.partition(about, k - 1)[k - 1] + slack]
+        rows = rows[footrule(self.places[rows], place) <= cut]
+        self.reranked += len(rows)
         off = self.vecs[rows] - vec
         distance = np.sqrt((off * off).sum(axis=1))
         best = np.lexsort((self.ids[rows], distance))[:k]
@@ -170,22 +190,41 @@ def search(
     pivots: int = PIVOTS,
     post: int = POST,
     probe: int = PROBE,
+    share: float = SHARE,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of ``rows`` for each of ``queries``.
 
     Both have vec_id and vec (see ``vectors``); a query's own id is no candidate.
     """
+    counts = dict(rows.groupBy(F.size("vec")).count().collect())  # a row per dimension
+    parts = [
+        _search(
+            rows.where(F.size("vec") == size), queries.where(F.size("vec") == size), n, k, pivots, post, probe, share
+        )
+        for size, n in sorted(counts.items())
+    ]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search(rows, queries, number: int, k: int, pivots: int, post: int, probe: int, share: float) -> DataFrame:
+    """``search`` over ``number`` rows of one dimension."""
     spark = rows.sparkSession
-    base = choose_pivots(rows, min(pivots, 255))
-    if not len(base):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    pivots = min(pivots, 255, max(2, number // ROWS_PER_PIVOT))
+    sample = sampled(rows, number, SAMPLE * pivots)
+    base = sample[farthest_first(sample, pivots)]
     width, size = base.shape
+    if number <= LEAST:
+        share, probe = 1.0, width
+    share = max(share, LEAST / number)
     post, probe = min(post, width), min(probe, width)
-    posted = ordered(rows, base, post).select(
-        F.explode(_first("near", post)).alias("pivot"), F.lit(0).alias("side"), "vec_id", "vec", "near"
+    columns = ("side", "vec_id", "vec", "near", "cut")
+    posted = ordered(rows, base).select(
+        F.explode(_first("near", post)).alias("pivot"), F.lit(0).alias("side"), *columns[1:]
     )
-    asked = ordered(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")), base, width).select(
-        F.explode(_first("near", probe)).alias("pivot"), F.lit(1).alias("side"), "vec_id", "vec", "near"
+    asked = ordered(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")), base, sample, share).select(
+        F.explode(_first("near", probe)).alias("pivot"), F.lit(1).alias("side"), *columns[1:]
     )
     # one row per pivot: how many blocks its file takes
     files = posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -230,7 +269,8 @@ def search(
                         pivot,
                         np.asarray(column["vec_id"]),
                         _matrix(column["vec"], size),
-                        np.frombuffer(b"".join(column["near"].to_pylist()), np.uint8).reshape(-1, post),
+                        np.frombuffer(b"".join(column["near"].to_pylist()), np.uint8).reshape(-1, width),
+                        post,
                     )
                     held = []
                 yield from _asked(part, block, k, probe, size, width)
@@ -249,10 +289,9 @@ def _asked(part: pa.RecordBatch, block: Block, k: int, probe: int, size: int, wi
         some = part.slice(at, SLICE)
         ids, vecs = some.column("vec_id").to_pylist(), _matrix(some.column("vec"), size)
         full = np.frombuffer(b"".join(some.column("near").to_pylist()), np.uint8).reshape(-1, width)
-        order = places(full, width)
         out: list[list] = [[], [], []]
-        for q, vec, place in zip(ids, vecs, order):
-            found, distance = block.nearest(q, vec, place, k, probe)
+        for q, vec, place, cut in zip(ids, vecs, places(full, width), some.column("cut").to_pylist()):
+            found, distance = block.nearest(q, vec, place, cut, k, probe)
             out[0].append(np.full(len(found), q, np.int64))
             out[1].append(found)
             out[2].append(distance)

@@ -66,6 +66,41 @@ def test_fewer_than_ten_and_none(spark):
     assert neighbours.report(table(spark, [])).count() == 0
 
 
+def test_another_dimension_changes_nothing_for_the_rest(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist(), 0, "x") for k in range(301)]
+    alone = found(neighbours.report(table(spark, rows)))
+    odd = [(1000, [1.0, 2.0, 3.0], 0, "x"), (1100, [1.0, 2.0, 5.0], 0, "x")]
+    both = found(neighbours.report(table(spark, rows + odd)))
+    assert {q: both[q] for q in alone} == alone and set(alone) == {0, 100, 200, 300}
+    assert both[1000] == [(2.0, 1100)] and both[1100] == [(2.0, 1000)]
+
+
+@pytest.mark.parametrize("clusters, part", [(1, 0.0), (1, 0.33), (20, 0.9)])
+def test_at_most_a_fifth_of_the_rows_is_reranked(clusters, part):
+    """One block with all rows, as if each query read every file."""
+    rng = np.random.default_rng(3)
+    n, d = 6000, 64
+    vecs = rng.normal(size=(n, d))
+    hot = rng.random(n) < part
+    centres = rng.normal(size=(clusters, d))
+    vecs[hot] = (centres[rng.integers(clusters, size=n)] + 0.1 * rng.normal(size=(n, d)))[hot]
+    sample = vecs[rng.choice(n, neighbours.SAMPLE * neighbours.PIVOTS, replace=False)]
+    base = sample[neighbours.farthest_first(sample, neighbours.PIVOTS)]
+    near = neighbours.orders(vecs, base)
+    known = neighbours.places(neighbours.orders(sample, base), len(base))
+    asked = rng.choice(n, 60, replace=False)
+    place = neighbours.places(near[asked], len(base))
+    hits = looked = 0
+    for q, own, cut in zip(asked, place, neighbours.cuts(place, known, neighbours.SHARE)):
+        kept = neighbours.footrule(neighbours.places(near, len(base)), own) <= cut
+        looked += kept.sum()
+        distance = ((vecs - vecs[q]) ** 2).sum(axis=1)
+        distance[q] = np.inf
+        hits += kept[np.argsort(distance)[:10]].sum()
+    assert looked <= 0.2 * n * len(asked) and hits >= 0.9 * 10 * len(asked)
+
+
 def test_recall_with_hot_clusters_of_near_copies(spark):
     rng = np.random.default_rng(4)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
