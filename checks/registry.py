@@ -1006,8 +1006,8 @@ def _stream_stopped(spark, d):
         until = time.monotonic() + 120
         while running.isActive and time.monotonic() < until:
             progress = running.lastProgress
-            if progress and any(op["numRowsTotal"] for op in progress["stateOperators"]):
-                break
+            if progress and progress["batchId"] and any(op["numRowsTotal"] for op in progress["stateOperators"]):
+                break  # the batch after the one that read the feed
             time.sleep(0.5)
         if running.exception():
             raise running.exception()
