@@ -131,11 +131,12 @@ def newest_deliveries(events: DataFrame) -> DataFrame:
     rows = events if _ID[0] in events.columns else keyed(events)
     if "_load" not in rows.columns:
         rows = rows.withColumns({"_load": F.lit(0), "_row": F.monotonically_increasing_id()})
-    copies = rows.groupBy(*_ID, "_content", "collected_at", "_one", "_load").agg(
-        F.count("*").alias("_n"), F.min("_row").alias("_first")
-    )
-    contents = copies.groupBy(*_ID, "_content", "collected_at", "_one").agg(
-        F.max(F.struct("_n", F.negative("_load").alias("_l"), "_first")).alias("_most")
+    old, new = F.col("_load") == 0, F.col("_load") == 1
+    contents = rows.groupBy(*_ID, "_content", "collected_at", "_one").agg(
+        F.count_if(old).alias("_n0"),
+        F.count_if(new).alias("_n1"),
+        F.min(F.when(old, F.col("_row"))).alias("_row0"),
+        F.min(F.when(new, F.col("_row"))).alias("_row1"),
     )
     newest = contents.groupBy(*[F.col(c).alias(f"_n{c}") for c in _ID]).agg(
         F.max(F.struct("collected_at", "_content")).alias("_newest")
@@ -148,8 +149,8 @@ def newest_deliveries(events: DataFrame) -> DataFrame:
         *_ID,
         "_content",
         "collected_at AS _at",
-        "-_most._l AS _from",
-        "CASE WHEN _one THEN _most._first END AS _only",
+        "IF(_n1 > _n0, 1, 0) AS _from",
+        "CASE WHEN _one THEN IF(_n1 > _n0, _row1, _row0) END AS _only",
     )
     kept = rows.join(winners, [*_ID, "_content"]).where(
         "collected_at <=> _at AND _load = _from AND _row = coalesce(_only, _row)"

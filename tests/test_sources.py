@@ -95,7 +95,7 @@ def test_upsert_survives_a_hot_event(spark, lines, tmp_path):
     store.upsert_events(many, path)
     assert store.read_store(spark, path).count() == 2
     text = store.newest_deliveries(many)._jdf.queryExecution().executedPlan().toString()
-    assert "partial_count" in text  # copies shrink before they shuffle
+    assert "partial_count_if" in text or "partial_count" in text  # copies shrink before they shuffle
     assert "Window" not in text
 
 
