@@ -7,7 +7,7 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[str, tuple[str, object]] = {}
+
+
+def held(kind: str, token: str, make: Callable[[], object], most: int = 1) -> object:
+    """This worker's model of a job, made once: what ``make`` gives for ``token``.
+
+    Workers serve one job after another, so a model goes as soon as one of another kind, or
+    more than ``most`` of its own, are asked for. Models of all operators never add up.
+    """
+    if token not in _HELD:
+        for other in [t for t, (k, _) in _HELD.items() if k != kind]:
+            del _HELD[other]
+        while len(_HELD) >= most:
+            del _HELD[next(iter(_HELD))]
+        _HELD[token] = (kind, make())
+    return _HELD[token][1]
+
+
+def release() -> None:
+    """Drop the model that this worker holds; for work that needs the memory and no model."""
+    _HELD.clear()
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """The fold of a document: crc32 of its id as text, modulo ``n``; null ids are fold 0 of ''."""
     value = F.col(doc_id) if isinstance(doc_id, str) else doc_id

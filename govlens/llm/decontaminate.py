@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import keep, text_runs
+from govlens.llm.common import held, keep, text_runs
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -117,16 +117,9 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
         yield block
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(token: str, block, window: int) -> Matcher:
     """This worker's automaton of a broadcast block; the last two are kept."""
-    if token not in _MATCHERS:
-        if len(_MATCHERS) > 1:
-            _MATCHERS.pop(next(iter(_MATCHERS)))
-        _MATCHERS[token] = Matcher(block.value, window)
-    return _MATCHERS[token]
+    return held("matcher", token, lambda: Matcher(block.value, window), most=2)
 
 
 def decontaminate(

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import staged, text_runs
+from govlens.llm.common import release, staged, text_runs
 from govlens.llm.shingles import mix, shingle_sets
 
 WORDS = 5
@@ -103,6 +103,7 @@ def frequencies(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """log2 of every counter of the sketch: how common the members counted there are."""
 
     def count(batches: Iterator[pa.RecordBatch]):
+        release()
         total = np.zeros(2 << SKETCH_BITS, np.int64)
         for batch in batches:
             for _, texts in text_runs(batch, text_col):
@@ -155,6 +156,7 @@ def signatures(
     seeds = np.array(_ONES[:ROUNDS], np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]):
+        release()
         common = weight.value
         for batch in batches:
             for part, texts in text_runs(batch, "text"):

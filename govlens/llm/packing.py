@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import keep, staged, text_runs
+from govlens.llm.common import held, keep, staged, text_runs
 
 CAPACITY = 2048
 END = 0
@@ -37,6 +37,7 @@ PARTNERS = 32  # common lengths that three-piece patterns are made with
 FIT_ROUNDS = 60
 ROWS_PER_SALT = 250_000
 CACHED_WORDS = 1_500_000  # per worker, about 200 bytes each
+CACHED_BYTES = 64 << 20  # of these words' letters
 
 # A run of ASCII punctuation that ends a word after a letter or digit is a token run of its own
 # (an apostrophe could begin a contraction, a bar could end a special token).
@@ -66,10 +67,12 @@ class Places(dict):
 
     def __init__(self):
         self.new: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
         self.new.append(word)
+        self.bytes += len(word)
         return number
 
 
@@ -163,7 +166,7 @@ class Tokeniser:
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        if len(self.place) > CACHED_WORDS:
+        if len(self.place) > CACHED_WORDS or self.place.bytes > CACHED_BYTES:
             self._clear()
         at = self.place.__getitem__
         numbers = []
@@ -181,9 +184,6 @@ class Tokeniser:
             yield out
 
 
-_TOKENISERS: dict[str, Tokeniser] = {}
-
-
 def tokenise(
     docs: DataFrame,
     text_col: str = "text",
@@ -209,10 +209,7 @@ def tokenise(
     }
 
     def run(batches: Iterator[pa.RecordBatch]):
-        if token not in _TOKENISERS:
-            _TOKENISERS.clear()
-            _TOKENISERS[token] = Tokeniser(shipped.value)
-        own = _TOKENISERS[token]
+        own = held("tokeniser", token, lambda: Tokeniser(shipped.value))
         for batch in batches:
             for part, texts in text_runs(batch, text_col):
                 row, more, tokens = [], {k: [] for k in kinds}, []
@@ -355,9 +352,6 @@ class Plan:
         return first[k] + rest // copies[k], offset[k] + rest % copies[k] * length
 
 
-_PLANS: dict[str, tuple] = {}
-
-
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a length column) with sequence_id and offset.
 

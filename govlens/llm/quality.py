@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import fold, keep, text_runs
+from govlens.llm.common import fold, held, keep, text_runs
 from govlens.llm.samples import labelled_sample
 
 ROWS_PER_CLASS = 2000
@@ -210,9 +210,6 @@ class Network:
         return sigmoid(z.astype(np.float64))
 
 
-_NETWORKS: dict[str, object] = {}
-
-
 def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """``docs`` with the model's score of every whole text; a column of that name is replaced."""
     docs = docs.drop("score")
@@ -221,10 +218,7 @@ def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
-        if token not in _NETWORKS:
-            _NETWORKS.clear()
-            _NETWORKS[token] = shipped.value
-        own = _NETWORKS[token]
+        own = held("network", token, lambda: shipped.value)
         for batch in batches:
             for part, texts in text_runs(batch, text_col):
                 yield keep(part, names, {"score": own.score(texts)}, {"score": pa.float64()})

@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 def first_by_hash(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """``rows`` with ``nth`` <= n: the first ``n`` of each value of ``by`` in hash order.
 
-    ``order`` is a 64-bit hash. The values are counted first, and only hashes below a bound
-    that leaves about four times ``n`` rows of a value are ranked, so what meets in one task
-    does not grow with the table.
+    ``order`` is a 64-bit hash. The values of ``by`` are what a model tells apart, so the
+    driver, which holds the model, also counts their rows first. A hash bound that leaves about
+    four times ``n`` rows of a value then cuts the rows where they are read, so what is
+    shuffled and ranked does not grow with the table.
     """
-    counts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
-    bound = F.when(F.col("__n") <= 4 * n, F.lit(2**63 - 1)).otherwise(
-        (F.lit(2.0**64) * (4 * n) / F.col("__n") - F.lit(2.0**63)).cast("long")
-    )
+    counts = rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("value")).count().collect()
+    bounds = [
+        part
+        for r in sorted(counts, key=lambda r: str(r["value"]))
+        if r["count"] > 4 * n
+        for part in (F.lit(r["value"]), F.lit(int(2**64 * 4 * n // r["count"]) - 2**63))
+    ]
+    if bounds:
+        bound = F.element_at(F.create_map(*bounds), F.col(by))
+        rows = rows.where(F.col(order) <= F.coalesce(bound, F.lit(2**63 - 1)))
     return (
-        rows.join(counts.select("__by", bound.alias("__bound")), F.col(by) == F.col("__by"))
-        .where(F.col(order) <= F.col("__bound"))
-        .drop("__by", "__bound")
+        rows.where(F.col(by).isNotNull())
         .withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order)))
         .where(F.col("nth") <= n)
     )

@@ -71,3 +71,40 @@ def test_without_labels(documents):
     out = language.report(documents([(1, "some text", None), (2, "more", None)])).collect()
     assert [(r["lang_pred"], r["score"]) for r in out] == [("und", 0.0)] * 2
     assert language.report(documents([])).count() == 0
+
+
+def test_wide_alphabets():
+    rng = random.Random(3)
+    wide = {f"w{k}": [chr(0x4E00 + 1000 * k + s) for s in range(1000)] for k in range(4)}
+
+    def words(lang, n):
+        return "".join(rng.choices(wide[lang], k=n))
+
+    passages = {k: [words(k, 400) for _ in range(100)] for k in wide}
+    model = language.Model(passages)
+    assert len(model.table) <= language.TABLE_ENTRIES and len(model.table) == len(model.ended)
+    names, scores = model.predict([words(k, 60) for k in wide for _ in range(5)])
+    assert names == [k for k in wide for _ in range(5)] and min(scores) > 0.99
+    # a bound below one passage still learns something of each, and no more than it allows
+    tiny = language.Model({**passages, "aa": [text("aa", rng, 60)]}, table_entries=5 * 4000)
+    assert len(tiny.table) <= 5 * 4000
+    assert tiny.predict([text("aa", rng, 40)])[0] == ["aa"]
+
+
+def test_sample_takes_the_first_by_hash_of_large_and_small_values(spark):
+    from pyspark.sql import functions as F
+
+    from govlens.llm.samples import first_by_hash
+
+    rows = spark.range(5000).select(
+        F.when(F.col("id") < 4900, "hot").when(F.col("id") < 4990, "mid").when(F.col("id") < 4999, "few").alias("by"),
+        F.xxhash64("id").alias("order"),
+    )
+    got = first_by_hash(rows, "by", "order", 20)
+    want: dict[str, list[int]] = {}
+    for r in rows.collect():
+        want.setdefault(r["by"], []).append(r["order"])
+    assert {(r["by"], r["nth"], r["order"]) for r in got.collect()} == {
+        (by, k + 1, order) for by, all_ in want.items() if by for k, order in enumerate(sorted(all_)[:20])
+    }
+    assert first_by_hash(rows.limit(0), "by", "order", 20).count() == 0
