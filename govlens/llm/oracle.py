@@ -99,8 +99,10 @@ WITH doc AS (
     SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
 found AS ({' UNION ALL '.join(_found(k, *kind) for k, kind in enumerate(_KINDS))}),
 owned AS (
-    SELECT value, count(DISTINCT coalesce(source, chr(0) || 'null')) >= 3 AS example
-    FROM found GROUP BY 1),
+    SELECT value, n_owners, n_repos, n_owners >= 3 OR (n_owners >= 2 AND n_repos >= 8) AS example
+    FROM (SELECT value, count(DISTINCT coalesce(source, chr(0) || 'null')) AS n_owners,
+                 count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), chr(0) || 'null')) AS n_repos
+          FROM found GROUP BY 1)),
 each AS (
     SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign,
            count(*) FILTER (WHERE kind = 'access') AS n_access,
@@ -109,12 +111,14 @@ each AS (
                FILTER (WHERE no < 3) AS base,
            string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, no) AS spans,
            count(*) FILTER (WHERE NOT example) AS n_live,
-           count(*) FILTER (WHERE example) AS n_example
+           count(*) FILTER (WHERE example) AS n_example,
+           max(n_owners) AS max_owners, max(n_repos) AS max_repos
     FROM found JOIN owned USING (value) GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
        coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-       coalesce(n_example, 0) AS n_example
+       coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners,
+       coalesce(max_repos, 0) AS max_repos
 FROM doc LEFT JOIN each USING (row)
 """
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from govlens.llm import secrets
 
@@ -69,3 +71,43 @@ def test_redaction_leaves_examples_and_clean_texts(documents):
 def test_empty_table(documents):
     assert secrets.report(documents([])).count() == 0
     assert secrets.redact(documents([])).count() == 0
+
+
+def test_two_owners_in_many_repositories_are_an_example(documents):
+    value = f"token = {HEXES}"
+    many = [(k, value, "en", f"s{k % 2}") for k in range(8)]
+    rows = secrets.report(documents(many)).collect()
+    assert {(r["n_live"], r["n_example"], r["max_owners"], r["max_repos"]) for r in rows} == {(0, 2, 2, 8)}
+    rows = secrets.report(documents(many[:7])).collect()
+    assert {(r["n_live"], r["max_owners"], r["max_repos"]) for r in rows} == {(2, 2, 7)}
+    alone = [(k, value, "en", "s0") for k in range(30)]
+    assert {r["n_live"] for r in secrets.report(documents(alone)).collect()} == {2}
+
+
+def replaced(text, spans):
+    out, at = "", 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += text[at:start] + f"[secret:{kind}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_many_matches_in_one_text(documents):
+    rng = random.Random(2)
+    parts = [
+        rng.choice(["é ", "\n", "😀 x "]) + rng.choice(["token=", "", "AKIA", "key: "]) + f"{rng.getrandbits(128):032x}"
+        for _ in range(3000)
+    ]
+    text = "".join(parts)
+    many = "".join(f"{k:024x} " for k in range(100_000))
+    begin = time.perf_counter()
+    found = {r["doc_id"]: r["spans"] for r in secrets.report(documents([(1, text), (2, many)])).collect()}
+    assert found[2] == ",".join(f"hex:{25 * k}:{25 * k + 24}" for k in range(100_000))
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(documents([(1, text), (2, many)])).collect()}
+    assert kept[2] == "[secret:hex] " * 100_000
+    assert time.perf_counter() - begin < 300
+    spans = [s.split(":") for s in found[1].split(",")]
+    want = [f"{kind}:{start}:{end}" for start, _, kind, end in base(text)]
+    assert [":".join(s) for s in spans if s[0] in ("assign", "access", "hex")] == want
+    assert kept[1] == replaced(text, [(int(start), kind, int(end)) for kind, start, end in spans])
