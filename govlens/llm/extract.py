@@ -9,15 +9,26 @@ parent, less to each one above. The container with most points is kept (widened
 article or main element around it), and with it those of its siblings that scored well
 or are prose of their own. Lists that consist of links are menus wherever they stand.
 
+Its siblings stay if they hold a paragraph or main heading of their own that is no link,
+and so does all that stands between the first and the last one kept. Without an article or
+main element, what stands beside the elements around the container stays if it scored well
+or holds a main heading, so columns that are wrapped each on its own stay together.
+
+Inside the kept container, a class, id or role cuts only if one of its names consists of
+marks and words of layout (``comment-list``, ``ad-slot``); outside, one mark in a name will do
+(``related-work`` is a part of an article, but as a box beside it, it is not).
+
 Marks of class, id and role only name what may be cut. A name with ``has``, ``no`` or
 ``with`` says what its element has, not what it is: words from there on are no marks.
 An article, main or element with a likely mark as a name of its own is never cut by its
 marks, unless a name of its own is in ``FOREIGN``. All others are cut when they hold
 a minor share of the points of the page's prose: under ``MINOR``, or, with a mark in ``FOREIGN``
-(reader comments, notices, adverts, which may outweigh an article), under ``MINOR_FOREIGN``.
+(reader comments, notices, adverts, which may outweigh an article), under ``MINOR_FOREIGN``
+or beside an article or main element with a text of any length.
 
-Every page is read whole by a linear scan, and by a second one if it has such marks; pages
-are spread over tasks by Spark.
+Every page is read whole by a linear scan, by a second one if it has such marks, and by a
+third if a part of the container was cut for one mark in a name; pages are spread over
+tasks by Spark.
 
 Defined results: null or empty html and pages without text give an empty text. Broken
 markup closes where HTML closes it: a paragraph ends at the next block, an element that
@@ -75,6 +86,16 @@ FOREIGN = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising cookie cookies consent gdpr popup"
     " modal overlay newsletter comment comments disqus replies reply respond".split()
 )
+# Words that say where or in what shape an element stands, not what it is.
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons card center cell col column container content"
+    " cta embed entry feed field fixed float form frame global group head header heading hidden"
+    " icon icons inline inner item items js label large layer layout left line link links list main"
+    " mobile module outer page panel part post posts primary right root row secondary section single"
+    " site slot small social sticky story strip tab text thread title top unit view wp wrap wrapper"
+    " zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HAVING = frozenset("has no with without".split())
 MINOR, MINOR_FOREIGN = 0.5, 0.9
 
@@ -111,6 +132,16 @@ def _marks(attributes: str) -> tuple[set[str], set[str]]:
     return out, names
 
 
+def _named_whole(names: set[str]) -> bool:
+    """Whether one of the names is made of marks and words of layout only."""
+    for name in names:
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if any(w in UNLIKELY or w in HEADER for w in words):
+            if all(w in UNLIKELY or w in HEADER or w in LAYOUT for w in words):
+                return True
+    return False
+
+
 def _points(text: str, linked: float) -> float:
     return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked)
 
@@ -123,12 +154,16 @@ class Page:
         self._spared = spared
         # elements whose marks can cut them: whether a mark is foreign
         self.marked: list[bool] = []
+        # whether a whole name says so, and the element that each stands in
+        self.whole: list[bool] = []
+        self.within: list[int] = []
         self.parent, self.tag, self.likely = [-1], ["html"], [False]
         # texts: (element, text, share in links, share in each open marked element)
         self.blocks: list[list] = []
         self._open: list | None = None
         # open elements: tag, its block element, cut, in a link, innermost marked element
         self._stack: list[tuple[str, int, bool, bool, int]] = [("html", 0, False, False, -1)]
+        self._count: dict[str, int] = {}  # open elements by tag
         self._over: list[int] = []  # the marked element around each marked element
         self._read(source)
         self._break()
@@ -158,10 +193,14 @@ class Page:
     def _pop_to(self, depth: int) -> None:
         if any(e[0] in BLOCK for e in self._stack[depth:]):
             self._break()
+        for element in self._stack[depth:]:
+            self._count[element[0]] -= 1
         del self._stack[depth:]
 
     def _close(self, tags: frozenset | tuple, until: frozenset) -> None:
         """End the nearest open element of ``tags`` unless one of ``until`` lies above it."""
+        if not any(self._count.get(t) for t in tags):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] in tags:
                 self._pop_to(k)
@@ -186,7 +225,7 @@ class Page:
         _, node, cut, link, mark = self._stack[-1]
         marks, names = _marks(attributes) if attributes else (set(), set())
         headed = tag == "header" or bool(marks & HEADER)
-        if headed and any(e[0] in ("article", "main") for e in self._stack):
+        if headed and (self._count.get("article") or self._count.get("main")):
             headed = False
         if tag not in ("html", "body"):
             cut = (
@@ -199,6 +238,8 @@ class Page:
             if (marks & UNLIKELY or (marks & HEADER and headed)) and (not own or names & FOREIGN):
                 number = len(self.marked)
                 self.marked.append(bool(marks & FOREIGN))
+                self.whole.append(_named_whole(names))
+                self.within.append(node)
                 self._over.append(mark)
                 mark = number
                 cut = cut or (self._spared is not None and number not in self._spared)
@@ -208,8 +249,11 @@ class Page:
             self.likely.append(bool(marks & LIKELY))
             node = len(self.tag) - 1
         self._stack.append((tag, node, cut, link or tag == "a", mark))
+        self._count[tag] = self._count.get(tag, 0) + 1
 
     def _end(self, tag: str) -> None:
+        if not self._count.get(tag):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
                 self._pop_to(k)
@@ -263,7 +307,14 @@ class Page:
     def prose_holders(self) -> frozenset:
         """Numbers of the marked elements that hold no minor share of the page's prose."""
         held, total = [0.0] * len(self.marked), 0.0
-        for node, text, linked, parts in self._no_menus():
+        semantic = [False] * len(self.tag)
+        for node in range(1, len(self.tag)):
+            semantic[node] = self.tag[node] in ("article", "main") or semantic[self.parent[node]]
+        blocks = self._no_menus()
+        # what is foreign cannot outweigh an article, however short, that stands outside it
+        article = any(semantic[node] and not parts for node, _, _, parts in blocks)
+        wraps = {mark for node, _, _, parts in blocks if semantic[node] for mark in parts}
+        for node, text, linked, parts in blocks:
             if self.tag[node] in PARAGRAPH and len(text) >= 25:
                 score = _points(text, linked)
                 total += score
@@ -275,17 +326,15 @@ class Page:
         return frozenset(
             k
             for k, foreign in enumerate(self.marked)
-            if held[k] > 0 and held[k] >= (MINOR_FOREIGN if foreign else MINOR) * total
+            if held[k] > 0
+            and held[k] >= (MINOR_FOREIGN if foreign else MINOR) * total
+            and not (foreign and article and k not in wraps)
         )
 
-    def main_text(self) -> str:
-        blocks = self._no_menus()
-        if not blocks:
-            return ""
+    def scores(self, blocks: list[list]) -> list[float]:
+        """Points of every element."""
         points = [0.0] * len(self.tag)
-        prose = [0.0] * len(self.tag)
         for node, text, linked, _ in blocks:
-            prose[node] += len(text) * (1 - linked)
             if self.tag[node] not in PARAGRAPH or len(text) < 25:
                 continue
             score = _points(text, linked)
@@ -299,27 +348,70 @@ class Page:
             if points[node]:
                 points[node] *= 1.25 if tag in ("article", "main") or self.likely[node] else 1.0
                 points[node] *= 0.5 if tag in ("ul", "ol", "dl", "tr", "tbody", "table") else 1.0
+        return points
+
+    def _below(self, start: set[int]) -> list[bool]:
+        inside = [node in start for node in range(len(self.tag))]
+        for node in range(1, len(self.tag)):
+            inside[node] = inside[node] or inside[self.parent[node]]
+        return inside
+
+    def kept(self) -> list[bool]:
+        """For every element, whether it belongs to the main text."""
+        blocks = self._no_menus()
+        if not blocks:
+            return [False] * len(self.tag)
+        points = self.scores(blocks)
         best = max(range(len(points)), key=lambda n: (points[n], -n))
         if not points[best]:
             best = self._semantic(blocks)
-        else:
-            over = best
-            while over > 0:
-                if self.tag[over] in ("article", "main"):
-                    best = over
-                    break
-                over = self.parent[over]
-        kept = {best}
-        for node in range(1, len(self.tag)):
-            if node != best and self.parent[node] == self.parent[best] and best > 0:
-                if points[node] >= max(4.0, 0.2 * points[best]) or (
-                    self.tag[node] in ("p", "pre", "blockquote", "h1") and prose[node] >= 1
-                ):
-                    kept.add(node)
-        inside = [node in kept for node in range(len(self.tag))]
+        over, semantic = best, False
+        while over > 0 and not semantic:
+            semantic = self.tag[over] in ("article", "main")
+            best, over = (over if semantic else best), self.parent[over]
+        # what an element and all below it hold: main headings, prose in paragraphs, points of it
+        main, prose, score = ([0.0] * len(self.tag) for _ in range(3))
+        for node, text, linked, _ in blocks:
+            main[node] += self.tag[node] == "h1"
+            if linked < 0.5 and self.tag[node] in ("p", "pre", "blockquote"):
+                prose[node] += len(text)
+            if self.tag[node] in PARAGRAPH and len(text) >= 25:
+                score[node] += _points(text, linked)
+        for node in range(len(self.tag) - 1, 0, -1):
+            for held in (main, prose, score):
+                held[self.parent[node]] += held[node]
+        beside: dict[int, list[int]] = {}
         for node in range(1, len(self.tag)):
-            inside[node] = inside[node] or inside[self.parent[node]]
-        return "\n\n".join(text for node, text, _, _ in blocks if inside[node])
+            beside.setdefault(self.parent[node], []).append(node)
+        kept, at = {best}, best
+        while at > 0:
+            row = beside[self.parent[at]]
+            stay = [
+                k
+                for k, node in enumerate(row)
+                if node == at
+                or main[node]
+                or points[node] >= max(4.0, 0.2 * points[best])
+                or (not semantic and score[node] >= max(4.0, 0.2 * score[best]))
+                or (at == best and prose[node] and (not semantic or self.tag[node] != "article"))
+            ]
+            if semantic:
+                kept.update(row[k] for k in stay)
+                break
+            kept.update(node for node in row[stay[0] : stay[-1] + 1] if node != at)
+            at = self.parent[at]
+        return self._below(kept)
+
+    def spare(self, holders: frozenset) -> frozenset:
+        """``holders`` and the marked elements inside the main text that no whole name marks."""
+        inside = self.kept()
+        return holders | {
+            k for k, node in enumerate(self.within) if inside[node] and not self.whole[k]
+        }
+
+    def main_text(self) -> str:
+        inside = self.kept()
+        return "\n\n".join(text for node, text, _, _ in self._no_menus() if inside[node])
 
     def _semantic(self, blocks: list[list]) -> int:
         """Without any scored paragraph: the first article or main with text, else the page."""
@@ -336,7 +428,11 @@ def main_text(source: str) -> str:
         return ""
     page = Page(source)
     if page.marked:
-        page = Page(source, page.prose_holders())
+        holders = page.prose_holders()
+        page = Page(source, holders)
+        spared = page.spare(holders)
+        if spared != holders:
+            page = Page(source, spared)
     return page.main_text()
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from govlens.llm import extract
@@ -54,6 +56,47 @@ def test_many_comments_are_no_article():
         assert extract.main_text(page) == f"{LONG} yes"
 
 
+@pytest.mark.parametrize(
+    "part",
+    ["p class='social-history'", "p class='related-work'", "h2 id='search-methods'", "h2 id='notice-periods'",
+     "section id='comments-on-method'"],
+)
+@pytest.mark.parametrize("around", ["article", "div class=wrap", "main"])
+def test_a_mark_in_a_name_does_not_cut_a_part_of_the_article(part, around):
+    inner = f"<{part}>{LONG} kept</{part.split()[0]}><div class='ad-slot'><p>{LONG} no</p></div><p class=promo>{LONG} no</p>"
+    page = f"<body><{around}><p>{LONG} one</p>{inner}<p>{LONG} two</p><p>{LONG} three</p></{around.split()[0]}></body>"
+    assert extract.main_text(page) == "\n\n".join(f"{LONG} {w}" for w in ("one", "kept", "two", "three"))
+
+
+def test_boxes_beside_the_article_go_by_one_mark():
+    box = f"<div class='related-work'><p>{LONG} no</p></div>"
+    for around in ("article", "div"):
+        page = f"<body>{box}<{around}><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></{around}>{box}</body>"
+        assert extract.main_text(page) == "\n\n".join([LONG] * 3)
+
+
+def test_a_short_article_outweighs_an_advert():
+    advert = f"<div class=ad>{LONG}</div>"
+    assert extract.main_text(f"<body>{advert}<article><h1>Few.</h1><p>Words.</p></article></body>") == "Few.\n\nWords."
+
+
+def test_parts_beside_the_container_stay():
+    body = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert extract.main_text(f"<body><div>{body}<div><p>short</p></div></div>") == f"{LONG}\n\n{LONG}\n\nshort"
+    assert extract.main_text(f"<body><div><div><h1>Title</h1></div>{body}</div>") == f"Title\n\n{LONG}\n\n{LONG}"
+    assert extract.main_text(f"<body><div><h1>Title</h1></div><div><div>{body}</div></div>") == f"Title\n\n{LONG}\n\n{LONG}"
+    columns = "".join(f"<div class=col><div><p>{LONG} {k}</p></div></div>" for k in range(2))
+    assert extract.main_text(f"<body><div>{columns}</div>") == f"{LONG} 0\n\n{LONG} 1"
+    table = "<div><table><tr><td>x<td>y</table></div>"
+    assert extract.main_text(f"<body><div>{body}{table}{body}</div>") == "\n\n".join([LONG, LONG, "x", "y", LONG, LONG])
+
+
+def test_stray_end_tags_are_linear():
+    begin = time.perf_counter()
+    assert extract.main_text("<span>" * 100_000 + "</b>" * 100_000 + "x") == "x"
+    assert time.perf_counter() - begin < 10
+
+
 def test_hostile_markup_is_linear():
     assert extract.main_text("<div " * 50_000 + "<p>x") == "x"
     assert extract.main_text("<b>" * 20_000 + "deep") == "deep"
