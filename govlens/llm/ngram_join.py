@@ -13,8 +13,10 @@ The join is exact, and it links classes of equal sets, not rows, so copies cost
    tiles by member, size band (similar sets lie in the same or the next band) and, for
    long postings, pairs of blocks of rows, so a tile is bounded. In a tile, pairs of
    different components whose sizes allow it are tested by bitmaps: bits that one has and
-   the other lacks bound the overlap from above.
-5. What passes is decided by intersecting the sorted sets, made again from the texts.
+   the other lacks bound the overlap from above. A tile gives a forest of the components
+   that may be linked, not the pairs.
+5. Components that a forest holds together are a group; its classes meet once, in blocks,
+   with their texts, and sorted sets made from these are intersected.
 6. Links become components by alternating stars on the edge list.
 
 Only counts of fixed size reach the driver (the sketch and a filter of needed keys); links,
@@ -49,6 +51,7 @@ LANES = 8  # 64-bit words of the short bitmap
 WIDE = 1 << 14  # bits of a wide bitmap at most; it has 4 to 8 per member
 BAND = 1.26  # sizes of similar sets differ by a factor of 1.25 at most
 BLOCK = 1024  # rows of a posting on either side of a tile
+TILE_MEMBERS = 1 << 20  # members of the sets on either side of an exact tile, about
 
 # Odd multipliers, one per min-hash.
 _ONES = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xC2B2AE3D27D4EB4F << k) % 2**64 | 1 for k in range(64)]
@@ -96,11 +99,16 @@ def _summed(parts: DataFrame, op: str) -> np.ndarray:
     ) if rows else np.zeros(0, np.int64)
 
 
+_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _PARTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
 
 def frequencies(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """log2 of every counter of the sketch: how common the members counted there are."""
+    """64 * log2 of every counter of the sketch: how common the members counted there are.
+
+    Counters hold many members each, so a member stands out by some hundredths only; coarser
+    steps would let frequent passages into the prefixes of large inputs.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]):
         release()
@@ -115,7 +123,7 @@ def frequencies(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     counts = _summed(docs.select(text_col).mapInArrow(count, _PARTS), "add")
     if not len(counts):
         counts = np.zeros(2 << SKETCH_BITS, np.int64)
-    return np.log2(counts + 1).astype(np.uint8)
+    return np.round(64 * np.log2(counts + 1)).astype(np.uint16)
 
 
 def _whole(values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -177,7 +185,7 @@ def signatures(
                     )
                     first, second = _cells(h)
                     rank = np.minimum(common[first], common[second]).astype(np.uint64)
-                    rank = (rank << np.uint64(56)) | (mix(h) >> np.uint64(8))
+                    rank = (rank << np.uint64(48)) | (mix(h) >> np.uint64(16))
                     size = _prefix_size(len(h), percent)
                     chosen = np.argpartition(rank, size - 1)[:size] if size < len(h) else slice(None)
                     prefix.append(h[chosen].view(np.int64))
@@ -452,7 +460,10 @@ def _met(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a tile and whose bitmaps allow a link."""
+    """Pairs (a, b) of components with rows that meet in a tile and whose bitmaps allow a link.
+
+    Of all such pairs a forest is given: what is connected by them is connected by it.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
     rows = postings.join(classes.select("node", "component", "n"), "node").select(
         "member", "node", "component", "n",
@@ -489,11 +500,10 @@ def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
     keys = ["member", "tile", "i", "j"]
     partitions = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(partitions, *keys).sortWithinPartitions(*keys)
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def meet(batches: Iterator[pa.RecordBatch]):
         held: pa.Table | None = None
-        sent: set[tuple[int, int]] = set()
+        forest = Forest()
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([held, table]) if held is not None else table
@@ -502,16 +512,53 @@ def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
             cut = int(edges[-1]) if len(edges) else 0
             held = table.slice(cut)
             if cut:
-                yield from _pairs(table.slice(0, cut), edges, sent)
+                yield from _meetings(table.slice(0, cut), edges, forest)
         if held is not None and held.num_rows:
-            yield from _pairs(held, np.array([held.num_rows]), sent)
+            yield from _meetings(held, np.array([held.num_rows]), forest)
+
+    return dealt.mapInArrow(meet, _EDGES).distinct()
+
+
+class Forest:
+    """Which nodes are joined; it forgets when it holds too many, which only repeats edges."""
+
+    MOST = 1_000_000
 
-    return dealt.mapInArrow(meet, schema).distinct()
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
+    def root(self, node: int) -> int:
+        parent = self.parent
+        while (up := parent.get(node, node)) != node:
+            parent[node] = node = parent.get(up, up)
+        return node
 
-def _pairs(table: pa.Table, ends: np.ndarray, sent: set) -> Iterator[pa.RecordBatch]:
-    """Pairs that the sizes and bitmaps of each tile's rows allow; ``ends``: where tiles end."""
-    names = ("node", "component", "n", "own", "upper", "i", "j")
+    def join(self, a: int, b: int) -> bool:
+        """Join two nodes; whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        if len(self.parent) > self.MOST:
+            self.parent.clear()
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        return np.array([self.root(n) for n in nodes.tolist()], np.int64)
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _meetings(table: pa.Table, ends: np.ndarray, forest: Forest) -> Iterator[pa.RecordBatch]:
+    """Edges between components in whose rows sizes and bitmaps allow a link.
+
+    ``ends``: where tiles end. Components that ``forest`` holds together are not compared
+    again, so the edges are fewer than the components, not as many as the pairs.
+    """
+    names = ("component", "n", "own", "upper", "i", "j")
     column = {c: np.asarray(table.column(c)) for c in names}
     wide = table.column("wide")
     out: list[tuple[int, int]] = []
@@ -520,16 +567,19 @@ def _pairs(table: pa.Table, ends: np.ndarray, sent: set) -> Iterator[pa.RecordBa
         part = slice(begin, end)
         begin, first = end, begin
         size, upper = column["n"][part], column["upper"][part]
-        node, component, own = column["node"][part], column["component"][part], column["own"][part]
+        component, own = column["component"][part], column["own"][part]
         if (component == component[0]).all():
             continue
         two = column["i"][first] != column["j"][first]
         uppers = np.flatnonzero(upper)
+        joined = forest.roots(component)
         bits = None
         for lo in range(0, len(uppers), 128):
+            if (joined == joined[0]).all():
+                break
             x = uppers[lo : lo + 128, None]
             # pairs of two upper rows are looked at once; in a tile of two blocks only across
-            may = (component != component[x]) & (~upper | (np.arange(len(node)) < x))
+            may = (joined != joined[x]) & (~upper | (np.arange(len(size)) < x))
             if two:
                 may &= own != own[x]
             may &= 100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])
@@ -539,27 +589,109 @@ def _pairs(table: pa.Table, ends: np.ndarray, sent: set) -> Iterator[pa.RecordBa
             if bits is None:
                 bits = _same_width(wide.slice(first, end - first).to_pylist())
             xs = x[at, 0]
-            good = []
+            before = len(out)
             for k in range(0, len(xs), 4096):
                 a, b = xs[k : k + 4096], ys[k : k + 4096]
                 lack_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
                 lack_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64)
                 overlap = np.minimum(size[a] - lack_a, size[b] - lack_b)
-                fits = (100 + PERCENT) * overlap >= PERCENT * (size[a] + size[b])
-                good.append(np.flatnonzero(fits) + k)
-            for k in np.concatenate(good):
-                a, b = int(node[xs[k]]), int(node[ys[k]])
-                pair = (a, b) if a < b else (b, a)
-                if pair not in sent:
-                    if len(sent) > 1_000_000:
-                        sent.clear()
-                    sent.add(pair)
-                    out.append(pair)
+                fits = np.flatnonzero((100 + PERCENT) * overlap >= PERCENT * (size[a] + size[b]))
+                for one, other in zip(component[a[fits]].tolist(), component[b[fits]].tolist()):
+                    if forest.join(one, other):
+                        out.append((min(one, other), max(one, other)))
+            if len(out) > before:
+                joined = forest.roots(component)
     if out:
-        a, b = zip(*out)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
-        )
+        yield _edge_batch(out)
+
+
+def joined_exactly(
+    meetings: DataFrame, docs: DataFrame, contracted: DataFrame, text_col: str, words: int, percent: int
+) -> DataFrame:
+    """Links (a, b: class nodes) that join what is similar enough among components that meet.
+
+    Components that meet, directly or through others, are a group. Its classes are dealt to
+    tiles by pairs of blocks, each with its text, and a tile intersects the sets of classes of
+    different components. The largest component's classes are alike already, so their blocks
+    only meet those of the others. A tile gives a forest, never all pairs.
+    """
+    grouped = components(meetings).withColumnsRenamed({"component": "group", "node": "component"})
+    grouped = staged(
+        grouped.unionByName(grouped.select(F.col("group").alias("component"), "group").distinct()), "groups"
+    )
+    members = contracted.select("node", "component", "n", "k1", "k2").join(grouped.distinct(), "component")
+    members = staged(members, "members")
+    parts = members.groupBy("group", "component").agg(F.count("*").alias("rows"))
+    largest = parts.groupBy("group").agg(F.max(F.struct("rows", "component"))["component"].alias("main"))
+    # side 0 is the largest component, 1 the rest
+    sided = members.join(largest, "group").withColumn("side", (F.col("component") != F.col("main")).cast("int"))
+
+    def blocks(side: int) -> Column:
+        share = F.sum(F.when(F.col("side") == side, F.greatest(F.lit(1 / BLOCK), F.col("n") / TILE_MEMBERS)))
+        return F.ceil(F.coalesce(share, F.lit(0.0))).cast("int")
+
+    cuts = sided.groupBy("group").agg(blocks(0).alias("mains"), blocks(1).alias("rest"))
+    placed = sided.join(cuts, "group").withColumn(
+        "own",
+        F.when(F.col("side") == 0, F.pmod(F.xxhash64("node"), F.col("mains")))
+        .otherwise(F.pmod(F.xxhash64("node"), F.col("rest")) + F.col("mains"))
+        .cast("int"),
+    )
+    # a block of the rest meets all others, one of the largest component those of the rest
+    last = F.col("mains") + F.col("rest") - 1
+    others = F.filter(
+        F.sequence(F.when(F.col("side") == 0, F.col("mains")).otherwise(F.lit(0)), last),
+        lambda k: k != F.col("own"),
+    )
+    tiles = F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    texts = texts_of(docs, staged(members.select("node", "k1", "k2"), "needed"), text_col)
+    dealt = (
+        placed.join(texts, "node")
+        .withColumn("at", F.explode(tiles))
+        .select("group", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "node", "component", "text")
+    )
+
+    def decide(table: pa.Table) -> pa.Table:
+        sets: list[np.ndarray] = []
+        for batch in table.to_batches():
+            for _, texts in text_runs(batch, "text"):
+                sets += shingle_sets(texts, words)
+        node, component = np.asarray(table.column("node")), np.asarray(table.column("component"))
+        links = _links(sets, node, component, percent)
+        return pa.Table.from_batches([_edge_batch(links)])
+
+    return dealt.groupBy("group", "i", "j").applyInArrow(decide, _EDGES)
+
+
+def _links(
+    sets: list[np.ndarray], node: np.ndarray, component: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """Pairs of nodes that join the components of similar sets; overlaps are counted exactly."""
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    members = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    order = np.argsort(members, kind="stable")
+    members, owner = members[order], owner[order]
+    forest, out = Forest(), []
+    joined = component.copy()
+    names, count = np.unique(component, return_counts=True)
+    largest = names[count.argmax()]
+    # every pair of two components has a row outside the largest
+    for x in np.flatnonzero(component != largest):
+        other = joined != joined[x]
+        if not other.any():
+            continue
+        lo, hi = np.searchsorted(members, sets[x]), np.searchsorted(members, sets[x], side="right")
+        spans = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+        shared = np.bincount(owner[spans], minlength=len(sets))
+        fits = other & ((100 + percent) * shared >= percent * (size + size[x]))
+        for y in np.flatnonzero(fits):
+            if forest.join(int(component[x]), int(component[y])):
+                a, b = int(node[x]), int(node[y])
+                out.append((min(a, b), max(a, b)))
+        if fits.any():
+            joined = forest.roots(component)
+    return out
 
 
 def linked(
@@ -587,9 +719,11 @@ def linked(
         "classes",
     )
     stars = staged(verified(staged(_stars(classes), "stars"), docs, classes, text_col, words, percent), "links")
-    contracted = staged(_labelled(classes, components(stars)), "contracted")
-    pairs = staged(_tiles(staged(_met(some, classes), "postings"), contracted), "pairs")
-    more = staged(verified(pairs, docs, classes, text_col, words, percent), "links")
+    contracted = staged(
+        _labelled(classes.select("node", "n", "k1", "k2", "wide"), components(stars)), "contracted"
+    )
+    meetings = staged(_tiles(staged(_met(some, classes), "postings"), contracted), "meetings")
+    more = staged(joined_exactly(meetings, docs, contracted, text_col, words, percent), "links")
     found = components(stars.unionByName(more))
     labelled = staged(
         _labelled(classes.select("sig", "node", "lead"), found), "components"

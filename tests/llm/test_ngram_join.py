@@ -99,6 +99,50 @@ def test_large_tiles_are_cut_into_blocks(documents, monkeypatch):
     assert found(documents(rows)) == brute(rows)
 
 
+def near_misses(rows, edits):
+    """A text's copies, each with ``edits`` words of its own: like the text or not, never like each other."""
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(150)]
+    out = [(k, " ".join(base + [f"e{k}"])) for k in range(3)]
+    for k in range(3, rows):
+        copy = list(base)
+        for at in rng.sample(range(150), edits[k % len(edits)]):
+            copy[at] = f"x{k}_{at}"
+        out.append((k, " ".join(copy)))
+    return out
+
+
+def test_tiles_give_a_forest_not_all_pairs(documents, monkeypatch):
+    """What meets grows with a group's rows, not with their square."""
+    met, tiles = [], ngram_join._tiles
+    monkeypatch.setattr(ngram_join, "_tiles", lambda *a: met.append(tiles(*a)) or met[0])
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    rows = near_misses(240, [2, 3, 4])
+    assert found(documents(rows)) == brute(rows)
+    assert met[0].count() < 4 * len(rows)
+
+
+@pytest.mark.parametrize("members", [1 << 20, 1000])
+def test_groups_are_cut_into_blocks_of_rows_and_members(documents, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "TILE_MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    rows = near_misses(90, [1, 2, 3, 4])
+    rows += [(k + 100, t.replace("b1 ", f"y{k} ")) for k, t in rows[3:60]]
+    assert found(documents(rows)) == brute(rows)
+
+
+def test_a_forest_that_forgets_only_repeats(monkeypatch):
+    monkeypatch.setattr(ngram_join.Forest, "MOST", 2)
+    forest = ngram_join.Forest()
+    edges = [(a, b) for a in range(6) for b in range(a) if forest.join(a, b)]
+    kept = ngram_join.Forest()
+    monkeypatch.setattr(ngram_join.Forest, "MOST", 100)
+    for edge in edges:
+        kept.join(*edge)
+    assert {kept.root(k) for k in range(6)} == {0}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "a b c d e f")]])
 def test_nothing_to_join(documents, rows):
     assert found(documents(rows)) == brute(rows)
