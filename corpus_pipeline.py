@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlens.llm import decontaminate, language, ngram_join, packing, secrets
-from govlens.llm.common import fold, staged, table
+from govlens.llm.common import fold, ready, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter; without any labelled one, no language is told and all of them stay."""
+    ready(spark)
     docs = docs.select(COLUMNS)
     found = language.identify(docs, language.learn(docs.where(fold("doc_id", 4) != 2)))
     return found.where("lettered").select(COLUMNS)
@@ -30,6 +31,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ready(spark)
     return ngram_join.representatives(docs.select(COLUMNS))
 
 
@@ -47,6 +49,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences."""
+    ready(spark)
     return packing.report(docs)
 
 

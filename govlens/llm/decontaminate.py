@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import held, keep, text_runs
+from govlens.llm.common import held, keep, text_runs, tidy
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -168,7 +168,7 @@ def decontaminate(
                     yield keep(part, part.schema.names, {name: found}, {name: kind})
 
         marked = marked.mapInArrow(
-            scan, T.StructType([*marked.schema.fields, T.StructField(passes[-1], hits)])
+            tidy(scan), T.StructType([*marked.schema.fields, T.StructField(passes[-1], hits)])
         )
     return _summed(marked, docs, text_col, passes)
 
@@ -224,7 +224,7 @@ def _summed(marked: DataFrame, docs: DataFrame, text_col: str, passes: list[str]
                 yield keep(part, names, {"contamination": out}, {"contamination": kind})
 
     schema = T.StructType([*docs.schema.fields, T.StructField("contamination", result)])
-    return marked.mapInArrow(sums, schema)
+    return marked.mapInArrow(tidy(sums), schema)
 
 
 def contaminated(n_words, n_hit):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import fold, held, keep, text_runs
+from govlens.llm.common import fold, held, keep, text_runs, tidy
 from govlens.llm.samples import first_by_hash
 
 DOCS_PER_LANGUAGE = 300
@@ -286,7 +286,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             T.StructField("lettered", T.BooleanType()),
         ]
     )
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(tidy(predict), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import held, keep, staged, text_runs
+from govlens.llm.common import held, keep, staged, text_runs, tidy
 
 CAPACITY = 2048
 END = 0
@@ -230,7 +230,7 @@ def tokenise(
     schema = [docs.schema[c] for c in names] + PIECE.fields
     if with_ids:
         schema.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return docs.mapInArrow(run, T.StructType(schema))
+    return docs.mapInArrow(tidy(run), T.StructType(schema))
 
 
 class Plan:
@@ -411,7 +411,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
             T.StructField("offset", T.LongType()),
         ]
     )
-    return numbered.mapInArrow(run, schema)
+    return numbered.mapInArrow(tidy(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
