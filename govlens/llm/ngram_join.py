@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import release, staged, text_runs
+from govlens.llm.common import release, staged, text_runs, tidy
 from govlens.llm.shingles import mix, shingle_sets
 
 WORDS = 5
@@ -48,9 +48,10 @@ SKETCH_BITS = 18  # counters per row of the frequency sketch, two rows
 SKETCH_PARTS = 32
 SIEVE_BITS = 24
 LANES = 8  # 64-bit words of the short bitmap
-WIDE = 1 << 14  # bits of a wide bitmap at most; it has 4 to 8 per member
+WIDE = 1 << 14  # bits of a wide bitmap at most; it has 2 to 4 per member
 BAND = 1.26  # sizes of similar sets differ by a factor of 1.25 at most
 BLOCK = 1024  # rows of a posting on either side of a tile
+PACKED = 1 << 21  # prefix members a task holds before it passes them on, about
 TILE_MEMBERS = 1 << 20  # members of the sets on either side of an exact tile, about
 
 # Odd multipliers, one per min-hash.
@@ -90,7 +91,7 @@ def _summed(parts: DataFrame, op: str) -> np.ndarray:
                 names=["part", "counts"],
             )
 
-    rows = parts.repartition(SKETCH_PARTS, "part").mapInArrow(combine, parts.schema).collect()
+    rows = parts.repartition(SKETCH_PARTS, "part").mapInArrow(tidy(combine), parts.schema).collect()
     return np.concatenate(
         [
             np.frombuffer(bytes(r["counts"]), np.int64 if op == "add" else np.uint8)
@@ -120,7 +121,7 @@ def frequencies(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
                     total += np.bincount(cells, minlength=len(total))
         yield from _whole(total)
 
-    counts = _summed(docs.select(text_col).mapInArrow(count, _PARTS), "add")
+    counts = _summed(docs.select(text_col).mapInArrow(tidy(count), _PARTS), "add")
     if not len(counts):
         counts = np.zeros(2 << SKETCH_BITS, np.int64)
     return np.round(64 * np.log2(counts + 1)).astype(np.uint16)
@@ -142,6 +143,12 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _first_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """Members of a prefix by which a set finds those that are as large or larger: these share
+    more of it, 2 * percent of 100 + percent at least, so it takes fewer of its members."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def signatures(
     docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
 ) -> DataFrame:
@@ -187,7 +194,9 @@ def signatures(
                     rank = np.minimum(common[first], common[second]).astype(np.uint64)
                     rank = (rank << np.uint64(48)) | (mix(h) >> np.uint64(16))
                     size = _prefix_size(len(h), percent)
-                    chosen = np.argpartition(rank, size - 1)[:size] if size < len(h) else slice(None)
+                    # the first ones of the prefix stand before the others
+                    early = int(_first_size(len(h), percent))
+                    chosen = np.argpartition(rank, sorted({early - 1, size - 1}))[:size]
                     prefix.append(h[chosen].view(np.int64))
                 words8 = np.array(lanes)
                 yield pa.RecordBatch.from_arrays(
@@ -213,12 +222,12 @@ def signatures(
         F.col(text_col).alias("text"),
     )
     schema = T.StructType([T.StructField(name, kind) for name, _, kind in kinds])
-    return staged(source.mapInArrow(sign, schema), "signatures")
+    return staged(source.mapInArrow(tidy(sign), schema), "signatures")
 
 
 def _wide(h: np.ndarray) -> bytes:
     """A bitmap as wide as the set asks for, a power of two; halves fold onto each other."""
-    size = min(WIDE, max(64, 1 << (8 * len(h) - 1).bit_length() >> 1)) if len(h) else 64
+    size = min(WIDE, max(64, 1 << (4 * len(h) - 1).bit_length() >> 1)) if len(h) else 64
     bits = np.zeros(size, bool)
     bits[((h >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -270,7 +279,7 @@ def _sieve(keys: DataFrame) -> np.ndarray:
             bits[np.asarray(batch.column(0)) & ((1 << SIEVE_BITS) - 1)] = True
         yield from _whole(np.packbits(bits))
 
-    bits = _summed(keys.select("k1").mapInArrow(mark, _PARTS), "or")
+    bits = _summed(keys.select("k1").mapInArrow(tidy(mark), _PARTS), "or")
     return bits if len(bits) else np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
 
 
@@ -305,7 +314,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     source = docs.select(*_text_keys(text_col), F.col(text_col).alias("text"))
     # a text's class is unique, so copies go where the join has put them together already
     return (
-        source.mapInArrow(wanted, source.schema)
+        source.mapInArrow(tidy(wanted), source.schema)
         .join(nodes, ["k1", "k2"])
         .dropDuplicates(["k1", "k2"])
         .select("node", "text")
@@ -350,7 +359,7 @@ def verified(
             if out.num_rows:
                 yield out
 
-    return both.mapInArrow(decide, pairs.select("a", "b").schema)
+    return both.mapInArrow(tidy(decide), pairs.select("a", "b").schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -422,63 +431,151 @@ def _stars(classes: DataFrame) -> DataFrame:
 
 
 def _met(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Postings (member, node) of prefix members that at least two classes share."""
-    postings = signed.select(
-        F.explode("prefix").alias("member"), F.xxhash64("sig").alias("class")
-    )
-    # combined on the map side: a member of a third of all rows is one row per task
-    shared = (
-        postings.groupBy("member")
-        .agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        .where(F.col("low") != F.col("high"))
-        .select("member")
+    """Rows (member, tile, upper, first, node) of the tiles of prefix members in which two rows meet.
+
+    A tile holds a member's sets of one size band (upper) and those of the band below that are
+    to find larger ones, which takes their first members only (first). Each task packs its
+    members by bucket, 7 bytes for one: 32 bits within the bucket, the row in its run of 65,536,
+    the band. Two members that agree in these bits share a tile, which costs tests, not links.
+    """
+    buckets = 4 * int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows that are not a class go here, or in the join with classes if the sieve is crowded
+    leads = signed.sparkSession.sparkContext.broadcast(
+        _sieve(classes.select(F.xxhash64("node").alias("k1")))
     )
-    shared = staged(shared, "members")
-    bits = signed.sparkSession.sparkContext.broadcast(
-        _sieve(shared.select(F.col("member").alias("k1")))
+    packed = T.StructType(
+        [
+            T.StructField("bucket", T.IntegerType()),
+            T.StructField("run", T.LongType()),
+            T.StructField("members", T.BinaryType()),
+            T.StructField("rows", T.BinaryType()),
+            T.StructField("bands", T.BinaryType()),
+        ]
     )
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("member", T.LongType())])
 
-    def sift(batches: Iterator[pa.RecordBatch]):
-        own = bits.value
+    def pack(batches: Iterator[pa.RecordBatch]):
+        release()
+        own = leads.value
+        held, size = [], 0
         for batch in batches:
+            batch = batch.filter(pa.array(_passes(own, np.asarray(batch.column("key")))))
             lists = batch.column("prefix")
-            sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0)).astype(np.int64)
-            members = np.asarray(lists.flatten())
-            rows = np.repeat(np.asarray(batch.column("row")), sizes)
-            keep = _passes(own, members)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[keep]), pa.array(members[keep])], names=["row", "member"]
-            )
+            sizes = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+            n = np.asarray(batch.column("n"))
+            band = np.floor(np.log(np.maximum(n, 1)) / math.log(BAND)).astype(np.uint8)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = place < np.repeat(_first_size(n, PERCENT), sizes)
+            member = np.asarray(lists.flatten()).view(np.uint64)
+            held.append((member, np.repeat(np.asarray(batch.column("row")), sizes), np.repeat(band, sizes) | first * np.uint8(128)))
+            size += len(member)
+            if size > PACKED:
+                yield from _packed(held, buckets)
+                held, size = [], 0
+        if size:
+            yield from _packed(held, buckets)
 
-    sifted = signed.select("row", "prefix").mapInArrow(sift, schema)
+    def meet(batches: Iterator[pa.RecordBatch]):
+        bucket, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if row[0] != bucket and held:
+                    yield from _tiled(bucket, held)
+                    held = []
+                bucket = row[0]
+                held.append(row[1:])
+        if held:
+            yield from _tiled(bucket, held)
+
+    schema = T.StructType(
+        [
+            T.StructField("member", T.LongType()),
+            T.StructField("tile", T.IntegerType()),
+            T.StructField("upper", T.BooleanType()),
+            T.StructField("first", T.BooleanType()),
+            T.StructField("node", T.LongType()),
+        ]
+    )
+    source = signed.select("row", F.xxhash64("row").alias("key"), "n", "prefix")
     return (
-        sifted.join(shared, "member", "left_semi")
-        .join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
-        .select("member", F.col("row").alias("node"))
+        source.mapInArrow(tidy(pack), packed)
+        .repartition(buckets // 4, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(tidy(meet), schema)
+    )
+
+
+def _packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Members, rows and bands of a task as one row for each bucket and run of rows."""
+    member, row, band = (np.concatenate(x) for x in zip(*held))
+    run = row >> 16
+    bucket = ((member >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((run, bucket))
+    member, row, band, run, bucket = member[order], row[order], band[order], run[order], bucket[order]
+    starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (run[1:] != run[:-1])])
+    ends = np.r_[starts[1:], len(row)]
+    columns = (member.astype(np.uint32), (row & 0xFFFF).astype(np.uint16), band)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[starts]),
+            pa.array(run[starts]),
+            *[pa.array([c[lo:hi].tobytes() for lo, hi in zip(starts, ends)], pa.binary()) for c in columns],
+        ],
+        names=["bucket", "run", "members", "rows", "bands"],
     )
 
 
+def _tiled(bucket: int, held: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of a bucket's tiles in which a row may find a larger or an equally large one."""
+    member = np.concatenate([np.frombuffer(m, np.uint32) for _, m, _, _ in held]).astype(np.uint64)
+    node = np.concatenate([(run << 16) + np.frombuffer(r, np.uint16).astype(np.int64) for run, _, r, _ in held])
+    band = np.frombuffer(b"".join(b for *_, b in held), np.uint8)
+    first, band = band >= 128, band & 127
+    key = member << np.uint64(7) | band
+    order = np.argsort(key, kind="stable")
+    key, node, first = key[order], node[order], first[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[starts, len(key)])
+    firsts = np.add.reduceat(first.astype(np.int64), starts)
+    # sizes of the band below stand right before, if the member has any
+    follows = np.r_[False, key[starts][1:] == key[starts][:-1] + np.uint64(1)]
+    below = np.where(follows, np.r_[0, firsts[:-1]], 0)
+    busy = (count + below >= 2) & (firsts + below >= 1)
+    upper = np.repeat(busy, count)
+    lower = np.repeat(np.r_[(busy & follows)[1:], False], count) & first
+    at = np.r_[np.flatnonzero(upper), np.flatnonzero(lower)]
+    if len(at):
+        is_upper = np.arange(len(at)) < upper.sum()
+        short = (key[at] >> np.uint64(7)).astype(np.int64)
+        tile = (key[at] & np.uint64(127)).astype(np.int32) + ~is_upper
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.int64(bucket) << 32 | short),
+                pa.array(tile.astype(np.int32)),
+                pa.array(is_upper),
+                pa.array(first[at]),
+                pa.array(node[at]),
+            ],
+            names=["member", "tile", "upper", "first", "node"],
+        )
+
+
 def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of components with rows that meet in a tile and whose bitmaps allow a link.
 
     Of all such pairs a forest is given: what is connected by them is connected by it.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
-    rows = postings.join(classes.select("node", "component", "n"), "node").select(
-        "member", "node", "component", "n",
-        F.explode(F.array(band, band + 1)).alias("tile"), band.alias("band"),
-    )
-    # a tile holds a band (the larger sets) and the band below; without two components it is idle
+    rows = postings.join(classes.select("node", "component", "n"), "node")
+    # without two components, a larger set or one that is to find it, a tile is idle
     busy = (
         rows.groupBy("member", "tile")
         .agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.max("band").alias("top"),
+            F.max("upper").alias("upper"),
+            F.max("first").alias("first"),
             F.count("*").alias("size"),
         )
-        .where((F.col("low") != F.col("high")) & (F.col("top") == F.col("tile")))
+        .where((F.col("low") != F.col("high")) & F.col("upper") & F.col("first"))
         .select("member", "tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("node", "member"), F.col("blocks")).cast("int")
@@ -493,7 +590,7 @@ def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
         .withColumn("at", F.explode(other))
         .select(
             "member", "tile", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own",
-            (F.col("band") == F.col("tile")).alias("upper"), "node", "component", "n",
+            "upper", "first", "node", "component", "n",
         )
         .join(classes.select("node", "wide"), "node")
     )
@@ -516,7 +613,7 @@ def _tiles(postings: DataFrame, classes: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from _meetings(held, np.array([held.num_rows]), forest)
 
-    return dealt.mapInArrow(meet, _EDGES).distinct()
+    return dealt.mapInArrow(tidy(meet), _EDGES).distinct()
 
 
 class Forest:
@@ -558,19 +655,19 @@ def _meetings(table: pa.Table, ends: np.ndarray, forest: Forest) -> Iterator[pa.
     ``ends``: where tiles end. Components that ``forest`` holds together are not compared
     again, so the edges are fewer than the components, not as many as the pairs.
     """
-    names = ("component", "n", "own", "upper", "i", "j")
+    names = ("component", "n", "own", "upper", "first", "i", "j")
     column = {c: np.asarray(table.column(c)) for c in names}
     wide = table.column("wide")
     out: list[tuple[int, int]] = []
     begin = 0
     for end in ends:
         part = slice(begin, end)
-        begin, first = end, begin
-        size, upper = column["n"][part], column["upper"][part]
+        begin, start = end, begin
+        size, upper, early = column["n"][part], column["upper"][part], column["first"][part]
         component, own = column["component"][part], column["own"][part]
         if (component == component[0]).all():
             continue
-        two = column["i"][first] != column["j"][first]
+        two = column["i"][start] != column["j"][start]
         uppers = np.flatnonzero(upper)
         joined = forest.roots(component)
         bits = None
@@ -580,6 +677,7 @@ def _meetings(table: pa.Table, ends: np.ndarray, forest: Forest) -> Iterator[pa.
             x = uppers[lo : lo + 128, None]
             # pairs of two upper rows are looked at once; in a tile of two blocks only across
             may = (joined != joined[x]) & (~upper | (np.arange(len(size)) < x))
+            may &= early | early[x]
             if two:
                 may &= own != own[x]
             may &= 100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])
@@ -587,7 +685,7 @@ def _meetings(table: pa.Table, ends: np.ndarray, forest: Forest) -> Iterator[pa.
             if not len(at):
                 continue
             if bits is None:
-                bits = _same_width(wide.slice(first, end - first).to_pylist())
+                bits = _same_width(wide.slice(start, end - start).to_pylist())
             xs = x[at, 0]
             before = len(out)
             for k in range(0, len(xs), 4096):

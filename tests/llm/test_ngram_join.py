@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from govlens.llm import ngram_join
@@ -155,3 +156,30 @@ def test_representatives_keep_one_row_of_each(documents):
     assert sorted(map(tuple, kept), key=str) == sorted(
         [(2, text), (9, "other words"), (None, ""), (None, None)], key=str
     )
+
+
+def test_members_are_packed_in_seven_bytes_and_meet_with_all_they_may():
+    """A small set finds larger ones by its first members, so rows that cannot meet are not dealt."""
+    rng = np.random.default_rng(3)
+    member = rng.integers(0, 300, 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    row = rng.integers(0, 1 << 34, 2000)
+    band, first = rng.integers(0, 6, 2000).astype(np.uint8), rng.random(2000) < 0.4
+    half = [(x[:900], x[900:]) for x in (member, row, band | first * np.uint8(128))]
+    sent = [b for part in zip(*half) for b in ngram_join._packed([part], 8)]
+    payload = sum(len(v) for b in sent for k in (2, 3, 4) for v in b.column(k).to_pylist())
+    assert payload == 7 * 2000
+    held = {}
+    for b in sent:
+        for bucket, *rest in zip(*(b.column(k).to_pylist() for k in range(5))):
+            held.setdefault(bucket, []).append(rest)
+    tiles = [t for bucket in sorted(held) for b in ngram_join._tiled(bucket, held[bucket]) for t in b.to_pylist()]
+    met = {}
+    for t in tiles:
+        met.setdefault((t["member"], t["tile"]), set()).add((t["node"], t["upper"]))
+    together = {frozenset((a, b)) for t in met.values() for a, _ in t for b, up in t if up and a != b}
+    for a in range(2000):
+        for b in np.flatnonzero(member == member[a]):
+            # a smaller or equal set that holds the member among its first ones meets the larger one
+            if a != b and first[a] and 0 <= int(band[b]) - int(band[a]) <= 1:
+                assert frozenset((int(row[a]), int(row[b]))) in together
+    assert all(t["upper"] or t["first"] for t in tiles) and all(len(t) > 1 for t in met.values())
