@@ -9,8 +9,9 @@ The join is exact, and it links classes of equal sets, not rows, so copies cost
    order. Two sets that are similar enough share a prefix member, whatever the order.
 3. Stars: classes that share a min-hash are compared with one of them. This is linear,
    and it joins most of a large group of near copies before any pairs are looked at.
-4. Tiles: postings of prefix members in which at least two components meet are dealt to
-   tiles by member, size band (similar sets lie in the same or the next band) and, for
+4. Tiles: prefix members meet in one shuffle, packed by bucket. Those in which at least two
+   components meet are dealt to tiles by member, size band (similar sets lie in the same or the
+   next band; a set finds larger ones by the first half of its prefix, about) and, for
    long postings, pairs of blocks of rows, so a tile is bounded. In a tile, pairs of
    different components whose sizes allow it are tested by bitmaps: bits that one has and
    the other lacks bound the overlap from above. A tile gives a forest of the components
