@@ -8,8 +8,8 @@ mapped back to character offsets of the original text only where something match
 
 The automaton is built from the benchmark's text, which the driver reads in blocks of
 ``block_bytes``: however long the benchmark is, one block's automaton is in a worker's
-memory, and each block is one more pass (a narrow stage, no shuffle). Hits of all
-blocks are merged word by word.
+memory, and each block is one pass (a narrow stage, no shuffle). The last one merges the
+hits of all blocks word by word.
 
 Defined results: null or empty text has no words and no hits. Items without words, with
 a null id or null text match nothing. Several rows of one item id count as one item.
@@ -146,14 +146,17 @@ def decontaminate(
         ]
     )
     kind = pa.struct([("runs", _SPANS), ("items", pa.list_(pa.string()))])
+    shipped = [
+        spark.sparkContext.broadcast(block)
+        for block in item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    ]
     marked, passes = docs, []
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        shipped = spark.sparkContext.broadcast(block)
+    for block in shipped[:-1]:
         passes.append(f"__hits_{len(passes)}")
         token = uuid.uuid4().hex
 
-        def scan(batches, shipped=shipped, name=passes[-1], token=token):
-            matcher = _matcher(token, shipped, window)
+        def scan(batches, block=block, name=passes[-1], token=token):
+            matcher = _matcher(token, block, window)
             for batch in batches:
                 for part, texts in text_runs(batch, text_col):
                     found = []
@@ -170,11 +173,17 @@ def decontaminate(
         marked = marked.mapInArrow(
             tidy(scan), T.StructType([*marked.schema.fields, T.StructField(passes[-1], hits)])
         )
-    return _summed(marked, docs, text_col, passes)
+    return _summed(marked, docs, text_col, passes, shipped[-1] if shipped else None, window)
 
 
-def _summed(marked: DataFrame, docs: DataFrame, text_col: str, passes: list[str]) -> DataFrame:
-    names = docs.columns
+def _summed(
+    marked: DataFrame, docs: DataFrame, text_col: str, passes: list[str], block, window: int
+) -> DataFrame:
+    """The last pass: hits of the last block, if there is one, merged with those of all others.
+
+    Each pass is a worker of its own beside those of the same task, so one block takes one.
+    """
+    names, token = docs.columns, uuid.uuid4().hex
     result = T.StructType(
         [
             T.StructField("n_words", T.LongType()),
@@ -203,21 +212,24 @@ def _summed(marked: DataFrame, docs: DataFrame, text_col: str, passes: list[str]
     )
 
     def sums(batches: Iterator[pa.RecordBatch]):
+        matcher = _matcher(token, block, window) if block else None
         for batch in batches:
             for part, texts in text_runs(batch, text_col):
                 hits = [part.column(p).to_pylist() for p in passes]
                 out = []
                 for k, text in enumerate(texts):
-                    runs = merge([(r["first"], r["last"]) for h in hits for r in h[k]["runs"]])
+                    found = words(text)
+                    runs, items = matcher.hits(found) if matcher else ([], set())
+                    runs = merge([*runs, *((r["first"], r["last"]) for h in hits for r in h[k]["runs"])])
                     spans = []
                     if runs:
                         at = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))]
                         spans = [{"start": at[a][0], "end": at[b][1]} for a, b in runs]
                     out.append(
                         {
-                            "n_words": len(words(text)),
+                            "n_words": len(found),
                             "n_hit": sum(b - a + 1 for a, b in runs),
-                            "items": sorted({i for h in hits for i in h[k]["items"]}),
+                            "items": sorted(items.union(*(h[k]["items"] for h in hits))),
                             "spans": spans,
                         }
                     )

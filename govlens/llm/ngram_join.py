@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govlens.llm.common import release, staged, text_runs, tidy
+from govlens.llm.common import give_back, release, staged, text_runs, tidy
 from govlens.llm.shingles import mix, shingle_sets
 
 WORDS = 5
@@ -54,6 +54,7 @@ BAND = 1.26  # sizes of similar sets differ by a factor of 1.25 at most
 BLOCK = 1024  # rows of a posting on either side of a tile
 PACKED = 1 << 21  # prefix members a task holds before it passes them on, about
 TILE_MEMBERS = 1 << 20  # members of the sets on either side of an exact tile, about
+GIVE_BACK = 1 << 20  # bytes of an exact tile after which its worker gives free memory back
 
 # Odd multipliers, one per min-hash.
 _ONES = [(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xC2B2AE3D27D4EB4F << k) % 2**64 | 1 for k in range(64)]
@@ -757,6 +758,9 @@ def joined_exactly(
                 sets += shingle_sets(texts, words)
         node, component = np.asarray(table.column("node")), np.asarray(table.column("component"))
         links = _links(sets, node, component, percent)
+        if table.nbytes > GIVE_BACK:
+            sets.clear()
+            give_back()
         return pa.Table.from_batches([_edge_batch(links)])
 
     return dealt.groupBy("group", "i", "j").applyInArrow(decide, _EDGES)

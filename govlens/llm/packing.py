@@ -363,9 +363,10 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     # at most ``capacity`` rows
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     plan = Plan(histogram, capacity)
+    counts = [(k, -(-n // ROWS_PER_SALT)) for k, n in sorted(histogram.items())] or [(0, 1)]
+    # Rows given as Python objects would start a second set of workers on each executor.
     salts = spark.createDataFrame(
-        [(k, -(-n // ROWS_PER_SALT)) for k, n in sorted(histogram.items())] or [(0, 1)],
-        "__length long, __salts long",
+        pa.table([pa.array(c, pa.int64()) for c in zip(*counts)], ["__length", "__salts"])
     )
     salted = (
         pieces.join(F.broadcast(salts), F.col("length") == F.col("__length"))

@@ -68,6 +68,12 @@ def test_blocks_of_items_give_the_same(spark, documents):
     assert sorted(whole.collect(), key=str) == sorted(parts.collect(), key=str)
 
 
+def test_one_block_takes_one_worker_a_task(spark, documents):
+    found = decontaminate.decontaminate(documents(DOCS), benchmark(spark, ITEMS))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_spans_lie_in_the_original(spark, documents):
     rows = decontaminate.decontaminate(documents(DOCS), benchmark(spark, ITEMS)).collect()
     for row in rows:

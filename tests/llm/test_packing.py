@@ -98,3 +98,12 @@ def test_sequences_hold_the_ids(spark, documents):
 
 def test_empty_table(documents):
     assert packing.report(documents([])).count() == 0
+
+
+def test_plan_reaches_the_cluster_without_python_rows(spark, documents):
+    """Python rows would start a second set of workers on each executor."""
+    pieces = packing.tokenise(documents([(1, "a b c"), (2, "d e")]).select("doc_id", "text"))
+    spark.createDataFrame(pieces.toArrow()).createOrReplaceTempView("pieces")
+    packed = packing.pack(spark.table("pieces"), ["doc_id", "piece"])
+    assert "ExistingRDD" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in packed.collect()) == [1, 2]
