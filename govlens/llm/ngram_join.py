@@ -51,6 +51,7 @@ SIEVE_BITS = 24
 LANES = 8  # 64-bit words of the short bitmap
 WIDE = 1 << 14  # bits of a wide bitmap at most; it has 2 to 4 per member
 BAND = 1.26  # sizes of similar sets differ by a factor of 1.25 at most
+PAIRS = 1024  # bitmaps compared at a time
 BLOCK = 1024  # rows of a posting on either side of a tile
 PACKED = 1 << 21  # prefix members a task holds before it passes them on, about
 TILE_MEMBERS = 1 << 20  # members of the sets on either side of an exact tile, about
@@ -690,8 +691,8 @@ def _meetings(table: pa.Table, ends: np.ndarray, forest: Forest) -> Iterator[pa.
                 bits = _same_width(wide.slice(start, end - start).to_pylist())
             xs = x[at, 0]
             before = len(out)
-            for k in range(0, len(xs), 4096):
-                a, b = xs[k : k + 4096], ys[k : k + 4096]
+            for k in range(0, len(xs), PAIRS):
+                a, b = xs[k : k + PAIRS], ys[k : k + PAIRS]
                 lack_a = np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
                 lack_b = np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64)
                 overlap = np.minimum(size[a] - lack_a, size[b] - lack_b)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18  # a worker keeps 16 bytes for each byte, and needs some 30 more at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[np.ndarray] = []
