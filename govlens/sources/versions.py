@@ -56,15 +56,14 @@ class _Folders:
         overwrite = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         self.context.rename(self._path(source), self._path(target), overwrite)
 
+    def make(self, path: str) -> None:
+        permission = self.jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault()
+        self.context.mkdir(self._path(path), permission, True)
+
     def remove(self, path: str) -> None:
         self.context.delete(self._path(path), True)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder that is no longer needed."""
-    _Folders(spark, path).remove(path)
-
-
 class Ledger:
     """Numbered entries of rows; entry ``n`` is written once, after all of its rows."""
 
@@ -120,12 +119,21 @@ class VersionedTable:
         rows = self.ledger.rows().withColumn("_since", since)
         return rows.select(*self.partitions, LOAD, F.expr("entry >= coalesce(_since, 0)").alias("live"))
 
+    def folder(self, load: str, values: Sequence) -> str:
+        """The folder of a partition in a load."""
+        parts = [f"{p}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for p, v in zip(self.partitions, values)]
+        return "/".join([self.path, f"{LOAD}={load}", *parts])
+
     def _paths(self, rows: list) -> list[str]:
-        out = []
-        for row in rows:
-            parts = [f"{p}={'__HIVE_DEFAULT_PARTITION__' if row[p] is None else row[p]}" for p in self.partitions]
-            out.append("/".join([self.path, f"{LOAD}={row[LOAD]}", *parts]))
-        return out
+        return [self.folder(row[LOAD], [row[p] for p in self.partitions]) for row in rows]
+
+    def _rows(self, paths: list[str], row_ids: bool) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField(LOAD, T.StringType())])
+        if not paths:
+            empty = self.spark.createDataFrame([], schema).drop(LOAD)
+            return empty.withColumn("_row", F.lit(0).cast("long")) if row_ids else empty
+        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*paths)
+        return (rows.withColumn("_row", row_id()) if row_ids else rows).drop(LOAD)
 
     def read(self, row_ids: bool = False) -> DataFrame:
         """The table's rows; ``row_ids`` adds ``_row``, which names a row of a file.
@@ -133,17 +141,21 @@ class VersionedTable:
         The driver learns the folders to read, which Spark's file index holds there anyway:
         the root of a load that is read whole, else its live partitions.
         """
-        schema = T.StructType([*self.schema.fields, T.StructField(LOAD, T.StringType())])
         whole = F.min("live").over(Window.partitionBy(LOAD))
         known = self.folders().withColumn("_whole", whole).where("live")
         roots = [r[0] for r in known.where("_whole").select(LOAD).distinct().collect()] if self.version() else []
         parts = self._paths(known.where("NOT _whole").collect()) if self.version() else []
-        paths = [f"{self.path}/{LOAD}={load}" for load in roots] + parts
-        if not paths:
-            empty = self.spark.createDataFrame([], schema).drop(LOAD)
-            return empty.withColumn("_row", F.lit(0).cast("long")) if row_ids else empty
-        rows = self.spark.read.schema(schema).option("basePath", self.path).parquet(*paths)
-        return (rows.withColumn("_row", row_id()) if row_ids else rows).drop(LOAD)
+        return self._rows([f"{self.path}/{LOAD}={load}" for load in roots] + parts, row_ids)
+
+    def read_partitions(self, values: set[tuple]) -> DataFrame:
+        """The rows of some partitions, by their values, with ``_row``; no other folder is read."""
+        live = self.folders().where("live").collect() if self.version() else []
+        named = [r for r in live if tuple(r[p] for p in self.partitions) in values]
+        return self._rows(self._paths(named), True)
+
+    def read_load(self, load: str) -> DataFrame:
+        """The rows of a load with ``_row``, committed or not."""
+        return self._rows([f"{self.path}/{LOAD}={load}"], True)
 
     def write(
         self, rows: DataFrame, replaces: bool, touched: DataFrame | None = None, expected: int | None = None
@@ -154,16 +166,35 @@ class VersionedTable:
         ``expected`` is the version that the rows were made from, by default the one at
         the time of the commit.
         """
-        load = uuid.uuid4().hex
-        root = f"{self.path}/{LOAD}={load}"
-        rows.write.partitionBy(*self.partitions).parquet(root)
+        load = self.load(rows)
         if touched is None:
             fields = T.StructType([self.schema[p] for p in self.partitions])
-            touched = self.spark.read.schema(fields).parquet(root)
+            touched = self.spark.read.schema(fields).parquet(f"{self.path}/{LOAD}={load}")
         entry = touched.select(*self.partitions).distinct()
         entry = entry.select("*", F.lit(load).alias(LOAD), F.lit(replaces).alias("replaces"))
         return self.ledger.commit(entry.coalesce(1), self.version() if expected is None else expected)
 
+    def load(self, rows: DataFrame) -> str:
+        """Write rows into a load of their own, which no reader takes before an entry names it."""
+        load = uuid.uuid4().hex
+        files = rows.write.option("compression", "zstd").partitionBy(*self.partitions)
+        files.parquet(f"{self.path}/{LOAD}={load}")
+        return load
+
+    def commit(self, named: list[tuple], expected: int) -> int:
+        """Switch readers over to folders that were written: (partition values, load, replaces)."""
+        entry = self.spark.createDataFrame([(*values, *rest) for values, *rest in named], self.ledger.schema)
+        return self.ledger.commit(entry.coalesce(1), expected)
+
+    def drop(self, load: str, values: Sequence | None = None) -> None:
+        """Remove a partition of a load that no entry names, or the load as a whole."""
+        path = f"{self.path}/{LOAD}={load}" if values is None else self.folder(load, values)
+        self.ledger.folders.remove(path)
+
+    def empty(self, load: str, values: Sequence) -> None:
+        """A partition without rows, which may take the place of one that has lost all of its."""
+        self.ledger.folders.make(self.folder(load, values))
+
     def vacuum(self) -> int:
         """Remove folders that no reader takes; gives their number.
 

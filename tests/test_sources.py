@@ -130,6 +130,90 @@ def test_upsert_keeps_all_rows_of_a_delivery(spark, lines, tmp_path):
     assert sent() == [1, 2]
 
 
+def _live(spark, path):
+    return {(str(r.event_date), r.load) for r in store._table(spark, path).folders().where("live").collect()}
+
+
+def test_only_days_that_lose_rows_are_replaced(spark, lines, tmp_path):
+    path = str(tmp_path / "store")
+    store.upsert_events(events(spark, lines, [activity(i, 1 + i % 3) for i in range(30)]), path)
+    first = _live(spark, path)
+    assert len({load for _, load in first}) == 1
+    # the same again changes no folder, new events of a day lie beside its old ones
+    store.upsert_events(events(spark, lines, [activity(i, 1 + i % 3) for i in range(30)]), path)
+    assert _live(spark, path) == first
+    store.upsert_events(events(spark, lines, [activity(i, 1) for i in range(40, 45)]), path)
+    assert _live(spark, path) > first and store.read_store(spark, path).count() == 35
+    # a later delivery of a part of a day, some of it twice: that day alone is written again
+    second = _live(spark, path)
+    some = [activity(i, 2) for i in (1, 4, 4, 50)]
+    assert store.upsert_events(events(spark, lines, some, "2026-03-11 12:00:00"), path) == 4
+    third = _live(spark, path)
+    assert {x for x in third if x[0] != "2026-03-02"} == {x for x in second if x[0] != "2026-03-02"}
+    assert not {x for x in third if x[0] == "2026-03-02"} & second
+    kept = store.read_store(spark, path)
+    assert kept.count() == kept.select("ai.event_id").distinct().count() == 36
+    assert kept.where("collected_at > '2026-03-11'").count() == 3
+
+
+@pytest.mark.parametrize("looked_up", [0, 1000])
+def test_upsert_against_brute_force(spark, lines, tmp_path, monkeypatch, looked_up):
+    """Named and nameless rows, copies, older and newer deliveries and events that change their day."""
+    monkeypatch.setattr(store, "LOOKED_UP", looked_up)
+    path, random_ = str(tmp_path / "store"), __import__("random").Random(looked_up)
+    held: dict = {}
+    for k in range(6):
+        at = f"2026-03-1{random_.randrange(4)} 12:00:00"
+        rows = []
+        for _ in range(25):
+            i = random_.randrange(12)
+            row = activity(i, 1 + (i + (random_.random() < 0.1)) % 3, size=random_.randrange(2))
+            if i % 2:
+                row.pop("id")
+            rows.append(row)
+        store.upsert_events(normalize(feeds.read_feed(spark, lines(rows, f"{k}.jsonl"), "activity"), "activity", collected_at=at), path)
+        days = {r["created_at"][:10] for r in rows}
+        new: dict = {}
+        for row in rows:
+            new.setdefault(row.get("id") or json.dumps(row), []).append((at, json.dumps(row, sort_keys=True)))
+        for key, found in new.items():
+            # what lies in days that the batch does not touch takes no part
+            before = held.get(key, [])
+            part = [x for x in before if json.loads(x[1])["created_at"][:10] in days]
+            rest = [x for x in before if x not in part]
+            last = max(x[0] for x in part + found)
+            named = key.startswith("a")
+            kept = []
+            for content in {x[1] for x in part + found}:
+                n = [sum(x == (last, content) for x in side) for side in (part, found)]
+                kept += [(last, content)] * max(n)
+            held[key] = rest + ([kept[0]] if named and len({x[1] for x in kept}) == 1 else kept)
+            if named and len({x[1] for x in kept}) > 1:
+                held[key] = rest + [None]  # one of several contents, by their hash
+                got = store.read_store(spark, path).where(f"ai.event_id = '{key}' AND collected_at = '{last}'")
+                days_of = "'" + "','".join(days) + "'"
+                (row,) = got.where(f"event_date IN ({days_of})").selectExpr("CAST(_time AS STRING) AS t", "try_variant_get(raw, '$.size', 'int') AS size").collect()
+                (held[key][-1],) = {x for x in kept if json.loads(x[1])["size"] == row["size"] and json.loads(x[1])["created_at"][:10] == row.t[:10]}
+    want = sorted((x[1] and json.loads(x[1]).get("id") or "", json.loads(x[1])["created_at"][:10], json.loads(x[1])["size"], x[0]) for v in held.values() for x in v)
+    got = store.read_store(spark, path).selectExpr(
+        "coalesce(ai.event_id, '') AS id", "CAST(event_date AS STRING) AS d", "try_variant_get(raw, '$.size', 'int') AS size", "CAST(collected_at AS STRING) AS at"
+    )
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_an_upsert_leaves_no_shuffle_files(spark, lines, tmp_path):
+    blocks = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = blocks.getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    for day in (1, 2):
+        store.upsert_events(events(spark, lines, [activity(i, 1 + i % 3) for i in range(60)], f"2026-03-1{day} 12:00:00"), str(tmp_path / "store"))
+    assert not shuffled() - before
+
+
 def test_a_load_that_is_killed_leaves_the_store_whole(spark, lines, tmp_path, monkeypatch):
     path = str(tmp_path / "store")
     first = events(spark, lines, [activity(i, 1 + i % 3) for i in range(30)])
