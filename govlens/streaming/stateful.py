@@ -2,8 +2,8 @@
 
 Each agrees with the scheduled run of the batch detection of its name: a run is answered
 once the watermark has passed it, from state that no later row may change. State is small
-by design: a time per vendor, nine daily sums per vendor, one record per user and interval
-between two runs. Rows shrink in the task that reads them before they reach a key, so a
+by design: a time per vendor, nine daily sums per vendor, one record per user, measure and
+interval between two runs. Rows shrink in the task that reads them before they reach a key, so a
 vendor that sends everything costs its state one row per task and batch.
 
 An operator is answered only when time moves on. All events move it: conditions stay above
@@ -230,11 +230,17 @@ def spend_spike(events: DataFrame, n: int = 7, factor: float = 1.5, delay: str =
 _MEASURES = ("utilization_pct", "period_spend_usd", "spend_limit_usd")
 
 
+# Users share keys of the state: what a key costs, it costs once for its part of all users.
+BUCKETS = 1024
+_RECORD = ["user", "measure", "run"]  # and the newest (collected, time, value) of it
+
+
 class Limits(StatefulProcessor):
-    """The newest snapshot of a user at each scheduled run.
+    """The newest snapshot of each user of a bucket at each scheduled run.
 
     Snapshots between two runs are in the same look-back windows, so they merge to one
-    record: per measure the newest value there is, with its times.
+    record: per measure the newest value there is, with its times. A bucket's records are
+    one Arrow table, so users are worked on together.
     """
 
     def __init__(self, step: int, offset: int, reach: int, at_least: float):
@@ -242,64 +248,74 @@ class Limits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        record = ", ".join(f"v{k} double, c{k} bigint, t{k} bigint" for k in range(len(_MEASURES)))
-        self.slots = handle.getMapState("slots", "run bigint", record)
+        self.slots = handle.getValueState("slots", "records binary")
         self.next = handle.getValueState("next", "run bigint")
 
+    def _held(self) -> list[pd.DataFrame]:
+        if not self.slots.exists():
+            return []
+        with pa.ipc.open_stream(bytes(self.slots.get()[0])) as stream:
+            return [stream.read_all().to_pandas()]
+
+    def _hold(self, records: pd.DataFrame) -> None:
+        table = pa.Table.from_pandas(records, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        with pa.ipc.new_stream(sink, table.schema, options=options) as stream:
+            stream.write_table(table)
+        self.slots.update((sink.getvalue().to_pybytes(),))
+
     @staticmethod
-    def _newer(a: tuple, b: tuple) -> tuple:
-        """Per measure the newer of (value, collected, time), ties to the greater value."""
-        out = []
-        for k in range(0, len(a), 3):
-            known = [x for x in (a[k : k + 3], b[k : k + 3]) if x[0] is not None]
-            out += max(known, key=lambda x: (x[1], x[2], x[0])) if known else (None, 0, 0)
-        return tuple(out)
+    def _newest(records: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+        """Per ``by`` the newest of (value, collected, time), ties to the greater value."""
+        return records.sort_values(["collected", "time", "value"]).drop_duplicates(by, keep="last")
+
+    def _records(self, rows: pd.DataFrame) -> pd.DataFrame:
+        # the first run after the snapshot
+        run = self.offset + (rows["collected"] // 1_000_000 - self.offset) // self.step * self.step + self.step
+        wide = rows[["user", "collected", "time"]].assign(run=run)
+        parts = [wide.assign(measure=k, value=rows[name].astype(float)) for k, name in enumerate(_MEASURES)]
+        return self._newest(pd.concat(parts).dropna(subset="value"), _RECORD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        merged: dict[int, tuple] = {}
+        records = None
         for part in rows:
-            for *values, collected, time in part[[*_MEASURES, "collected", "time"]].itertuples(index=False):
-                # the first run after the snapshot
-                run = self.offset + (int(collected) // 1_000_000 - self.offset) // self.step * self.step + self.step
-                record: list = []
-                for value in values:
-                    record += (None, 0, 0) if pd.isna(value) else (float(value), int(collected), int(time))
-                merged[run] = self._newer(merged[run], record) if run in merged else tuple(record)
-        for run, record in merged.items():
-            if self.slots.containsKey((run,)):
-                record = self._newer(self.slots.getValue((run,)), record)
-            self.slots.updateValue((run,), record)
-        first = min(merged)
-        if not self.next.exists() or first < self.next.get()[0]:
-            self.next.update((first,))
-            self.handle.registerTimer(first * 1000)
+            new = self._records(part)
+            records = new if records is None else self._newest(pd.concat([records, new]), _RECORD)
+        if len(records):
+            first = int(records["run"].min())
+            self._hold(self._newest(pd.concat([*self._held(), records]), _RECORD))
+            if not self.next.exists() or first < self.next.get()[0]:
+                self.next.update((first,))
+                self.handle.registerTimer(first * 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() // 1000
-        held = {run[0]: record for run, record in self.slots.iterator()}
-        run, found = self.next.get()[0] if self.next.exists() else None, []
-        oldest = self.reach - self.step  # a record's rows lie up to a step before its run
+        run = self.next.get()[0] if self.next.exists() else None
+        if run is None or run > passed:  # an earlier timer has answered it
+            yield pd.DataFrame()
+            return
+        (held,) = self._held()
+        found, oldest = [], self.reach - self.step  # a record's rows lie up to a step before its run
         while run is not None and run <= passed:
-            newest = (None, 0, 0) * len(_MEASURES)
-            for slot, record in held.items():
-                if run - oldest <= slot <= run:
-                    newest = self._newer(newest, record)
-            if newest[0] is not None and newest[0] >= self.at_least:
-                found.append((run, *newest[::3]))
-            ahead = [slot for slot in held if slot >= run + self.step - oldest]
-            run = max(run + self.step, min(ahead)) if ahead else None
-        for old in [slot for slot in held if run is None or slot < run - oldest]:
-            self.slots.removeKey((old,))
+            seen = held[held["run"].between(run - oldest, run)]
+            newest = self._newest(seen, ["user", "measure"]).pivot(index="user", columns="measure", values="value")
+            newest = newest.reindex(columns=range(len(_MEASURES)))
+            found.append(newest[newest[0] >= self.at_least].assign(run=run).reset_index())
+            ahead = held.loc[held["run"] >= run + self.step - oldest, "run"]
+            run = max(run + self.step, int(ahead.min())) if len(ahead) else None
         if run is None:
             self.next.clear()
+            self.slots.clear()
         else:
             self.next.update((run,))
             self.handle.registerTimer(run * 1000)
-        columns = list(zip(*found)) or [()] * (1 + len(_MEASURES))
-        out = {"user": _texts([key[0]] * len(found)), "run_time": _stamps(list(columns[0]))}
-        for name, values in zip(_MEASURES, columns[1:]):
-            out[name] = pd.Series(list(values), dtype="float64")
+            self._hold(held[held["run"] >= run - oldest])
+        found = pd.concat(found)
+        out = {"user": _texts(found["user"].tolist()), "run_time": _stamps(found["run"].tolist())}
+        for k, name in enumerate(_MEASURES):
+            out[name] = pd.Series(found[k].tolist(), dtype="float64")
         yield pd.DataFrame(out)
 
     def close(self) -> None:
@@ -310,6 +326,7 @@ def limit_reached(events: DataFrame, at_least: float = 100, delay: str = ACTIVIT
     """(user, run_time, measures) of runs that find a user's newest snapshot at the limit.
 
     Time is the time of collection. A user's records go when no run can see them any more.
+    Users are dealt over ``BUCKETS`` keys by hash; a task holds the records of one of them.
     """
     d = DETECTIONS["d_limit"]
     always = _ALWAYS.replace("_time", "collected_at")
@@ -327,7 +344,8 @@ def limit_reached(events: DataFrame, at_least: float = 100, delay: str = ACTIVIT
     )
     step, offset = (int(x.total_seconds()) for x in (d.period, d.offset))
     reach = int(_delta(d.earliest.removeprefix("-")).total_seconds())
-    return snapshots.groupBy("user").transformWithStateInPandas(
+    snapshots = snapshots.withColumn("bucket", F.pmod(F.xxhash64("user"), F.lit(BUCKETS)))
+    return snapshots.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Limits(step, offset % step, reach, at_least),
         outputStructType="user string, run_time timestamp, "
         + ", ".join(f"{name} double" for name in _MEASURES),

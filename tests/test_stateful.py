@@ -85,6 +85,32 @@ def test_limit_stream_equals_its_schedule(spark, tmp_path):
     assert {r.user[0] for r in found.collect()} == {"a", "b", "c"}
 
 
+def test_users_of_limits_share_keys(spark, tmp_path, monkeypatch):
+    """More users than keys, over several batches: the schedule's rows, and a key's state for many users."""
+    monkeypatch.setattr(stateful, "BUCKETS", 3)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    real = stateful.Limits.handleInputRows
+
+    def counted(self, key, rows, timerValues):
+        (calls / __import__("uuid").uuid4().hex).touch()
+        yield from real(self, key, rows, timerValues)
+
+    monkeypatch.setattr(stateful.Limits, "handleInputRows", counted)
+    parts = [
+        limits(spark, at, [(f"u{k}", [None, "0", "100"][(k + d) % 3], [None, "40", "100", "250"][k * (d + 1) % 4]) for k in range(40)])
+        for d, at in enumerate(("2026-01-02 00:30:00", "2026-01-02 03:00:00", "2026-01-02 22:00:00", "2026-01-03 23:00:00"))
+    ] + [limits(spark, "2026-01-06 12:00:00", [("z", "100", "500")])]
+    found = finished(spark, tmp_path, stateful.limit_reached(stream_of(spark, tmp_path, parts)))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    expected = D.backtest("d_limit", whole, DAY0, datetime(2026, 1, 6, 11))
+    columns = ["run_time", "user", "utilization_pct", "period_spend_usd", "spend_limit_usd"]
+    assert rows_of(found.select(columns)) == rows_of(expected.select(columns)) and found.count() > 40
+    assert len(list(calls.iterdir())) <= 3 * len(parts)  # a call per key and batch, not per user
+
+
 def test_top_cost_stream_equals_its_schedule(spark, tmp_path):
     def spent(rows):
         feed = spark.createDataFrame(rows, "date string, email string, amount string")
