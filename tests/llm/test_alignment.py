@@ -184,3 +184,23 @@ def test_lengths_place_the_cuts_of_ordinary_text(libraries, monkeypatch):
         for x, y in zip(with_spans[name], without[name]):
             assert x.tolist() == y.tolist()
     libraries._clear()
+
+
+def test_spans_of_both_libraries_cut_every_text(libraries, monkeypatch):
+    """Ordinary text, too, is cut by the spans; cuts that are not the spans' are not made."""
+    text = "Plain words, and some more of them."
+    libraries._clear()
+    read, seen = {n: getattr(Aligner, n) for n in ("_read_a", "_read_b")}, []
+    for name, real in read.items():
+        monkeypatch.setattr(Aligner, name, lambda *a, name=name, real=real: seen.append(name) or real(*a))
+    out = libraries.runs([text.encode()])
+    assert set(seen) == set(read) and out["a_ids"][0].tolist() == libraries.a.encode(" " + text).ids
+    libraries._clear()
+
+    def moved(self, text, data):  # one cut a byte early, in widths that no token has
+        ids, begin, end = read["_read_a"](self, text, data)
+        return ids, np.maximum(begin - 1, 0), np.where(end == end.max(), end, end - 1)
+
+    monkeypatch.setattr(Aligner, "_read_a", moved)
+    assert libraries.runs([text.encode()])["a_group"][0].tolist() != out["a_group"][0].tolist()
+    libraries._clear()
