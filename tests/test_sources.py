@@ -6,7 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from govlens.plans.normalize import normalize
+from govlens.plans.normalize import as_stored, normalize
 from govlens.plans.reports import REPORTS
 from govlens.providers import VENDOR
 from govlens.sources import collect, feeds, store, versions
@@ -201,6 +201,12 @@ def test_upsert_against_brute_force(spark, lines, tmp_path, monkeypatch, looked_
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_the_text_of_a_row_is_made_once_for_its_hashes(spark, lines):
+    stored = as_stored(events(spark, lines, [activity(1, size=1)])).cache()
+    plan = store.keyed(stored)._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count("AS _text") == 1 and plan.count("StructsToJsonEvaluator") == 2  # raw, and the key's fields
+
+
 def test_an_upsert_leaves_no_shuffle_files(spark, lines, tmp_path):
     blocks = spark._jsc.sc().env().blockManager().diskBlockManager()
 
