@@ -201,6 +201,23 @@ def test_upsert_against_brute_force(spark, lines, tmp_path, monkeypatch, looked_
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_kinds_that_come_again_are_left_alone(spark, lines, tmp_path, monkeypatch):
+    """Kinds with and without ids in one load, large or not: nothing is written again."""
+    usage = feeds.read_feed(spark, lines([{"starting_at": f"2026-03-0{1 + i % 3}T00:00:00Z", "output_tokens": i // 3, "line": str(i // 2)} for i in range(12)], "u.jsonl"), "usage")
+    both = collect.union(
+        [events(spark, lines, [activity(i, 1 + i % 3) for i in range(12)]), normalize(usage, "usage", collected_at="2026-03-10 12:00:00")]
+    )
+    for large in (store.LARGE, 0):
+        monkeypatch.setattr(store, "LARGE", large)
+        path = str(tmp_path / f"store{large}")
+        assert store.upsert_events(both, path) == 24
+        first = _live(spark, path)
+        assert store.upsert_events(both, path) == 24 and _live(spark, path) == first
+        counts = {r.record: r["count"] for r in store.read_store(spark, path).groupBy("record").count().collect()}
+        assert counts == {"activity": 12, "usage": 12}
+        assert store._table(spark, path).vacuum() == 0
+
+
 def test_the_text_of_a_row_is_made_once_for_its_hashes(spark, lines):
     stored = as_stored(events(spark, lines, [activity(1, size=1)])).cache()
     plan = store.keyed(stored)._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
