@@ -103,6 +103,18 @@ def test_a_cycle_that_is_lost_runs_again(account, monkeypatch):
     assert account.events().count() == 3 and account.state()[0] == 1
 
 
+def test_a_cycle_writes_nothing_that_is_there(spark, account):
+    """State that is read whole each time and has not changed leaves the store's folders alone."""
+    account.land("user", [{"id": f"u{k}", "email": f"u{k}@example.test"} for k in range(5)])
+    account.run(FIRST)
+    folders = lambda: {(r.record, r.load) for r in store._table(spark, account.paths[0]).folders().where("live").collect()}
+    first = folders()
+    account.land("activity", audit(1, 2, day=10))
+    assert account.run(FIRST) == {"activity": 2, "user": 5}
+    assert {x for x in folders() if x[0] == "user"} == first
+    assert account.events().where("record = 'user'").count() == 5
+
+
 def test_two_cycles_from_one_state(spark, account):
     account.land("activity", audit(1))
     account.run(FIRST)
